@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import sharding
+from tallyforge.llm import sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_hash_tree_shards": sharding.op1_hash_tree_shards,
+        "op6_simhash_cover": simhash.op6_simhash_cover,
     }
 
 

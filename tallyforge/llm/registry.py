@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import packing, sharding, simhash
+from tallyforge.llm import langid, packing, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_hash_tree_shards": sharding.op1_hash_tree_shards,
         "op6_simhash_cover": simhash.op6_simhash_cover,
+        "op8_ftrl_language": langid.op8_ftrl_language,
         "op10_best_fit": packing.op10_best_fit,
     }
 

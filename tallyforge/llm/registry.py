@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import langid, packing, pii, sharding, simhash
+from tallyforge.llm import decontaminate, langid, packing, pii, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_hash_tree_shards": sharding.op1_hash_tree_shards,
+        "op2_seed_align": decontaminate.op2_seed_align,
         "op5_feistel_pii": pii.op5_feistel_pii,
         "op6_simhash_cover": simhash.op6_simhash_cover,
         "op8_ftrl_language": langid.op8_ftrl_language,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,17 +33,19 @@ class Capacities:
 class WordIds:
     """Token ids of whole texts as little-endian 32-bit bytes, word by word.
 
-    The tokenizer never joins characters across white space, so a text's ids are the ids of
-    its words in order; a word met before is looked up. One of these lives as long as a worker.
+    The tokenizer lower-cases and never joins characters across white space. So a text's ids
+    are the ids of its words in order, and a word met before is looked up. One of these lives
+    as long as a worker.
     """
 
     _by_path: dict[str, WordIds] = {}
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -51,27 +53,19 @@ class WordIds:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
-    @staticmethod
-    def split(text: str) -> list[str]:
-        """str.split() also splits at four control characters that are no white space to the tokenizer."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return re.split(r"[ \t\n\r]+", text)
-        return text.split()
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
-
-    def bytes_of(self, text: str) -> bytes:
-        words = self.split(text)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set(words).difference(self.known))
-        self.known.update(zip(new, self.encode(new)))
-        out = b"".join([self.known[w] for w in words])
+    def bytes_of(self, text: bytes) -> bytes:
+        # A-Z and ASCII white space; capitals keep a text apart from the name of a special token
+        words = (text if b"<|" in text else text.lower()).split()
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = list(set(words).difference(known))
+        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, encoded))
+        out = b"".join([known[w] for w in words])
         for word in new:
             if len(word) > LONGEST:
-                del self.known[word]
+                del known[word]
         return out
 
 
@@ -89,7 +83,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: st
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                whole = words.bytes_of(text.as_py() or "") + end
+                whole = words.bytes_of(text.as_py() or b"") + end
                 for piece, first in enumerate(range(0, len(whole), tokens * 4)):
                     part = whole[first : first + tokens * 4]
                     rows.append((key, piece, first // 4, len(part) // 4, zlib.crc32(part), at))
@@ -99,7 +93,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: st
             names = ["id", "piece", "start", "length", "ids_crc32", "at"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     return source.mapInArrow(cut_up, "id long, piece int, start long, length long, ids_crc32 long, at long")
 
 

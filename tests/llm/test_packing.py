@@ -16,11 +16,11 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from(list("ab'sẞİé́ \t\n\x1c\x85\xa0　½9%_ǅ") + ["<|endoftext|>", "don't"]), max_size=25))
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(list("ab'sẞİé́ \t\n\x1c\x85\xa0　½9%_ǅ") + ["<|endoftext|>", "don't", "Thé,", "I\u0307", "x.'s", "%%%", "<|ENDOFTEXT|>", "σΣ"]), max_size=25))
 def test_word_ids_are_the_tokenizers_ids(parts):
     text = "".join(parts)
-    got = np.frombuffer(packing.WordIds.of(PATH).bytes_of(text), "<u4").tolist()
+    got = np.frombuffer(packing.WordIds.of(PATH).bytes_of(text.encode()), "<u4").tolist()
     assert got == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import decontaminate, langid, packing, pii, sharding, simhash
+from tallyforge.llm import decontaminate, langid, packing, pii, sharding, simhash, tokencount
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_feistel_pii": pii.op5_feistel_pii,
         "op6_simhash_cover": simhash.op6_simhash_cover,
         "op8_ftrl_language": langid.op8_ftrl_language,
+        "op9_count_viterbi": tokencount.op9_count_viterbi,
         "op10_best_fit": packing.op10_best_fit,
     }
 

@@ -6,6 +6,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import cut, table
 
 #: Words whose ids a Python worker remembers at a time; longer words are not remembered.
-REMEMBERED, LONGEST = 1_000_000, 64
+REMEMBERED, LONGEST = 1_500_000, 64
 #: Pieces that one task packs together, about.
 GROUP = 16_384
 
@@ -62,7 +63,7 @@ class WordIds:
         new = list(set(words).difference(known))
         encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
         known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, encoded))
-        out = b"".join([known[w] for w in words])
+        out = b"".join(itemgetter(*words)(known) if len(words) > 1 else [known[w] for w in words])
         for word in new:
             if len(word) > LONGEST:
                 del known[word]
@@ -104,36 +105,36 @@ def best_fit(lengths: np.ndarray, capacities: Capacities) -> tuple[np.ndarray, n
     the smallest weighted norm, each residual as a share of its capacity; ties go to the bin
     opened first. A bin that the shortest piece no longer fits is closed.
     """
-    room = np.array([capacities.tokens, capacities.documents, capacities.attention], float)
-    weights = np.array(capacities.weights) / room**2
+    room = (float(capacities.tokens), float(capacities.documents), float(capacities.attention))
+    weights = [w / r**2 for w, r in zip(capacities.weights, room)]
     order = np.argsort(-lengths, kind="stable")
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     least = float(lengths.min()) if len(lengths) else 0.0
-    left = np.empty((1024, 3))
+    left = np.empty((3, 1024))  # a row for each capacity, a column for each open bin
     names = np.empty(1024, np.int64)
     opened = held = 0
     for k in order:
-        need = np.array([lengths[k], 1.0, float(lengths[k]) ** 2])
-        if (need > room).any():
+        length = float(lengths[k])
+        need = (length, 1.0, length * length)
+        if any(n > r for n, r in zip(need, room)):
             raise ValueError(f"a piece of {lengths[k]} tokens exceeds the capacities")
         slot = -1
         if held:
-            after = left[:held] - need
-            norm = (after * after) @ weights
-            norm[(after < 0).any(axis=1)] = np.inf
-            slot = int(norm.argmin())
-            if norm[slot] == np.inf:
-                slot = -1
+            after = [left[c, :held] - need[c] for c in range(3)]
+            fits = np.flatnonzero((after[0] >= 0) & (after[1] >= 0) & (after[2] >= 0))
+            if len(fits):
+                norm = sum(w * a[fits] ** 2 for w, a in zip(weights, after))
+                slot = int(fits[norm.argmin()])
         if slot < 0:
-            if held == len(left):
-                left, names = np.concatenate([left, np.empty_like(left)]), np.concatenate([names, np.empty_like(names)])
+            if held == left.shape[1]:
+                left, names = np.concatenate([left, np.empty_like(left)], axis=1), np.concatenate([names, np.empty_like(names)])
             slot, held = held, held + 1
-            left[slot], names[slot] = room, opened
+            left[:, slot], names[slot] = room, opened
             opened += 1
-        bins[k], offsets[k] = names[slot], capacities.tokens - left[slot, 0]
-        left[slot] -= need
-        if left[slot, 0] < least or left[slot, 1] < 1 or left[slot, 2] < least * least:
-            left[slot : held - 1], names[slot : held - 1] = left[slot + 1 : held].copy(), names[slot + 1 : held].copy()
+        bins[k], offsets[k] = names[slot], capacities.tokens - left[0, slot]
+        left[:, slot] -= need
+        if left[0, slot] < least or left[1, slot] < 1 or left[2, slot] < least * least:
+            left[:, slot : held - 1], names[slot : held - 1] = left[:, slot + 1 : held].copy(), names[slot + 1 : held].copy()
             held -= 1
     return bins, offsets
 

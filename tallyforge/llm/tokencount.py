@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from math import inf
+from operator import itemgetter
 
 import ahocorasick
 import pandas as pd
@@ -98,7 +99,7 @@ class UnigramCounter:
             known.clear()
         new = set(words).difference(known)
         known.update((w, self.word(w)) for w in new)
-        total = sum([known[w] for w in words])
+        total = sum(itemgetter(*words)(known) if len(words) > 1 else [known[w] for w in words])
         for word in new:
             if len(word) > LONGEST:
                 del known[word]

@@ -213,8 +213,9 @@ def vector_links(vectors: DataFrame, cosine: float, block: int = BLOCK) -> DataF
     blocks = cut(grid_blocks(vectors, epsilon, directions, block), "blocks")
     pairs = cut(close_blocks(blocks, epsilon), "block-pairs")
     payload = blocks.select("block", "dim", "nodes", "counts", "vectors")
-    left = pairs.join(payload, pairs.a == payload.block).select("a", "b", "dim", "nodes", "counts", "vectors")
-    right = pairs.join(payload, pairs.b == payload.block).select("a", "b", "dim", "nodes", "counts", "vectors")
+    left = pairs.join(payload.withColumnRenamed("block", "a"), "a").select("a", "b", "dim", "nodes", "counts", "vectors")
+    again = payload.toDF("b", "dim2", "nodes2", "counts2", "vectors2")
+    right = pairs.toDF("a2", "b").join(again, "b").toDF("b", "a", "dim", "nodes", "counts", "vectors")
     handed = vectors.sparkSession.sparkContext.broadcast(directions)
 
     def joined(x: pa.Table, y: pa.Table) -> pa.Table:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import decontaminate, html_text, langid, packing, pii, sharding, simhash, tokencount
+from tallyforge.llm import decontaminate, embedding_join, html_text, langid, packing, pii, sharding, simhash, tokencount
 
 
 def queries() -> dict:
     return {
         "op1_hash_tree_shards": sharding.op1_hash_tree_shards,
         "op2_seed_align": decontaminate.op2_seed_align,
+        "op3_grid_join": embedding_join.op3_grid_join,
         "op4_max_subsequence": html_text.op4_max_subsequence,
         "op5_feistel_pii": pii.op5_feistel_pii,
         "op6_simhash_cover": simhash.op6_simhash_cover,
@@ -21,4 +22,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_hash_tree_shards": sharding.oracle_sql(),
+        "op3_grid_join": embedding_join.ORACLE_SQL,
     }

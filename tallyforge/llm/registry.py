@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import decontaminate, embedding_join, html_text, langid, packing, pii, sharding, simhash, tokencount
+from tallyforge.llm import decontaminate, embedding_join, html_text, langid, packing, pii, repeats, sharding, simhash, tokencount
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_max_subsequence": html_text.op4_max_subsequence,
         "op5_feistel_pii": pii.op5_feistel_pii,
         "op6_simhash_cover": simhash.op6_simhash_cover,
+        "op7_prefix_doubling": repeats.op7_prefix_doubling,
         "op8_ftrl_language": langid.op8_ftrl_language,
         "op9_count_viterbi": tokencount.op9_count_viterbi,
         "op10_best_fit": packing.op10_best_fit,

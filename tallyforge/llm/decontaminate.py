@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -227,6 +228,35 @@ def _matcher(handed, settings: Settings):
     return matched
 
 
+def with_leak(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    out: str = "leaked",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    settings: Settings = Settings(),
+) -> DataFrame:
+    """docs with a boolean column: whether any benchmark item leaked into the row's text, as leaks() finds it."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    result = F.lit(False)
+    for rows in _parts(benchmark, item_col, item_text_col, settings):
+        index = _index(rows, settings.n)
+        counts, total = _word_counts(docs.select(text.alias("text")), index)
+        _add_seeds(index, counts, total, settings)
+        handed = docs.sparkSession.sparkContext.broadcast(index)  # at most about part_words words
+        found = F.pandas_udf(_leak_test(handed, settings), "boolean")
+        result = result | found(text)
+    return docs.withColumn(out, result)
+
+
+def _leak_test(handed, settings: Settings):
+    def test(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: any(True for _ in _found(handed.value, words_of(x), settings))).astype(bool)
+
+    return test
+
+
 def op2_seed_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaks of benchmark items into documents: doc_id, item_id, score, first_word, end_word.
 

@@ -109,18 +109,43 @@ def simhash_classes(
     id of their class (null if the class has none). Other columns of docs are not read.
     """
     prints = cut(with_fingerprint(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    links = fingerprint_links(distinct.select("fp"), radius)
-    classes = cut(connected_components(links), "classes")
-    members = distinct.join(classes, distinct.fp == classes.node, "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("root")
-    )
+    roots = fingerprint_classes(prints.select("fp"), radius)
+    members = prints.groupBy("fp").agg(F.min("id").alias("least")).join(roots, "fp")
     members = cut(members, "members")
     smallest = members.groupBy("root").agg(F.min("least").alias("component"))
     labelled = members.join(smallest, "root").select("fp", "component")
     return prints.join(labelled, "fp").select("id", "fp", "component")
 
 
+def fingerprint_classes(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp) with repeats -> (fp, root) distinct: fingerprints of one class share a root."""
+    distinct = cut(prints.distinct(), "distinct")
+    classes = connected_components(fingerprint_links(distinct, radius))
+    return distinct.join(classes, distinct.fp == classes.node, "left").select("fp", F.coalesce("component", "fp").alias("root"))
+
+
+def one_of_each_class(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2
+) -> DataFrame:
+    """Of each class the row with the smallest id (nulls first), with all of its columns.
+
+    Rows of one id and one class are told apart by their fingerprint and text; equal rows are one.
+    """
+    hashed = F.pandas_udf(lambda texts: texts.map(lambda x: _signed(simhash64(x, shingle))), "long")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    marks = docs.select(
+        F.col(id_col).cast("long").alias("id"), hashed(text).alias("fp"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")
+    )
+    marks = cut(marks, "fingerprints")
+    roots = fingerprint_classes(marks.select("fp"), radius)
+    first = marks.distinct().join(roots, "fp").groupBy("root").agg(F.min(F.struct("id", "fp", "h1", "h2")).alias("first"))
+    first = first.select("first.*").toDF("__id", "__fp", "__h1", "__h2")
+    rows = docs.withColumn("__1", F.xxhash64(text)).withColumn("__2", F.xxhash64(F.lit(1), text))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__1") == F.col("__h1")) & (F.col("__2") == F.col("__h2"))
+    kept = rows.join(first, same, "left_semi")
+    return kept.dropDuplicates([id_col, "__1", "__2"]).drop("__1", "__2")
+
+
 def op6_simhash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents: 3-word shingles, links at 2 or fewer differing bits.
 

@@ -12,7 +12,7 @@ can still matter are ranked:
 2. What is left are unlike segments around equal grams. The windows in these are ranked at a quarter of
    the threshold, and rank pairs at growing offsets give half of it and all of it; positions unique at
    one length do not go on to the next. Segments of a few keys are ranked together in one task; keys
-   with many unlike segments go through Spark's shuffle window by window.
+   with more unlike segments than a task should hold go through Spark's shuffle window by window.
 
 Names of byte strings are 64-bit hashes, compared in pairs of two.
 """
@@ -31,8 +31,9 @@ from tallyforge.llm.common import cut, table
 
 #: Bytes of an anchor; windows of a text handled at a time.
 ANCHOR, STEP = 64, 1 << 20
-#: Unlike segments of one key that are ranked within a task, and segments in such a task, about.
-FEW, TOGETHER = 256, 4096
+#: Unlike segments of one key that are ranked within a task (some 5 MB of bytes and a million windows), and
+#: segments in such a task, about.
+FEW, TOGETHER = 16_384, 4096
 
 _random = np.random.default_rng(20240229)
 _BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64)

@@ -55,7 +55,7 @@ def run(spark, tmp_path, texts):
     return [tuple(r)[1:] for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
-@pytest.mark.parametrize("few", [256, 2])
+@pytest.mark.parametrize("few", [16_384, 2])
 def test_query_matches_brute_force(spark, tmp_path, monkeypatch, few):
     monkeypatch.setattr(repeats, "FEW", few)
     texts = corpus(3, 150)

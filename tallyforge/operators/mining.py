@@ -41,6 +41,7 @@ def apriori(rows: DataFrame, min_support: float, max_len: int) -> DataFrame:
     least = least_count(rows.count(), min_support)
     found, slim = _frequent_baskets(rows, least)
     slim = slim.select(F.monotonically_increasing_id().alias("basket"), "items", "weight").persist()
+    found = found.persist()
     held = slim.select("basket", "weight", F.explode("items").alias("item"))
     level = held.select("basket", "weight", F.array("item").alias("set"))
     single = held.select("basket", "item")
@@ -48,7 +49,7 @@ def apriori(rows: DataFrame, min_support: float, max_len: int) -> DataFrame:
     for _ in range(2, max_len + 1):
         longer = level.join(single, "basket").where(F.col("item") > F.element_at("set", -1))
         longer = longer.select("basket", "weight", F.concat("set", F.array("item")).alias("set"))
-        counts = longer.groupBy("set").agg(F.sum("weight").alias("n")).where(F.col("n") >= least)
+        counts = longer.groupBy("set").agg(F.sum("weight").alias("n")).where(F.col("n") >= least).persist()
         level = longer.join(counts.select("set"), "set", "left_semi")
         out = out.unionAll(counts.select(F.col("set").alias("items"), "n"))
     return out

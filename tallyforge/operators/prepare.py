@@ -102,32 +102,52 @@ def imputed(df: DataFrame, contract: Contract, rules: tuple[Rule, ...], mode: st
     for rule in rules:
         column = F.col(rule.column)
         out = out.withColumn(rule.column, normalized(column) if rule.kind == "categorical" else column.try_cast("double"))
+    out = out.withColumns({f"{r.column}_was_imputed": F.col(r.column).isNull() for r in rules}) if rules else out
+    # a rule changes its own column only, so all modes of whole columns come from one pass over the table
+    plain = [r.column for r in rules if r.kind == "categorical" and not r.group_by]
+    if plain:
+        fills = {c: F.lit("UNKNOWN") for c in plain}
+        if mode == "canonical":
+            out = out.join(F.broadcast(_whole_modes(out, plain)), F.lit(True))  # one row
+            fills = {c: F.coalesce(F.col(f"__{c}"), F.lit("UNKNOWN")) for c in plain}
+        out = out.withColumns({c: F.coalesce(c, fill) for c, fill in fills.items()}).drop(*[f"__{c}" for c in plain])
+    base = out
     for rule in rules:
-        column, flag = F.col(rule.column), f"{rule.column}_was_imputed"
-        out = out.withColumn(flag, column.isNull())
+        if not rule.group_by and rule.kind == "categorical":
+            continue
+        column = F.col(rule.column)
         if rule.kind == "categorical":
-            if rule.group_by or mode == "canonical":
-                lookup = modes(out, rule.column, rule.group_by)
-                out = out.join(lookup, list(rule.group_by), "left") if rule.group_by else out.join(lookup, F.lit(True), "left")
-                out = out.withColumn(rule.column, F.coalesce(column, F.col("mode_value"))).drop("mode_value")
-            out = out.withColumn(rule.column, F.coalesce(column, F.lit("UNKNOWN")))
+            out = out.join(modes(base, rule.column, rule.group_by), list(rule.group_by), "left")
+            out = out.withColumn(rule.column, F.coalesce(column, "mode_value", F.lit("UNKNOWN"))).drop("mode_value")
             continue
-        total = out.agg(F.percentile(column, 0.5).alias("__all"))
         if rule.group_by:
-            lookup = out.groupBy(*rule.group_by).agg(F.percentile(column, 0.5).alias("__group"))
-            condition = None
-            lookup = lookup.withColumnsRenamed({g: f"__{g}" for g in rule.group_by})
-            for g in rule.group_by:  # groups of null belong together here, as in a window
-                same = F.col(g).eqNullSafe(F.col(f"__{g}"))
-                condition = same if condition is None else condition & same
-            out = out.join(lookup, condition, "left").drop(*[f"__{g}" for g in rule.group_by])
-            out = out.withColumn(rule.column, F.coalesce(column, F.col("__group"))).drop("__group")
-            if mode == "strict":
-                total = out.agg(F.percentile(column, 0.5).alias("__all"))
-        out = out.join(F.broadcast(total), F.lit(True), "left").withColumn(rule.column, F.coalesce(column, F.col("__all"))).drop("__all")
+            out = _with_group_median(out, base, rule)
+        source = _with_group_median(base, base, rule) if rule.group_by and mode == "strict" else base
+        filled = F.coalesce(column, "__group") if rule.group_by and mode == "strict" else column
+        total = source.agg(F.percentile(filled, 0.5).alias("__all"))
+        out = out.join(F.broadcast(total), F.lit(True))  # one row
+        out = out.withColumn(rule.column, F.coalesce(column, *(["__group"] if rule.group_by else []), "__all")).drop("__all", "__group")
     return out
 
 
+def _whole_modes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row with the mode of each column, from one count of (column, value)."""
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns])).alias("x")).select("x.*")
+    counts = pairs.where("v IS NOT NULL").groupBy("c", "v").count()
+    best = counts.groupBy("c").agg(F.min(F.struct((-F.col("count")).alias("n"), "v"))["v"].alias("v"))
+    return best.agg(*[F.max(F.when(F.col("c") == c, F.col("v"))).alias(f"__{c}") for c in columns])
+
+
+def _with_group_median(df: DataFrame, base: DataFrame, rule: Rule) -> DataFrame:
+    """df with __group, the median of the rule's column in the row's group; rows without a group are one group."""
+    names = {g: f"__{g}" for g in rule.group_by}
+    lookup = base.groupBy(*rule.group_by).agg(F.percentile(rule.column, 0.5).alias("__group")).withColumnsRenamed(names)
+    same = F.lit(True)
+    for g, other in names.items():
+        same = same & F.col(g).eqNullSafe(F.col(other))
+    return df.join(lookup, same, "left").drop(*names.values())
+
+
 def last_of_key(df: DataFrame, key: str, freshness: str, order: str) -> DataFrame:
     """The strict twin of latest(): among rows of one key and freshness the last in source order wins."""
     window = W.partitionBy(key).orderBy(F.col(freshness).desc(), F.col(order).desc())

@@ -16,10 +16,11 @@ def rules(itemsets: DataFrame, total: int, target: str, min_confidence: float, m
     is_target = lambda x: x.startswith(f"{target}=")
     whole = itemsets.where((F.size("items") > 1) & (F.size(F.filter("items", is_target)) == 1))
     whole = whole.select(
-        F.filter("items", lambda x: ~is_target(x)).alias("antecedents"), F.filter("items", is_target)[0].alias("consequent"), "n"
+        F.filter("items", lambda x: ~is_target(x)).alias("antecedents"), F.get(F.filter("items", is_target), F.lit(0)).alias("consequent"), "n"
     )
     left = itemsets.select(F.col("items").alias("antecedents"), F.col("n").alias("n_left"))
-    right = itemsets.where((F.size("items") == 1) & is_target(F.col("items")[0])).select(F.col("items")[0].alias("consequent"), F.col("n").alias("n_right"))
+    first = F.get("items", F.lit(0))
+    right = itemsets.where((F.size("items") == 1) & is_target(first)).select(first.alias("consequent"), F.col("n").alias("n_right"))
     out = whole.join(left, "antecedents").join(right, "consequent")
     out = out.withColumn("c", F.col("n") / F.col("n_left"))
     out = out.withColumn("l", F.col("c") / (F.col("n_right") / F.lit(total)))
@@ -48,19 +49,22 @@ def without_descendants(found: DataFrame, pairs: tuple[tuple[str, str], ...], ep
     confidences compared.
     """
     for above, below in pairs:
-
-        def general(x, above=above, below=below):
-            return F.when(_feature(x).isin(above, below), F.lit(f"{above}=*")).otherwise(x)
-
-        form = F.concat_ws("\x1f", F.array_sort(F.transform("antecedents", general)))
         features = F.transform("antecedents", _feature)
-        wide = found.where(F.array_contains(features, above)).select("consequent", form.alias("form"), F.col("confidence").alias("above"))
+        form = F.concat_ws("\x1f", F.array_sort(F.transform("antecedents", _generalizer(above, below))))
+        wide = found.where(F.array_contains(features, above)).select(
+            F.col("consequent").alias("wide_consequent"), form.alias("wide_form"), F.col("confidence").alias("wide_confidence")
+        )
         narrow = found.withColumn("form", F.when(F.array_contains(features, below), form))
-        near = F.abs(F.col("confidence") - F.col("above")) <= epsilon
-        found = narrow.join(wide, (narrow.consequent == wide.consequent) & (narrow.form == wide.form) & near, "left_anti").drop("form")
+        near = F.abs(F.col("confidence") - F.col("wide_confidence")) <= epsilon
+        same = (F.col("consequent") == F.col("wide_consequent")) & (F.col("form") == F.col("wide_form"))
+        found = narrow.join(wide, same & near, "left_anti").drop("form")
     return found
 
 
+def _generalizer(above: str, below: str):
+    return lambda x: F.when(_feature(x).isin(above, below), F.lit(f"{above}=*")).otherwise(x)
+
+
 def without_supersets(found: DataFrame) -> DataFrame:
     """Drop a rule when fewer of its antecedents give the same consequent with the same metrics.
 
@@ -118,9 +122,9 @@ def evaluated(found: DataFrame, rows: DataFrame, min_lift: float, max_delta: flo
     """
     from tallyforge.operators.items import collapsed
 
-    baskets = collapsed(rows)
+    baskets = collapsed(rows).persist()
     by_item = baskets.select("items", "weight", F.explode("items").alias("first"))
-    ruled = found.withColumn("first", F.col("antecedents")[0])
+    ruled = found.withColumn("first", F.get("antecedents", F.lit(0)))
     met = ruled.join(by_item, "first").where(F.size(F.array_except("antecedents", "items")) == 0)
     counts = met.groupBy("antecedents", "consequent").agg(
         F.sum("weight").alias("n_left"), F.sum(F.when(F.array_contains("items", F.col("consequent")), F.col("weight")).otherwise(0)).alias("n_both")

@@ -5,9 +5,21 @@ from __future__ import annotations
 REGISTERED: dict[str, tuple] = {}
 
 
+def register(name: str, query, sql: str | None) -> None:
+    if name in REGISTERED:
+        raise ValueError(f"{name} is registered twice")
+    REGISTERED[name] = (query, sql)
+
+
 def queries() -> dict:
-    return {name: query for name, (query, _) in REGISTERED.items()}
+    return {name: query for name, (query, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in REGISTERED.items() if sql}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
+
+
+def _all() -> dict[str, tuple]:
+    from tallyforge.plans import bank_queries  # noqa: F401  registers on import
+
+    return REGISTERED

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions.lineage import cut
 from tallyforge.operators.items import collapsed
 
 
@@ -40,8 +41,8 @@ def apriori(rows: DataFrame, min_support: float, max_len: int) -> DataFrame:
     """
     least = least_count(rows.count(), min_support)
     found, slim = _frequent_baskets(rows, least)
-    slim = slim.select(F.monotonically_increasing_id().alias("basket"), "items", "weight").persist()
-    found = found.persist()
+    slim = cut(slim.select(F.monotonically_increasing_id().alias("basket"), "items", "weight"))  # fixes the ids
+    found = cut(found)
     held = slim.select("basket", "weight", F.explode("items").alias("item"))
     level = held.select("basket", "weight", F.array("item").alias("set"))
     single = held.select("basket", "item")
@@ -49,7 +50,7 @@ def apriori(rows: DataFrame, min_support: float, max_len: int) -> DataFrame:
     for _ in range(2, max_len + 1):
         longer = level.join(single, "basket").where(F.col("item") > F.element_at("set", -1))
         longer = longer.select("basket", "weight", F.concat("set", F.array("item")).alias("set"))
-        counts = longer.groupBy("set").agg(F.sum("weight").alias("n")).where(F.col("n") >= least).persist()
+        counts = cut(longer.groupBy("set").agg(F.sum("weight").alias("n")).where(F.col("n") >= least))
         level = longer.join(counts.select("set"), "set", "left_semi")
         out = out.unionAll(counts.select(F.col("set").alias("items"), "n"))
     return out
@@ -65,7 +66,7 @@ def fpgrowth(rows: DataFrame, min_support: float, max_len: int) -> DataFrame:
     threshold = (least_count(total, min_support) - 0.5) / total
     model = FPGrowth(itemsCol="items", minSupport=threshold, minConfidence=1.0).fit(rows.select("items"))
     found = model.freqItemsets.where(F.size("items") <= max_len)
-    return found.select(F.array_sort("items").alias("items"), F.col("freq").alias("n"))
+    return cut(found.select(F.array_sort("items").alias("items"), F.col("freq").alias("n")))
 
 
 def eclat(rows: DataFrame, min_support: float, max_len: int) -> DataFrame:
@@ -78,7 +79,7 @@ def eclat(rows: DataFrame, min_support: float, max_len: int) -> DataFrame:
     total = rows.count()
     least = least_count(total, min_support)
     single, slim = _frequent_baskets(rows, least)
-    slim = slim.persist()
+    slim = cut(slim)
     frequent = sorted((tuple(r["items"]), r["n"]) for r in single.collect())
     found = list(frequent)
     for size in range(2, max_len + 1):

@@ -8,11 +8,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions.lineage import cut
+
 METRICS = ("support", "confidence", "lift")
 
 
 def rules(itemsets: DataFrame, total: int, target: str, min_confidence: float, min_lift: float) -> DataFrame:
-    """Rules whose one consequent is a target item and whose antecedents are none."""
+    """Rules whose one consequent is a target item and whose antecedents are none.
+
+    They are few and read many times by what prunes and compares them, so their lineage is cut.
+    """
     is_target = lambda x: x.startswith(f"{target}=")
     whole = itemsets.where((F.size("items") > 1) & (F.size(F.filter("items", is_target)) == 1))
     whole = whole.select(
@@ -25,9 +30,10 @@ def rules(itemsets: DataFrame, total: int, target: str, min_confidence: float, m
     out = out.withColumn("c", F.col("n") / F.col("n_left"))
     out = out.withColumn("l", F.col("c") / (F.col("n_right") / F.lit(total)))
     out = out.where((F.col("c") >= min_confidence) & (F.col("l") >= min_lift))
-    return out.select(
+    out = out.select(
         "antecedents", "consequent", F.round(F.col("n") / total, 6).alias("support"), F.round("c", 6).alias("confidence"), F.round("l", 6).alias("lift")
     )
+    return cut(out)
 
 
 def _feature(item):
@@ -84,7 +90,7 @@ def without_supersets(found: DataFrame) -> DataFrame:
 
 
 def refined(found: DataFrame, pairs: tuple[tuple[str, str], ...], epsilon: float = 0.05) -> DataFrame:
-    return without_supersets(without_descendants(without_hierarchy(found, pairs), pairs, epsilon))
+    return cut(without_supersets(cut(without_descendants(without_hierarchy(found, pairs), pairs, epsilon))))
 
 
 def consensus(*sets: DataFrame) -> DataFrame:
@@ -122,7 +128,7 @@ def evaluated(found: DataFrame, rows: DataFrame, min_lift: float, max_delta: flo
     """
     from tallyforge.operators.items import collapsed
 
-    baskets = collapsed(rows).persist()
+    baskets = cut(collapsed(rows))
     by_item = baskets.select("items", "weight", F.explode("items").alias("first"))
     ruled = found.withColumn("first", F.get("antecedents", F.lit(0)))
     met = ruled.join(by_item, "first").where(F.size(F.array_except("antecedents", "items")) == 0)

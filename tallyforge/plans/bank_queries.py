@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
+from tallyforge.functions.lineage import cut
 from tallyforge.operators import bayes, cohorts, evaluation, graph, items, mining, prepare, profile, reports, rules, sampling
 from tallyforge.plans import closed_queries
 from tallyforge.plans import comparison as sql
@@ -30,9 +31,15 @@ def mining_rows(spark, d, name):
     return rows.where(F.upper("category") == "TRANSACTIONS") if name == "complaints" else rows
 
 
+def basketed(rows, name):
+    """Lineage is cut: bounds go over the rows before the items, and every strategy over the items several times."""
+    p = items.POPULATIONS[name]
+    columns = dict.fromkeys((p.key, p.time, p.target, *p.categorical, *p.boolean, *p.numeric))
+    return cut(items.baskets(cut(rows.select(*columns)), p, sql.MOST))
+
+
 def baskets(spark, d, name):
-    """Persisted, as every strategy goes over them several times."""
-    return items.baskets(mining_rows(spark, d, name).persist(), items.POPULATIONS[name], sql.MOST).persist()
+    return basketed(mining_rows(spark, d, name), name)
 
 
 def period(spark, d):
@@ -308,7 +315,7 @@ def side_rows(spark, d, name, later):
     rows = mining_rows(spark, d, name)
     p = items.POPULATIONS[name]
     side = sampling.holdout_side(rows, p.time, START, END, sql.FRACTION)
-    return items.baskets(rows.where(side if later else ~side).persist(), p, sql.MOST).persist()
+    return basketed(rows.where(side if later else ~side), name)
 
 
 def holdout(spark, d):
@@ -335,7 +342,7 @@ def folds(spark, d, blocks=2):
     """Rules mined without each block in time, and how many of them each pair of folds shares."""
     p = items.POPULATIONS["complaints"]
     rows = mining_rows(spark, d, "complaints").withColumn("__b", sampling.block_number(p.time, START, END, blocks))
-    found = [refined_rules(spark, d, rows=items.baskets(rows.where(F.col("__b") != b), p, sql.MOST)) for b in range(blocks)]
+    found = [refined_rules(spark, d, rows=basketed(rows.where(F.col("__b") != b), "complaints")) for b in range(blocks)]
     return rules.jaccard(found[0], found[1])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyforge.functions.lineage import cut
 from tallyforge.functions.text import sanitized
 from tallyforge.operators.items import bucket
 
@@ -58,7 +59,7 @@ def fit(training: DataFrame, alpha: float = 1.0, population: dict | None = None)
     priors = totals.join(F.broadcast(all_rows), F.lit(True)).select(
         "label", "total", F.ln((F.col("source") + alpha) / (F.col("all") + alpha * F.col("classes"))).alias("log_prior")
     )
-    seen = counts(training)
+    seen = cut(counts(training))
     domains = seen.select("feature", "value").distinct()
     sizes = domains.groupBy("feature").agg(F.count("*").alias("size"))
     cells = F.broadcast(domains.join(sizes, "feature"))

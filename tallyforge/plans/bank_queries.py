@@ -366,21 +366,21 @@ FEATURES = ["case_type", "category", "subcategory", "reception_channel", "priori
 LEVELS = ("LOW", "MEDIUM", "HIGH", "EXTREME")
 
 
-def breach_rows(spark, d, part):
-    rows = mining_rows(spark, d, "complaints").where("sla_breached IS NOT NULL")
+def breach_records(spark, d, *parts):
+    """Records of the parts named; the amount's bounds come from the training rows."""
+    rows = cut(mining_rows(spark, d, "complaints").where("sla_breached IS NOT NULL"))
     t = F.col("creation_date")
     a, b = (F.lit(x).cast("timestamp_ntz") for x in SPLIT)
-    return rows.where({"train": t < a, "calibration": (t >= a) & (t < b), "test": t >= b}[part])
+    side = {"train": t < a, "calibration": (t >= a) & (t < b), "test": t >= b}
+    limits = cut(bayes.amount_limits(rows.where(side["train"]), "claimed_amount", items.QUANTILES))
+    made = lambda x: bayes.records(x, "complaint_id", F.col("sla_breached"), FEATURES, ("creation_date", "creation"), "claimed_amount", limits, LEVELS)
+    return [cut(made(rows.where(side[part]))) for part in parts]
 
 
-def breach_records(spark, d, part):
-    limits = bayes.amount_limits(breach_rows(spark, d, "train"), "claimed_amount", items.QUANTILES)
-    return bayes.records(breach_rows(spark, d, part), "complaint_id", F.col("sla_breached"), FEATURES, ("creation_date", "creation"), "claimed_amount", limits, LEVELS)
-
-
-def breach_scores(spark, d, part="test"):
-    model = bayes.fit(breach_records(spark, d, "train"))
-    return bayes.predict(breach_records(spark, d, part), *model).where("class").select("key", "label", "probability")
+def breach_scores(spark, d, *parts):
+    train, *others = breach_records(spark, d, "train", *parts)
+    model = bayes.fit(train)
+    return [cut(bayes.predict(x, *model).where("class").select("key", "label", "probability")) for x in others]
 
 
 def record_sql(part: str) -> str:
@@ -411,23 +411,23 @@ pr AS (SELECT key, label, class, exp(s - max(s) OVER (PARTITION BY key)) / sum(e
 sc AS (SELECT key, label, probability FROM pr WHERE class)"""
 register(
     "n2_nb_counts",
-    lambda s, d: bayes.counts(breach_records(s, d, "train")),
+    lambda s, d: bayes.counts(breach_records(s, d, "train")[0]),
     f"{NB} SELECT label, feature, value, n FROM cnt",
 )
 register(
     "n2_nb_scores",
-    lambda s, d: breach_scores(s, d).select("key", "label", F.round("probability", 6).alias("probability")),
+    lambda s, d: breach_scores(s, d, "test")[0].select("key", "label", F.round("probability", 6).alias("probability")),
     f"{NB} SELECT key, label, round(probability, 6) AS probability FROM sc",
 )
 register(
     "a20_bins",
-    lambda s, d: bayes.calibration_bins(breach_scores(s, d)),
+    lambda s, d: bayes.calibration_bins(breach_scores(s, d, "test")[0]),
     f"""{NB} SELECT CAST(least(floor(probability * 10), 9) AS INTEGER) AS bin, count(*) AS count, round(avg(probability), 6) AS mean_probability,
 round(avg(CASE WHEN label THEN 1.0 ELSE 0.0 END), 6) AS observed_rate FROM sc GROUP BY 1""",
 )
 register(
     "a21_confusion",
-    lambda s, d: bayes.confusion(breach_scores(s, d)),
+    lambda s, d: bayes.confusion(breach_scores(s, d, "test")[0]),
     f"{NB} SELECT label, probability >= 0.5 AS predicted, count(*) AS n FROM sc GROUP BY 1, 2",
 )
 
@@ -439,7 +439,7 @@ def coarse(scores: DataFrame) -> DataFrame:
 
 register(
     "a22_ap_brier",
-    lambda s, d: bayes.binary_metrics(coarse(breach_scores(s, d))),
+    lambda s, d: bayes.binary_metrics(coarse(breach_scores(s, d, "test")[0])),
     f"""{NB}, r AS (SELECT label, round(probability, 10) AS p FROM sc), st AS (SELECT p, count(*) AS w, count_if(label) AS hit FROM r GROUP BY p),
 ap AS (SELECT sum(hit * prec) AS area FROM (SELECT hit, sum(hit) OVER (ORDER BY p DESC) / sum(w) OVER (ORDER BY p DESC) AS prec FROM st))
 SELECT count(*) AS row_count, round(count_if(label) / count(*), 6) AS weighted_prevalence, round(any_value(area) / nullif(count_if(label), 0), 6) AS pr_auc,
@@ -448,8 +448,8 @@ round(avg(pow(p - CASE WHEN label THEN 1 ELSE 0 END, 2)), 6) AS brier_score, rou
 
 
 def platt(spark, d):
-    coefficient, intercept = bayes.platt(breach_scores(spark, d, "calibration"))
-    scores = breach_scores(spark, d)
+    calibration, scores = breach_scores(spark, d, "calibration", "test")
+    coefficient, intercept = bayes.platt(calibration)
     return scores.select("key", "label", F.round(bayes.calibrated(F.col("probability"), coefficient, intercept), 6).alias("probability"))
 
 
@@ -667,8 +667,8 @@ EVENT = "CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'deny'
 register(
     "e4_escalation",
     lambda s, d: evaluation.escalation_states(s.read.parquet(f"{d}/events.parquet").selectExpr("user_id AS case_id", "event_id AS at", f"{EVENT} AS event")),
-    f"""WITH e AS (SELECT user_id AS case_id, event_id AS at, {EVENT} AS event FROM events), f AS (SELECT case_id, min(CASE WHEN event = 'request' THEN at END) AS q FROM e GROUP BY 1),
-s AS (SELECT e.case_id, arg_min(event, at) AS d FROM e JOIN f USING (case_id) WHERE event IN ('approve', 'deny') AND at > q GROUP BY 1)
+    f"""WITH e AS (SELECT user_id AS case_id, event_id AS seq, {EVENT} AS event FROM events), f AS (SELECT case_id, min(CASE WHEN event = 'request' THEN seq END) AS q FROM e GROUP BY 1),
+s AS (SELECT e.case_id, arg_min(event, seq) AS d FROM e JOIN f USING (case_id) WHERE event IN ('approve', 'deny') AND seq > q GROUP BY 1)
 SELECT f.case_id, CASE WHEN q IS NULL THEN 'open' WHEN d IS NULL THEN 'pending_approval' WHEN d = 'approve' THEN 'escalated' ELSE 'denied' END AS state FROM f LEFT JOIN s USING (case_id)""",
 )
 SIGNAL = "event_id, CASE WHEN event_id % 9 = 0 THEN 'out_of_domain' ELSE 'in_domain' END AS domain, event_type AS route_hint, value / 100 AS confidence"

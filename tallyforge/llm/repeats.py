@@ -111,14 +111,17 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
 
 
 SETTLED, SINGLE, SAMPLE, EDGE = 0, 1, 2, 3
+#: Added to EDGE: the run has more than one row here; its gram has other segments here.
+AGAIN, OTHERS = 1, 2
 
 
 def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compare sorted neighbours of a partition, a bounded share of all rows; drop grams that are alone.
 
     SETTLED: the segment occurs again. SINGLE: the gram does, in other segments only. SAMPLE: one or
-    two rows of a settled segment whose gram has other segments too. EDGE: the gram of the first or the
-    last row, which other partitions may hold as well.
+    two rows of a settled segment whose gram has other segments too. Rows are sorted by gram and segment,
+    so only the first and the last run of equal segments may go on in other partitions: one row of each
+    is EDGE with what is known of it here, and a run of several rows is settled all the same.
     """
     parts = [b for b in batches if b.num_rows]
     if not parts:
@@ -129,15 +132,19 @@ def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     same_seg = np.r_[False, (seg[1:] == seg[:-1]), False] & same_key
     settled = same_seg[:-1] | same_seg[1:]
     other = (same_key[:-1] & ~same_seg[:-1]) | (same_key[1:] & ~same_seg[1:])
-    edge = (key == key[0]) | (key == key[-1])
-    for kind, chosen in (
-        (SETTLED, settled & ~edge), (SINGLE, ~settled & other & ~edge), (SAMPLE, settled & other & ~edge), (EDGE, edge),
-    ):
+    firsts = np.flatnonzero(~same_seg[:-1])
+    inner = np.zeros(len(key), bool)
+    inner[(firsts[1] if len(firsts) > 1 else len(key)) : firsts[-1]] = True
+    for kind, chosen in ((SETTLED, settled), (SINGLE, ~settled & other & inner), (SAMPLE, settled & other & inner)):
         some = rows.filter(pa.array(chosen))
         if kind == SETTLED:  # names are not needed any more
             for i, name in enumerate(("key", "seg")):
                 some = some.set_column(i, name, pa.array(np.zeros(some.num_rows, np.int64)))
         yield from some.append_column("kind", pa.array(np.full(some.num_rows, kind, np.int32))).to_batches()
+    edges = np.unique([0, firsts[-1]])
+    ends = [firsts[1], len(key)] if len(firsts) > 1 else [len(key)]
+    known = [EDGE + AGAIN * bool(settled[a]) + OTHERS * bool(other[a:b].any()) for a, b in zip(edges, ends)]
+    yield from rows.take(pa.array(edges)).append_column("kind", pa.array(known, pa.int32())).to_batches()
 
 
 def classed_anchors(docs: DataFrame, length: int) -> DataFrame:
@@ -146,18 +153,19 @@ def classed_anchors(docs: DataFrame, length: int) -> DataFrame:
     order = ["key", "seg", "t1", "t2", "s"]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     classed = cut(ordered.mapInArrow(_classed, "key long, seg long, t1 long, t2 long, s long, n int, kind int"), "classed")
-    # grams at the edge of a partition: few, unless a gram fills whole partitions; counted by Spark, not by neighbours
-    edges = classed.where(F.col("kind") == EDGE)
-    segments = edges.groupBy("key", "seg").agg(F.count("*").alias("c"), F.min(F.struct("t1", "t2", "s")).alias("rep"))
-    keys = segments.groupBy("key").agg(F.sum("c").alias("all"), F.count("*").alias("kinds")).where(F.col("all") > 1)
-    segments = segments.join(keys, "key").select("key", "seg", "c", "rep", "kinds")
-    found = edges.join(segments, ["key", "seg"])
-    is_rep = F.struct("t1", "t2", "s") == F.col("rep")
-    settled = found.where("c > 1").withColumn("kind", F.lit(SETTLED))
-    single = found.where("c = 1").withColumn("kind", F.lit(SINGLE))
-    sample = found.where("c > 1 AND kinds > 1").where(is_rep).withColumn("kind", F.lit(SAMPLE))
+    # at most two rows of each partition, whatever a gram's share of all rows
+    bits = F.col("kind") - EDGE
+    edges = classed.where(F.col("kind") >= EDGE)
+    edges = edges.withColumns({"again": bits.bitwiseAND(AGAIN) > 0, "others": bits.bitwiseAND(OTHERS) > 0})
+    place = F.struct("t1", "t2", "s")
+    segments = edges.groupBy("key", "seg").agg((F.max("again") | (F.count("*") > 1)).alias("repeats"), F.max("others").alias("others"), F.min(place).alias("rep"))
+    keys = segments.groupBy("key").agg((F.max("others") | (F.count("*") > 1)).alias("others"))
+    found = edges.drop("others").join(segments.drop("others"), ["key", "seg"]).join(keys, "key")
+    settled = found.where("repeats AND NOT again").withColumn("kind", F.lit(SETTLED))  # the others are among the rows already
+    single = found.where("NOT repeats AND others").withColumn("kind", F.lit(SINGLE))
+    sample = found.where("repeats AND others").where(place == F.col("rep")).withColumn("kind", F.lit(SAMPLE))
     names = classed.columns
-    return classed.where(F.col("kind") != EDGE).unionAll(settled.select(names)).unionAll(single.select(names)).unionAll(sample.select(names))
+    return classed.where(F.col("kind") < EDGE).unionAll(settled.select(names)).unionAll(single.select(names)).unionAll(sample.select(names))
 
 
 def _with_bytes(docs: DataFrame, open_rows: DataFrame, length: int) -> DataFrame:

@@ -113,3 +113,28 @@ def test_repeated_windows_by_doubling(length):
     got = repeats.repeated_windows(segments, samples, length)
     for s, flags in zip(segments, got):
         assert [seen[s[i : i + length]] > 1 for i in range(len(s) - length + 1)] == flags.tolist()
+
+
+@pytest.mark.parametrize("partitions", [1, 2, 13])
+def test_runs_that_cross_partitions(spark, monkeypatch, partitions):
+    """Grams and segments that fill whole partitions are classed as if all rows lay side by side."""
+    rng = random.Random(partitions)
+    pairs = [(5, 50)] * 60 + [(6, rng.randrange(40)) for _ in range(60)] + [(rng.randrange(9), rng.randrange(4)) for _ in range(40)]
+    pairs += [(100 + i, 1) for i in range(20)]
+    rows = [(k, s, i, i, 0, 1) for i, (k, s) in enumerate(pairs)]
+    made = spark.createDataFrame(rows, "key long, seg long, t1 long, t2 long, s long, n int")
+    monkeypatch.setattr(repeats, "_anchor_rows", lambda docs, length: made)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = repeats.classed_anchors(made, 200).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    count = Counter(pairs)
+    kinds = Counter(k for k, _ in count)
+    at = {kind: sorted(r["t1"] for r in found if r["kind"] == kind) for kind in (repeats.SETTLED, repeats.SINGLE, repeats.SAMPLE)}
+    assert at[repeats.SETTLED] == [i for i, p in enumerate(pairs) if count[p] > 1]
+    assert at[repeats.SINGLE] == [i for i, p in enumerate(pairs) if count[p] == 1 and kinds[p[0]] > 1]
+    assert {pairs[i] for i in at[repeats.SAMPLE]} == {p for p in pairs if count[p] > 1 and kinds[p[0]] > 1}

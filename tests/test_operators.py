@@ -1,5 +1,8 @@
 """Hand-made cases of the operators."""
 
+import subprocess
+import sys
+
 import pytest
 
 from tallyforge.operators import mining, prepare, rules
@@ -85,3 +88,9 @@ def test_the_owner_comes_from_the_session(spark):
     assert [r[0] for r in closed_queries.execute(spark, own, table, {}, {"customer_id": "2"}, "client").collect()] == ["q"]
     with pytest.raises(closed_queries.Rejected):
         closed_queries.execute(spark, own, table, {"customer_id": "1"}, {"customer_id": "2"}, "client")
+
+
+def test_queries_are_listed_without_a_session():
+    """Importing the entry points makes no column and no session."""
+    code = "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 0)"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()[-1] == "True"

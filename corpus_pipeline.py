@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, langid, packing, pii, simhash
+from tallyforge.llm import decontaminate, langid, near_copies as copies, packing, pii
 from tallyforge.llm.common import shared_folder, table
 
 #: A text whose best language is less probable than this has no language that could be told.
@@ -35,8 +35,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each SimHash class, with the contract's shingles and radius."""
-    return simhash.one_of_each_class(docs, shingle=3, radius=2)
+    """Keep the document with the smallest id of each class of texts with a 5-word shingle similarity of 0.8 or more."""
+    return copies.one_of_each_class(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,24 +18,51 @@ ROUNDS = 8
 FIRST_DAY, DAYS, DATE_PARTS = "1900-01-01", 73049, (17, 4297)
 
 _NUM = r"\p{L}\p{N}"
-#: What may be personal; each alternative is validated before it is replaced.
-PATTERN = (
-    rf"(?<![{_NUM}])(?:"
-    rf"[{_NUM}][{_NUM}._%+\-]*+@[A-Za-z0-9\-]{{1,63}}(?:\.[A-Za-z0-9\-]{{1,63}}){{1,8}}"
-    rf"|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_NUM}])"
-    r"|(?<!\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
+#: Characters of an IBAN by country, from the IBAN registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _of_length(size: int, countries: str) -> str:
+    groups, rest = divmod(size - 4, 4)
+    last = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{last}(?![{_NUM}])"
+
+
+_MAIL = rf"[{_NUM}][{_NUM}._%+\-]*+@[A-Za-z0-9\-]{{1,63}}(?:\.[A-Za-z0-9\-]{{1,63}}){{1,8}}"
+#: The length of the country, else any: a country's own length keeps a following word out.
+_IBANS = (
+    rf"(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(_of_length(*x) for x in IBAN_LENGTHS.items())}"
+    rf"|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![{_NUM}]))"
+)
+_NUMBERS = (
+    r"(?<!\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
     r"|[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}(?![0-9])"
     r"|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4}(?![0-9])"
     rf"|[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![\-{_NUM}])"
-    r"|\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{1,4}(?:[ .\-]?[0-9]{2,4}){1,4}(?![0-9])"
+)
+_LOCAL = (
     r"|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}(?![0-9])"
     r"|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}(?![0-9])"
     r"|0[0-9](?:[ .][0-9]{2}){4}(?![0-9])"
     rf"|[0-9]{{13,19}}(?![{_NUM}])"
     rf"|[0-9]{{4}}[ \-][0-9]{{4}}[ \-][0-9]{{4}}[ \-][0-9]{{1,7}}(?![{_NUM}])"
     rf"|[0-9]{{4}}[ \-][0-9]{{6}}[ \-][0-9]{{5}}(?![{_NUM}])"
-    r")"
 )
+#: A phone ends where it has 8 to 15 digits, and before another value once it has them.
+_DIALLED = r"(?<=\+" + r"[^0-9+]{0,3}[0-9]" * 8 + r"(?:[^0-9+]{0,3}[0-9])?" * 7
+_PHONES = (
+    r"|\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{1,4}"
+    rf"(?:(?:[ \-](?!{_DIALLED}[ \-])(?:{_NUMBERS}{_LOCAL}))|\.)?[0-9]{{2,4}}){{1,4}}(?![0-9]){_DIALLED})"
+)
+#: What may be personal; each alternative is validated before it is replaced.
+PATTERN = rf"(?<![{_NUM}])(?:{_MAIL}|{_IBANS}|{_NUMBERS}{_PHONES}{_LOCAL})"
+#: The same without IBANs, for what looked like one and is none.
+WITHIN = rf"(?<![{_NUM}])(?:{_MAIL}|{_NUMBERS}{_PHONES}{_LOCAL})"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -197,12 +224,15 @@ def _mail(key: str) -> tuple[str, str]:
 
 
 def pseudonym_sql(key: str) -> str:
-    """SQL for the pseudonym of m, or m itself where no kind's validation holds."""
+    """SQL for the pseudonym of m, or m itself where no kind's validation holds; what is no IBAN is searched for other kinds."""
     if "'" in key or "\\" in key:
         raise ValueError("the key may hold no quote and no backslash")
     kinds = [_mail, _address, _date, _ssn, _phone, _card, _iban]
-    branches = " ".join(f"WHEN {valid} THEN {out}" for valid, out in (kind(key) for kind in kinds))
-    return f"CASE {branches} ELSE m END"
+    branches = [f"WHEN {valid} THEN {out}" for valid, out in (kind(key) for kind in kinds)]
+    within = WITHIN.replace("\\", "\\\\")
+    inner = f"transform(regexp_extract_all(m, '{within}', 0), m -> CASE {' '.join(branches[:-1])} ELSE m END)"
+    rescanned = f"array_join(zip_with(split(m, '{within}', -1), {inner}, (gap, x) -> concat(gap, coalesce(x, ''))), '')"
+    return f"CASE {' '.join(branches)} WHEN m rlike '^[A-Z]{{2}}[0-9]{{2}}' THEN {rescanned} ELSE m END"
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:

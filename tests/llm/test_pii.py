@@ -122,3 +122,21 @@ def test_edge_rows(spark, tmp_path):
 def test_key_is_checked():
     with pytest.raises(ValueError):
         pii.pseudonym_sql("a'b")
+
+
+def test_values_next_to_others_are_all_replaced(spark):
+    phone, ibans = "+1 (826) 555-4081", ["ES9121000418450200051332", "BE68539007547034", "DE89370400440532013000", "NO9386011117947"]
+    cases = [(phone, x) for x in ("190.137.223.204", "170.106.47.218", "5551234", "2020-01-31", "536-90-4399", "4845 1681 1440 7329", "212-555-0199")]
+    cases += [("+1 (843) 555-7672", "170.106.47.218")]
+    got, counts = run(spark, [f"{a} {b}" for a, b in cases])
+    for (a, b), text, n in zip(cases, got, counts):
+        first, second = text[: len(a)], text[len(a) + 1 :]
+        assert first == brute(a) != a and n == (1 if b == "5551234" else 2), text
+        assert (second == b) == (b == "5551234"), text
+    got, counts = run(spark, [f"{x} BIC CAIXESBB" for x in ibans] + ["ID12 4845 1681 1440 7329"])
+    assert counts == [1] * 5
+    for x, text in zip(ibans, got):
+        assert text.endswith(" BIC CAIXESBB") and text[: len(x)] != x
+        flat = text[: len(x)]
+        assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+    assert got[-1] == "ID12 " + brute("4845 1681 1440 7329")

@@ -87,3 +87,9 @@ def test_edge_rows(spark, tmp_path):
     empty = tmp_path / "empty"
     empty.mkdir()
     assert html_text.op4_max_subsequence(spark, write_pages(empty, [])).collect() == []
+
+
+def test_attributes_of_any_length_belong_to_their_tag():
+    for quote in "\"'":
+        page = f"<body><div class=nav data-x={quote}{'menu > ' * 15_000}{quote}>Home About</div><article><p>All of the text</p></article></body>"
+        assert html_text.main_text(page, PRIOR) == "All of the text"

@@ -3,7 +3,10 @@
 Words score positive and tags negative; the contiguous run of tokens with the largest sum is
 the content (Pasternack and Roth, 2009), found in one scan. Weights are log odds of being
 inside the content, counted over all pages that label it themselves with an article or main
-element, joined with a few pseudo-counts for tables without such pages.
+element, joined with a few pseudo-counts for tables without such pages. Label tags themselves
+score nothing, so on every page, labelled or not, the scan alone decides where content begins and
+ends. Elements that are no content by the standard, or whose class or id the labelled pages show
+outside content, have no score and leave the run that was chosen.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html import unescape
 from math import log
 
@@ -35,147 +39,224 @@ DROPPED = frozenset(
     "aside button canvas datalist dialog embed footer form head iframe map math menu nav noembed noframes noscript object "
     "script search select style svg template textarea title video audio xmp".split()
 )
-#: Words in class, id or role that name what is not content; those of the second set may name a part of an article's own head.
-BOILERPLATE = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising adsense alert banner breadcrumb breadcrumbs comment comments "
-    "commentlist complementary consent contentinfo cookie cookies dialog disqus donate footer form gdpr login menu menubar modal "
-    "nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion "
-    "recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
-    "subscription toolbar topbar widget".split()
-)
-HEADERS = frozenset("header masthead".split())
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 b i em strong br blockquote pre code figure figcaption q cite sup sub".split())
-OTHERS = frozenset("li a ul ol div span td tr table img input label section".split())
-KNOWN = BLOCKS | SPACING | VOID | DROPPED | CONTENT | OTHERS
+OTHERS = frozenset("a div span img input label section".split())
+LISTS = frozenset("li ul ol td tr table dd dl dt".split())
+KNOWN = BLOCKS | SPACING | VOID | DROPPED | CONTENT | OTHERS | LISTS
+# fixed values of the ARIA standard: roles of what is not content
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar tooltip".split())
+
+#: Pseudo-counts, in words outside content, of class and id names before any labelled page is seen.
+PRIOR_NAMES = frozenset(
+    "ad ads ad-slot adslot advert advertisement banner breadcrumb breadcrumbs comment comments comment-list comments-area "
+    "cookie-notice cookie-banner disqus_thread footer header menu nav navbar newsletter popup promo related related-posts "
+    "respond share-buttons sidebar site-footer site-header social-share sponsored widget".split()
+)
+PRIOR_WORDS = 1000
+#: Share of an element's words that lies outside content before its class or id stands for no content.
+OUTSIDE_SHARE = 0.95
+#: Class and id names in the model: those on the most words. Names of a task are handed on in parts of FLUSH.
+MODEL_NAMES, FLUSH = 10_000, 50_000
 
+#: Score of a tag that belongs to content, and of one that no label page shows.
+SLIGHT, UNSEEN = -0.01, -1.5
+
+_VALUE = r"\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s\"'>][^\s>]*+"
+#: Comments and declarations, or a tag as browsers read it: a quote opens a value only after an equals sign.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:\-]*)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</[^A-Za-z][^>]*+(?:>|\Z)"
+    rf"|<(/?)([A-Za-z][^\s/>]*+)((?:[^=>]++|=\s*+(?:{_VALUE})?+)*+)(?:>|\Z)",
+    re.S,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+ATTRIBUTE = re.compile(rf"(?<![^\s/\"'])(class|id|role|hidden|aria-hidden|style)\s*+(?:=\s*+({_VALUE})|(?=[\s/]|\Z))|=\s*+(?:{_VALUE})", re.I)
+INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
 
-#: Score of a tag that belongs to content, of one that no label page shows, and of a content boundary.
-SLIGHT, UNSEEN, BOUNDARY = -0.01, -1.5, -1e6
+@dataclass
+class Element:
+    """An open tag of a page: its parent, whether a browser shows no content in it, and its class and id names."""
 
+    parent: int
+    name: str
+    out: bool
+    names: tuple[str, ...] = ()
+    labelled: bool = False
+    held: bool = False  # the page's first label element lies within
 
-def _is_boilerplate(name: str, attributes: str, labelled: bool) -> bool:
-    if name in DROPPED:
-        return True
-    if name == "header" and not labelled:
-        return True
-    if not attributes or name in ("html", "body"):
-        return False
-    for key, a, b, c in ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), a or b or c
-        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
-        if key == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        elif value:
-            words = {w.lower() for w in NAME_PART.findall(value)}
-            if words & BOILERPLATE or (not labelled and words & HEADERS):
-                return True
-    return False
 
+@dataclass
+class Page:
+    elements: list[Element] = field(default_factory=list)
+    tokens: list[tuple[str, str, int]] = field(default_factory=list)  # kind, value, element
 
-Token = tuple[str, str, bool, bool]
 
+def _described(attributes: str) -> tuple[bool, tuple[str, ...]]:
+    """(a browser hides it or its role is no content, class and id names)."""
+    out, names = False, []
+    for found in ATTRIBUTE.finditer(attributes):
+        if not found[1]:
+            continue
+        key, value = found[1].lower(), (found[2] or "").strip("\"'")
+        if key in ("class", "id"):
+            names += value.lower().split()
+        elif key == "role":
+            out |= any(x in ROLES for x in value.lower().split())
+        elif key == "style":
+            out |= bool(INVISIBLE.search(value))
+        else:
+            out |= key == "hidden" or value.lower() == "true"
+    return out, tuple(dict.fromkeys(names))
 
-def tokens(html: str) -> Iterator[Token]:
-    """(kind, value, labelled, dropped) in page order; kind is open, close or text.
+
+def parsed(html: str) -> Page:
+    """The page's tokens in order, (open, close or text; tag or text; number of the element), and its elements.
 
     Elements are followed with a stack as browsers do in outline: a void element holds nothing, a
     block ends an open paragraph, an end tag closes down to its element if that is open, and is
-    ignored otherwise; an inline end tag looks no further than the block it stands in. labelled:
-    inside an article or main element. dropped: inside what is not content.
+    ignored otherwise; an inline end tag looks no further than the block it stands in. Each step
+    takes constant time in the depth of the page, or closes what it passes.
     """
-    stack: list[tuple[str, bool, bool]] = []
-    labelled = dropped = False
+    page = Page([Element(0, "", False)])
+    elements, out = page.elements, page.tokens
+    stack: list[int] = [0]
+    places: dict[str, list[int]] = {}  # depths at which elements of a name are open
+    blocks: list[int] = []  # depths of the open blocks
+    first_label = True
     at, size = 0, len(html)
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            name = elements[stack.pop()].name
+            places[name].pop()
+            if name in BLOCKS:
+                blocks.pop()
+
     while at < size:
         found = TOKEN.search(html, at)
         start = found.start() if found else size
         if start > at:
-            yield "text", html[at:start], labelled, dropped
+            out.append(("text", html[at:start], stack[-1]))
         if not found:
-            return
+            break
         at = found.end()
         name = found[2]
         if name is None:
             continue
         name = name.lower()
         if found[1]:
-            depth = len(stack)
-            while depth and stack[depth - 1][0] != name:
-                depth -= 1
-                if name not in BLOCKS and stack[depth][0] in BLOCKS:
-                    depth = 0
-            yield "close", name, labelled, dropped
-            if depth:
-                del stack[depth - 1 :]
-                labelled, dropped = stack[-1][1:] if stack else (False, False)
+            out.append(("close", name, stack[-1]))
+            depth = places.get(name)
+            if depth and (name in BLOCKS or not blocks or depth[-1] > blocks[-1]):
+                close(depth[-1])
             continue
-        if name in BLOCKS:
-            for depth in range(len(stack), 0, -1):
-                inner = stack[depth - 1][0]
-                if inner == "p" or inner == name == "li" or (inner in ("dd", "dt") and name in ("dd", "dt")):
-                    del stack[depth - 1 :]
-                    labelled, dropped = stack[-1][1:] if stack else (False, False)
-                    break
-                if inner in BLOCKS:
-                    break
-        inside = labelled or name in LABELS
-        out = dropped or _is_boilerplate(name, found[3], labelled)
-        yield "open", name, labelled, out
+        if name in BLOCKS and blocks:
+            inner = elements[stack[blocks[-1]]].name
+            if inner == "p" or inner == name == "li" or (inner in ("dd", "dt") and name in ("dd", "dt")):
+                close(blocks[-1])
+        parent = elements[stack[-1]]
+        hidden, names = _described(found[3]) if found[3] and name not in ("html", "body") else (False, ())
+        header = name == "header" and not parent.labelled
+        element = Element(stack[-1], name, hidden or header or name in DROPPED, names, parent.labelled or name in LABELS)
+        number = len(elements)
+        elements.append(element)
+        if name in LABELS and first_label and not element.out:
+            first_label = False
+            while number and not elements[number].held:
+                elements[number].held = True
+                number = elements[number].parent
+        number = len(elements) - 1
+        out.append(("open", name, number))
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+            end = re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(html, at)
             at = end.end() if end else size
-        elif name not in VOID and not found[3].rstrip().endswith("/"):
-            stack.append((name, inside, out))
-            labelled, dropped = inside, out
+        elif name not in VOID and not found[3].endswith("/"):
+            places.setdefault(name, []).append(len(stack))
+            if name in BLOCKS:
+                blocks.append(len(stack))
+            stack.append(number)
+    return page
 
 
 def label_counts(html: str) -> Counter:
-    """(tag or word:tag, inside content) -> occurrences, for a page that labels its content; else nothing."""
+    """(feature, inside content) -> occurrences, for a page that labels its content; else nothing.
+
+    Features are tags, word:tag for words after a tag, and name:x for words in elements of class or id x.
+    Tags and words of elements that are no content by the standard take no part, as they are never scored.
+    """
+    page = parsed(html)
+    dropped = [False] * len(page.elements)
+    for i, e in enumerate(page.elements):
+        dropped[i] = e.out or dropped[e.parent]
     found: Counter = Counter()
-    block = "body"
-    seen = False
-    for kind, value, labelled, dropped in tokens(html):
-        inside = labelled and not dropped
+    own = [[0, 0] for _ in page.elements]
+    block, seen = "body", False
+    for kind, value, number in page.tokens:
+        inside = page.elements[number].labelled and not dropped[number]
         seen |= inside
         if kind == "text":
-            found[f"word:{block}", inside] += len(value.split())
+            words = len(value.split())
+            if not dropped[number]:
+                found[f"word:{block}", inside] += words
+            own[number][inside] += words
             continue
         if value in BLOCKS or value == "a":
             block = value if kind == "open" else "body"
-        if value not in LABELS:
+        if value not in LABELS and not dropped[number]:
             found[value, inside] += 1
-    return found if seen else Counter()
+    if not seen:
+        return Counter()
+    for i in range(len(page.elements) - 1, 0, -1):
+        e = page.elements[i]
+        for name in e.names:
+            found[f"name:{name}", False] += own[i][0]
+            found[f"name:{name}", True] += own[i][1]
+        own[e.parent][0] += own[i][0]
+        own[e.parent][1] += own[i][1]
+    return found
+
 
+@dataclass(frozen=True)
+class Model:
+    """Scores of tags and of words by the tag before them; class and id names that stand for no content."""
 
-def learn_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
-    """Weights of tags and of words by the tag that they follow, from all pages that label their content.
+    scores: dict[str, float]
+    outside: frozenset[str]
 
-    Names beyond the HTML standard's share one entry, so a task hands on a bounded number of counts.
+
+def learn_weights(pages: DataFrame, html_col: str = "html") -> Model:
+    """The model of all pages that label their content.
+
+    Tags beyond the HTML standard's share one entry. Counts are summed by Spark; the driver takes those of
+    the known tags and of the MODEL_NAMES class and id names on the most words, which bounds the model.
     """
 
+    def batch_of(sums: Counter) -> pa.RecordBatch:
+        names, insides, ns = zip(*[(name, inside, n) for (name, inside), n in sums.items()] or [("other", False, 0)])
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(insides), pa.array(ns, pa.int64())], ["name", "inside", "n"])
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: Counter = Counter()
         for batch in batches:
             for html in batch.column(0):
                 for (name, inside), n in label_counts(html.as_py() or "").items():
-                    sums[name if name.split(":")[-1] in KNOWN else "other", inside] += n
-        rows = [(name, inside, n) for (name, inside), n in sums.items()] or [("other", False, 0)]
-        names, insides, ns = zip(*rows)
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(insides), pa.array(ns, pa.int64())], ["name", "inside", "n"])
+                    known = name.startswith("name:") or name.split(":")[-1] in KNOWN
+                    sums[name if known else "other", inside] += n
+                if len(sums) > FLUSH:
+                    yield batch_of(sums)
+                    sums.clear()
+        yield batch_of(sums)
 
     counts = pages.select(F.col(html_col).cast("string")).mapInArrow(counted, "name string, inside boolean, n long")
-    rows = counts.groupBy("name", "inside").agg(F.sum("n").alias("n")).collect()  # at most four for each known tag
-    return weights_of({(r.name, r.inside): r.n for r in rows})
+    sums = counts.groupBy("name").agg(*[F.sum(F.when(F.col("inside") == x, F.col("n")).otherwise(0)).alias(c) for x, c in ((True, "a"), (False, "b"))])
+    is_name = F.col("name").startswith("name:")
+    tags = sums.where(~is_name).collect()  # at most two for each known tag
+    most = F.col("a") + F.col("b")
+    names = sums.where(is_name & (F.col("b") > F.col("a"))).orderBy(most.desc(), "name").limit(MODEL_NAMES).collect()
+    inside = sums.where(is_name & F.col("name").isin([f"name:{x}" for x in PRIOR_NAMES])).collect()  # at most the names listed
+    return weights_of({(r.name, x): r[c] for r in [*tags, *names, *inside] for x, c in ((True, "a"), (False, "b"))})
 
 
-def weights_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
+def weights_of(counts: dict[tuple[str, bool], int]) -> Model:
     """Clipped log odds: tags never score above SLIGHT, words never below 0.1."""
     inside, outside = Counter(), Counter()
     for (name, within), n in counts.items():
@@ -184,44 +265,61 @@ def weights_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
         inside[name] += 5
     for name in OTHERS:
         outside[name] += 5
+    for name in LISTS:
+        outside[name] += 1
+    for name in PRIOR_NAMES:
+        outside[f"name:{name}"] += PRIOR_WORDS
+    features = inside.keys() | outside.keys()
+    names = {n for n in features if n.startswith("name:")}
     out = {}
-    for words in (False, True):
-        names = {n for n in inside.keys() | outside.keys() if n.startswith("word:") == words}
-        a, b = sum(inside[n] for n in names) + len(names), sum(outside[n] for n in names) + len(names)
-        for n in names:
-            odds = log((inside[n] + 1) / a) - log((outside[n] + 1) / b)
-            out[n] = min(max(odds, 0.1), 3.0) if words else min(max(odds, -5.0), SLIGHT)
-    return out
+    for n in features - names:
+        odds = log((inside[n] + 1) / (outside[n] + 1))
+        out[n] = min(max(odds, 0.1), 3.0) if n.startswith("word:") else min(max(odds, -5.0), SLIGHT)
+    bad = {n[5:] for n in names if outside[n] >= OUTSIDE_SHARE * (inside[n] + outside[n] + 1)}
+    return Model(out, frozenset(bad))
+
+
+def scored(page: Page, model: Model) -> tuple[list[float], list[bool]]:
+    """The score of each token, and which of them lie in elements that are no content."""
+    gone = [False] * len(page.elements)
+    for i, e in enumerate(page.elements):
+        gone[i] = gone[e.parent] or e.out or (not e.held and any(x in model.outside for x in e.names))
+    scores, block = [], "body"
+    for kind, value, number in page.tokens:
+        if kind == "text":
+            scores.append(0.0 if gone[number] else len(value.split()) * model.scores.get(f"word:{block}", 1.0))
+            continue
+        if value in BLOCKS or value == "a":
+            block = value if kind == "open" else "body"
+        scores.append(0.0 if gone[number] or value in LABELS else model.scores.get(value, UNSEEN))
+    return scores, [gone[number] for _, _, number in page.tokens]
 
 
-def main_text(html: str | None, weights: dict[str, float]) -> str:
-    """The blocks of the best-scoring run of tokens, one a line."""
-    if not html:
-        return ""
-    page = list(tokens(html))
-    best = (0.0, 0, 0)
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """(start, end) of the contiguous run with the largest sum, empty if no sum is positive: one linear scan."""
+    best, run = 0.0, (0, 0)
     total, start = 0.0, 0
-    block = "body"
-    for i, (kind, value, labelled, dropped) in enumerate(page):
-        if kind == "text":
-            score = 0.0 if dropped else len(value.split()) * weights.get(f"word:{block}", 1.0)
-        else:
-            if value in BLOCKS or value == "a":
-                block = value if kind == "open" else "body"
-            if value in LABELS and not dropped:
-                score = BOUNDARY
-            else:
-                score = 0.0 if dropped else SLIGHT if labelled else weights.get(value, UNSEEN)
+    for i, score in enumerate(scores):
         if total <= 0:
             total, start = 0.0, i
         total += score
-        if total > best[0]:
-            best = (total, start, i + 1)
+        if total > best:
+            best, run = total, (start, i + 1)
+    return run
+
+
+def main_text(html: str | None, model: Model) -> str:
+    """The blocks of the best-scoring run of tokens, one a line."""
+    if not html:
+        return ""
+    page = parsed(html)
+    scores, gone = scored(page, model)
+    start, end = best_run(scores)
     lines: list[str] = []
     parts: list[str] = []
-    for kind, value, _, dropped in page[best[1] : best[2]]:
+    for (kind, value, _), out in zip(page.tokens[start:end], gone[start:end]):
         if kind == "text":
-            if not dropped:
+            if not out:
                 parts.append(value)
         elif value in BLOCKS:
             lines.append("".join(parts))
@@ -232,12 +330,13 @@ def main_text(html: str | None, weights: dict[str, float]) -> str:
     return "\n".join(x for x in (" ".join(unescape(line).split()) for line in lines) if x)
 
 
-def with_main_text(pages: DataFrame, weights: dict[str, float], html_col: str = "html", out: str = "text") -> DataFrame:
+def with_main_text(pages: DataFrame, model: Model, html_col: str = "html", out: str = "text") -> DataFrame:
     """Add the main text of each page; a column named like `out` is replaced. Rows are handled one by one."""
+    handed = pages.sparkSession.sparkContext.broadcast(model)  # known tags and at most MODEL_NAMES names
 
     @F.pandas_udf("string")
     def extracted(html: pd.Series) -> pd.Series:
-        return pd.Series([main_text(None if x is None or x is pd.NA else x, weights) for x in html], dtype=object)
+        return pd.Series([main_text(None if x is None or x is pd.NA else x, handed.value) for x in html], dtype=object)
 
     return pages.withColumn(out, extracted(F.col(html_col).cast("string")))
 

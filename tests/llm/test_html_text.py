@@ -1,4 +1,6 @@
+import random
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -55,25 +57,84 @@ def test_page_without_labels_takes_the_best_run():
 
 
 def test_scan_finds_the_maximum_like_all_pairs():
-    import random
-
     rng = random.Random(0)
-    for _ in range(50):
-        page = "".join(rng.choice(["<div>", "<li>", "<p>", "alpha ", "beta gamma ", "<a>"]) for _ in range(30))
-        page_tokens = list(html_text.tokens(page))
-        scores, block = [], "body"
-        for kind, value, _, _ in page_tokens:
-            if kind == "text":
-                scores.append(len(value.split()) * PRIOR.get(f"word:{block}", 1.0))
-            else:
-                block = value if value in html_text.BLOCKS or value == "a" else block
-                scores.append(PRIOR.get(value, html_text.UNSEEN))
-        best = max([(sum(scores[i:j]), i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)] or [(0, 0, 0)])
-        words = html_text.main_text(page, PRIOR).split()
-        whole = [w for k, v, _, _ in page_tokens[best[1] : best[2]] if k == "text" for w in v.split()]
-        assert sum(len(w) for w in words) > 0 or best[0] <= 0
-        if best[0] > 0:
-            assert abs(len(words) - len(whole)) <= 3
+    for _ in range(300):
+        scores = [rng.choice([-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 3.0]) for _ in range(rng.randrange(25))]
+        start, end = html_text.best_run(scores)
+        sums = {(i, j): sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)}
+        best = max(sums.values(), default=0.0)
+        assert (start, end) == (0, 0) if best <= 0 else sums[start, end] == best
+
+
+def test_main_text_is_the_text_of_the_best_run():
+    rng = random.Random(1)
+    for _ in range(100):
+        page = "".join(rng.choice(["<div>", "<li>", "<p>", "alpha ", "beta gamma ", "<a>", "</a>", "</div>"]) for _ in range(30))
+        found = html_text.parsed(page)
+        scores, gone = html_text.scored(found, PRIOR)
+        assert not any(gone)
+        sums = [(sum(scores[i:j]), -i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+        best = max(sums, default=(0.0, 0, 0))
+        words = [w for kind, value, _ in found.tokens[-best[1] : best[2]] if kind == "text" for w in value.split()] if best[0] > 0 else []
+        start, end = html_text.best_run(scores)
+        assert abs(sum(scores[start:end]) - max(best[0], 0)) < 1e-9
+        own = [w for kind, value, _ in found.tokens[start:end] if kind == "text" for w in value.split()]
+        assert html_text.main_text(page, PRIOR).split() == own and len(own) <= len(words) + 3
+
+
+def unlabelled(html):
+    """A test page whose elements do not tell what they hold: no article, nav, footer or class."""
+    html = re.sub(r"</?article>", "", html).replace(' class="ad"', "")
+    return re.sub(r"<(/?)(?:nav|footer)>", r"<\1div>", html)
+
+
+def test_pages_without_labels_by_weights_of_labelled_ones(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    model = html_text.learn_weights(pages)
+    both = found = wanted = 0
+    for r in pages.collect():
+        got, want = Counter(html_text.main_text(unlabelled(r.html), model).split()), Counter(by_template(r.html).split())
+        both, found, wanted = both + (got & want).total(), found + got.total(), wanted + want.total()
+    assert both >= 0.95 * found and both >= 0.95 * wanted
+
+
+def test_several_labels_are_all_kept():
+    two = "<body><nav>Home</nav><article><p>First of the articles</p></article><article><p>Second of the articles</p></article></body>"
+    assert html_text.main_text(two, PRIOR) == "First of the articles\nSecond of the articles"
+    nested = "<main><h1>Title of it</h1><p>A lead</p><article>The body of it</article><p>And the rest</p></main>"
+    assert html_text.main_text(nested, PRIOR) == "Title of it\nA lead\nThe body of it\nAnd the rest"
+
+
+def test_names_that_only_resemble_boilerplate_keep_their_text():
+    for tag in ("article class='post tag-search'", "main class='has-sidebar'", "div class='content no-sidebar'", "article class='post comments-open'"):
+        page = f"<body><{tag}><p>All of the text</p><div class='share-price'>Price of a share</div><p>More of the text</p></{tag.split()[0]}></body>"
+        assert html_text.main_text(page, PRIOR) == "All of the text\nPrice of a share\nMore of the text"
+    assert html_text.main_text("<article><section id='search-engines'><p>On engines of search</p></section></article>", PRIOR) == "On engines of search"
+
+
+def test_names_outside_content_are_learned():
+    page = "<body><div class='zq-teaser'>" + "buy it all now " * 20 + "</div><article><p>" + "word " * 50 + "</p></article></body>"
+    counts = Counter()
+    for _ in range(20):
+        counts.update(html_text.label_counts(page))
+    model = html_text.weights_of(counts)
+    assert "zq-teaser" in model.outside
+    later = "<body><article><p>Some words first</p><div class='zq-teaser'>buy it</div><p>Some words last</p></article></body>"
+    assert html_text.main_text(later, model) == "Some words first\nSome words last"
+    shown = html_text.weights_of(Counter({("name:ad", True): 10**6}))
+    assert "ad" not in shown.outside and "ad" in PRIOR.outside
+
+
+def test_tags_end_where_browsers_end_them():
+    want = "words of the first part two words of the last part"
+    for inner in ("<a title=don't href=x>two</a>", "<a b = '>' c>two</a>", "<a b=>two</a>", "<!-->two<!-- - --!>", "<b x==\">two</b>", "<?x>two</3>"):
+        assert html_text.main_text(f"<article><p>words of the first part {inner} words of the last part</p></article>", PRIOR) == want
+    assert html_text.main_text("<article><p>one two</p><img src=\"never ends > <p>three</p></article>", PRIOR) == "one two"
+
+
+def test_deep_and_unbalanced_pages_take_linear_time():
+    deep = "<b>" * 100_000 + "text of it " + "</i>" * 100_000 + "<hr>" * 100_000 + "</b>" * 100_000
+    assert html_text.main_text(deep, PRIOR) == "text of it"
 
 
 def test_edge_rows(spark, tmp_path):

@@ -1,20 +1,23 @@
 """Removal of repeated byte strings by distributed prefix doubling.
 
-A suffix array by prefix doubling ranks all positions by ever longer prefixes and drops those that
-have become unique. Here the lengths grow from ANCHOR bytes to the threshold, and only positions that
-can still matter are ranked:
-
-1. Every threshold-long window picks one anchor inside it, the ANCHOR-byte gram with the least hash
-   (winnowing). Equal windows pick the same gram at the same place, so windows need comparing only
-   where anchors are equal. An anchor's rank pair is its gram and its segment, the bytes of all the
-   windows that picked it. Spark sorts these pairs by range. A gram that is alone drops out; segments
-   that are equal settle all of their windows at once.
-2. What is left are unlike segments around equal grams. The windows in these are ranked at a quarter of
-   the threshold, and rank pairs at growing offsets give half of it and all of it; positions unique at
-   one length do not go on to the next. Segments of a few keys are ranked together in one task; keys
-   with more unlike segments than a task should hold go through Spark's shuffle window by window.
-
-Names of byte strings are 64-bit hashes, compared in pairs of two.
+A suffix array by prefix doubling ranks positions by ever longer strings: Spark sorts pairs of ranks at a
+growing offset, equal pairs get one new rank, and positions whose pair is unique drop out. Here the lengths
+grow from ANCHOR bytes over about two thirds of the threshold to the threshold:
+
+1. Anchors prune the positions of the first length. Every threshold-long window picks the ANCHOR-byte gram
+   with the least hash inside it (winnowing). Equal windows pick the same gram at the same place, so windows
+   need comparing only where anchors are equal. Spark sorts the pairs (gram, segment), the segment being the
+   bytes of all windows that picked the anchor. A gram that is alone drops out; equal segments settle all of
+   their windows at once.
+2. What is left are unlike segments around equal grams. Equal windows share as many bytes on both sides of
+   their anchors together as the threshold leaves, hence half of these on the left or on the right. Spark
+   sorts the pairs (gram, gram at that offset) of either side; anchors whose pairs are both unique drop out.
+3. The windows of the anchors that stay are ranked at the threshold: Spark sorts the pairs (first half,
+   second half) of their names. What occurs again is past the threshold, and repeated.
+
+Each sort breaks ties by position and goes by range, so equal pairs of any number are dealt over partitions;
+neighbours are compared within a partition and at most two rows of each partition across them. The rank of a
+string is its 64-bit name, the same in all partitions; names are compared in pairs of two.
 """
 
 from __future__ import annotations
@@ -31,9 +34,6 @@ from tallyforge.llm.common import cut, table
 
 #: Bytes of an anchor; windows of a text handled at a time.
 ANCHOR, STEP = 64, 1 << 20
-#: Unlike segments of one key that are ranked within a task (some 5 MB of bytes and a million windows), and
-#: segments in such a task, about.
-FEW, TOGETHER = 16_384, 4096
 
 _random = np.random.default_rng(20240229)
 _BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64)
@@ -67,32 +67,45 @@ def gram_names(data: np.ndarray, length: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, first window, number of windows) of the anchors of one text, in text order.
+def side_offset(length: int) -> int:
+    """Equal windows around equal grams share at least so many bytes before the gram, or after its start as many again."""
+    return (length - ANCHOR) // 2
 
-    The least name in a window wins, the first of equal ones; both depend on the window alone.
+
+def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(name, first window, number of windows, name on the left, name on the right) of the anchors of one text, in text order.
+
+    The least name in a window wins, the first of equal ones; both depend on the window alone. The names on the
+    sides are those of the grams at side_offset. Where the text has no such gram the anchor's position stands in;
+    should another anchor's equal it, the anchor only goes on for longer.
     """
     total = len(data) - length + 1
+    span, off = length - ANCHOR + 1, side_offset(length)
     found = []
     for at in range(0, total, STEP):
-        piece = data[at : at + STEP + length - 1]
-        windows = len(piece) - length + 1
-        span = length - ANCHOR + 1
-        names = gram_names(piece, ANCHOR)
+        windows = min(STEP, total - at)
+        margin = min(at, off)
+        piece = gram_names(data[at - margin : at + windows + length - 1 + off], ANCHOR)
+        names = piece[margin : margin + windows + length - ANCHOR]
         keyed = (names & ~np.uint64(0x1FFFFF)) | np.arange(len(names), dtype=np.uint64)
         blocks = np.concatenate([keyed, np.full(-len(keyed) % span, 2**64 - 1, np.uint64)]).reshape(-1, span)
         ahead = np.minimum.accumulate(blocks, axis=1).ravel()
         behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
         picked = (np.minimum(behind[:windows], ahead[span - 1 : span - 1 + windows]) & np.uint64(0x1FFFFF)).astype(np.int64)
         starts = np.flatnonzero(np.r_[True, picked[1:] != picked[:-1]])
-        found.append((names[picked[starts]], starts + at, np.diff(np.r_[starts, windows])))
+        place = picked[starts] + margin
+        sides = [np.where((x >= 0) & (x < len(piece)), piece[np.clip(x, 0, len(piece) - 1)], (place + at).astype(np.uint64)) for x in (place - off, place + off)]
+        found.append((names[picked[starts]], starts + at, np.diff(np.r_[starts, windows]), *sides))
     if not found:
-        return (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 2)
+        return tuple(np.empty(0, np.int64) for _ in range(5))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+ANCHORS = "key long, seg long, t1 long, t2 long, s long, n int, left long, right long"
+
+
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(key, seg, t1, t2, s, n): name of the anchor and of its segment, the text, first window and number of windows."""
+    """Name of the anchor and of its segment, the text, first window and number of windows, names on the anchor's sides."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,14 +113,14 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 if text.as_py() is None or len(text.as_py()) < length:
                     continue
                 raw = text.as_py()
-                names, first, count = anchors(np.frombuffer(raw, np.uint8), length)
+                names, first, count, left, right = anchors(np.frombuffer(raw, np.uint8), length)
                 ends = (first + count + length - 1).tolist()
                 segments = np.array([xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), ends)], np.uint64)
                 size = len(names)
-                columns = [names.view(np.int64), segments.view(np.int64), np.full(size, t1), np.full(size, t2), first, count.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "seg", "t1", "t2", "s", "n"])
+                columns = [names.view(np.int64), segments.view(np.int64), np.full(size, t1), np.full(size, t2), first, count.astype(np.int32), left.view(np.int64), right.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in ANCHORS.split(", ")])
 
-    return docs.select("t1", "t2", "data").mapInArrow(rows, "key long, seg long, t1 long, t2 long, s long, n int")
+    return docs.select("t1", "t2", "data").mapInArrow(rows, ANCHORS)
 
 
 SETTLED, SINGLE, SAMPLE, EDGE = 0, 1, 2, 3
@@ -138,8 +151,8 @@ def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for kind, chosen in ((SETTLED, settled), (SINGLE, ~settled & other & inner), (SAMPLE, settled & other & inner)):
         some = rows.filter(pa.array(chosen))
         if kind == SETTLED:  # names are not needed any more
-            for i, name in enumerate(("key", "seg")):
-                some = some.set_column(i, name, pa.array(np.zeros(some.num_rows, np.int64)))
+            for i in [i for i, name in enumerate(some.column_names) if name in ("key", "seg", "left", "right")]:
+                some = some.set_column(i, some.column_names[i], pa.array(np.zeros(some.num_rows, np.int64)))
         yield from some.append_column("kind", pa.array(np.full(some.num_rows, kind, np.int32))).to_batches()
     edges = np.unique([0, firsts[-1]])
     ends = [firsts[1], len(key)] if len(firsts) > 1 else [len(key)]
@@ -148,11 +161,12 @@ def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def classed_anchors(docs: DataFrame, length: int) -> DataFrame:
-    """(key, seg, t1, t2, s, n, kind) with kind SETTLED, SINGLE or SAMPLE, of anchors whose gram occurs again."""
+    """Anchors whose gram occurs again, with kind SETTLED, SINGLE or SAMPLE."""
     rows = cut(_anchor_rows(docs, length), "anchors")
     order = ["key", "seg", "t1", "t2", "s"]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    classed = cut(ordered.mapInArrow(_classed, "key long, seg long, t1 long, t2 long, s long, n int, kind int"), "classed")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", kind int"
+    classed = cut(ordered.mapInArrow(_classed, schema), "classed")
     # at most two rows of each partition, whatever a gram's share of all rows
     bits = F.col("kind") - EDGE
     edges = classed.where(F.col("kind") >= EDGE)
@@ -168,135 +182,90 @@ def classed_anchors(docs: DataFrame, length: int) -> DataFrame:
     return classed.where(F.col("kind") < EDGE).unionAll(settled.select(names)).unionAll(single.select(names)).unionAll(sample.select(names))
 
 
-def _with_bytes(docs: DataFrame, open_rows: DataFrame, length: int) -> DataFrame:
-    """(key, t1, t2, s, sample, segment): the bytes of each segment that is still open."""
-    wanted = open_rows.groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "s", "n", "kind")).alias("wanted"))
-    texts = docs.groupBy("t1", "t2").agg(F.first("data").alias("data"))
-    joined = texts.join(wanted, ["t1", "t2"]).select("t1", "t2", "data", "wanted")
-
-    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t1, t2, data, wanted in zip(*batch.columns):
-                data = data.as_py()
-                for w in wanted.as_py():
-                    segment = data[w["s"] : w["s"] + w["n"] + length - 1]
-                    row = [w["key"], t1.as_py(), t2.as_py(), w["s"], w["kind"] == SAMPLE, segment]
-                    rows.append(row)
-                    if len(rows) == 4096:
-                        yield packed()
-        if rows:
-            yield packed()
-
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-    rows: list[list] = []
-
-    def packed() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["key", "t1", "t2", "s", "sample", "segment"])
-        rows.clear()
-        return out
-
-    return joined.mapInArrow(sliced, "key long, t1 long, t2 long, s long, sample boolean, segment binary")
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows with a pair (a, b) those equal to a neighbour (kind 0), a batch at a time with one row held back.
 
+    The first and the last row of the partition have kind 1, or 2 if equal to a neighbour here.
+    """
+    held: pa.RecordBatch | None = None
+    before, first = False, True  # whether the held row equals the one before it; whether it is the partition's first
+
+    def out(rows: pa.RecordBatch, again: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
+        kinds = np.where(kinds > 0, kinds + again, 0).astype(np.int32)
+        kept = pa.array(again | (kinds > 0))
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(kinds)], [*rows.schema.names, "kind"]).filter(kept)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        a, b = rows.column("a").to_numpy(), rows.column("b").to_numpy()
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        again = np.r_[before, same[:-1]] | same if len(a) > 1 else np.zeros(0, bool)
+        kinds = np.zeros(len(again), np.int32)
+        if first and len(kinds):
+            kinds[0], first = 1, False
+        if len(again):
+            yield out(rows.slice(0, len(again)), again, kinds)
+        held, before = rows.slice(len(again)), bool(same[-1]) if len(same) else before
+    if held is not None:
+        yield out(held, np.array([before]), np.array([1]))
+
+
+def repeated_pairs(rows: DataFrame) -> DataFrame:
+    """Rows (a long, b long, t1, t2, s, ...) whose pair (a, b) occurs in another row: one step of doubling.
+
+    Sorted by range with the position as tie-breaker, so a pair of any number of rows is spread over partitions.
+    """
+    order = ["a", "b", "t1", "t2", "s"]
+    rows = cut(rows, "pairs")
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", kind int"
+    found = cut(ordered.mapInArrow(_neighbours, schema), "repeated-pairs")
+    edges = found.where("kind > 0")  # at most two rows of each partition
+    shared = edges.groupBy("a", "b").agg((F.max("kind") > 1).alias("here"), F.count("*").alias("n")).where("here OR n > 1")
+    return found.where("kind = 0").unionAll(edges.join(shared.select("a", "b"), ["a", "b"], "left_semi").select(found.columns)).drop("kind")
 
-def _ranked(pairs: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Ranks of pairs of ranks: equal pairs get one number."""
-    _, rank = np.unique(pairs * (other.max(initial=0) + 1) + other, return_inverse=True)
-    return rank
 
+def _sided(open_rows: DataFrame) -> DataFrame:
+    """(t1, t2, s, n, sample): open anchors whose gram and the gram on one of its sides occur together again."""
+    side = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("b")), F.struct(F.lit(1).alias("side"), F.col("right").alias("b"))))
+    rows = open_rows.withColumn("x", side)
+    # the side is part of the pair: it takes the last bit of the gram's name
+    a = F.shiftleft("key", 1).bitwiseXOR(F.col("x.side").cast("long"))
+    again = repeated_pairs(rows.select(a.alias("a"), F.col("x.b").alias("b"), "t1", "t2", "s", "n", F.col("kind").alias("origin")))
+    return again.groupBy("t1", "t2", "s").agg(F.max("n").alias("n"), F.max(F.col("origin") == SAMPLE).alias("sample"))
 
-def repeated_windows(segments: list[bytes], samples: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each segment, which of its windows occur in another place; a sample's windows count twice.
 
-    Prefix doubling over all positions of the segments: names of a quarter of the length are ranked,
-    then pairs give ranks of a half and of the whole. Windows with a unique part are dropped on the way.
-    """
-    quarter = length // 4
-    data = np.frombuffer(b"".join(segments), np.uint8)
-    sizes = np.array([len(s) for s in segments])
-    starts = np.cumsum(sizes) - sizes
-    counts = sizes - length + 1
-    at = np.repeat(starts - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
-    owner = np.repeat(np.arange(len(segments)), counts)
-    weight = np.where(samples[owner], 2, 1)
-    # the last part starts where it ends with the window, so that lengths not divisible by four are covered
-    offsets = (0, quarter, 2 * quarter, length - quarter) if length % 4 == 0 else (0, quarter, 2 * quarter, 3 * quarter, length - quarter)
-    _, rank, seen = np.unique(gram_names(data, quarter), return_inverse=True, return_counts=True)
-    # a part of a sample may be the only one of its kind and still occur twice
-    twice = np.zeros(len(data), bool)
-    for first, size in zip(starts[samples], sizes[samples]):
-        twice[first : first + size] = True
-    shared = (seen > 1)[rank] | twice[: len(rank)]
-    kept = np.logical_and.reduce([shared[at + o] for o in offsets])
-    at, owner_kept, weight_kept = at[kept], owner[kept], weight[kept]
-    parts = [rank[at + o] for o in offsets]
-    while len(parts) > 1:
-        if len(parts) % 2:
-            parts.append(np.zeros(len(at), np.int64))
-        size = len(at)
-        left = np.concatenate(parts[0::2]) if len(parts) > 2 else parts[0]
-        right = np.concatenate(parts[1::2]) if len(parts) > 2 else parts[1]
-        rank = _ranked(left, right)
-        parts = [rank[i * size : (i + 1) * size] for i in range(len(parts) // 2)]
-    again = np.bincount(parts[0], weight_kept)[parts[0]] > 1 if len(at) else np.zeros(0, bool)
-    flags = np.zeros(len(kept), bool)
-    flags[np.flatnonzero(kept)[again]] = True
-    return np.split(flags, np.cumsum(counts)[:-1])
-
-
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    """(first, last) of each run of true values."""
-    edges = np.flatnonzero(np.diff(np.r_[False, flags, False].astype(np.int8)))
-    return [(a, b - 1) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
-
-
-def _rank_in_tasks(segments: DataFrame, length: int) -> DataFrame:
-    groups = max(1, -(-segments.count() // TOGETHER))
-
-    def ranked(rows: pa.Table) -> pa.Table:
-        sample = rows.column("sample").to_numpy(zero_copy_only=False)
-        flags = repeated_windows(rows.column("segment").to_pylist(), sample, length)
-        out = []
-        for t1, t2, s, is_sample, own in zip(*[rows.column(c).to_pylist() for c in ("t1", "t2", "s")], sample, flags):
-            if not is_sample:
-                out += [(t1, t2, s + a, s + b) for a, b in _runs(own)]
-        columns = list(zip(*out)) if out else [()] * 4
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("t1", "t2", "lo", "hi"), columns)})
-
-    together = segments.withColumn("together", F.expr(f"pmod(xxhash64(key), {groups})"))
-    return together.groupBy("together").applyInArrow(ranked, "t1 long, t2 long, lo long, hi long")
-
-
-def _rank_in_shuffle(segments: DataFrame, length: int) -> DataFrame:
-    """The last doubling as Spark's own: pairs of half-length names, one row for each window."""
+def _windows(docs: DataFrame, anchors_left: DataFrame, length: int) -> DataFrame:
+    """(a, b, t1, t2, s, sample): names of both halves of each window that could still be repeated."""
     half = length // 2
+    wanted = cut(anchors_left.groupBy("t1", "t2").agg(F.collect_list(F.struct("s", "n", "sample")).alias("wanted")), "wanted")
+    texts = docs.join(wanted.select("t1", "t2"), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("data").alias("data"))
+    joined = texts.join(wanted, ["t1", "t2"])
+    schema = "a long, b long, t1 long, t2 long, s long, sample boolean"
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t1, t2, s, sample, segment in zip(*[batch.column(c) for c in ("t1", "t2", "s", "sample", "segment")]):
-                names = gram_names(np.frombuffer(segment.as_py(), np.uint8), half).view(np.int64)
-                count = len(segment.as_py()) - length + 1
-                a, b = names[:count], names[length - half :][:count]
-                if length % 2:
-                    a = a ^ (gram_names(np.frombuffer(segment.as_py(), np.uint8), half + 1).view(np.int64)[:count] << 1)
-                columns = [a, b, np.full(count, t1.as_py()), np.full(count, t2.as_py()), np.arange(count) + s.as_py(), np.full(count, 2 if sample.as_py() else 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "t1", "t2", "lo", "w"])
+            for t1, t2, data, wanted in zip(*[batch.column(c) for c in ("t1", "t2", "data", "wanted")]):
+                raw = data.as_py()
+                for w in wanted.as_py():
+                    piece = np.frombuffer(raw[w["s"] : w["s"] + w["n"] + length - 1], np.uint8)
+                    a, b = gram_names(piece, half)[: w["n"]], gram_names(piece, length - half)[half:][: w["n"]]
+                    size = len(a)
+                    columns = [a.view(np.int64), b.view(np.int64), np.full(size, t1.as_py()), np.full(size, t2.as_py()), np.arange(size) + w["s"], np.full(size, w["sample"])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "t1", "t2", "s", "sample"])
 
-    rows = segments.mapInArrow(pairs, "a long, b long, t1 long, t2 long, lo long, w long")
-    again = rows.groupBy("a", "b").agg(F.sum("w").alias("total")).where("total > 1").select("a", "b")
-    return rows.where("w = 1").join(again, ["a", "b"]).select("t1", "t2", "lo", F.col("lo").alias("hi"))
+    return joined.mapInArrow(named, schema)
 
 
 def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     """(t1, t2, data) -> (t1, t2, lo, hi): windows lo to hi of a text start a string that occurs elsewhere too."""
     found = classed_anchors(docs, length)
     settled = found.where(F.col("kind") == SETTLED).select("t1", "t2", F.col("s").alias("lo"), (F.col("s") + F.col("n") - 1).alias("hi"))
-    open_rows = found.where(F.col("kind") != SETTLED)
-    segments = cut(_with_bytes(docs, open_rows, length), "open-segments")
-    many = segments.groupBy("key").count().where(F.col("count") > FEW).select("key")
-    many = cut(many, "many")
-    few_ranges = _rank_in_tasks(segments.join(many, "key", "left_anti"), length)
-    many_ranges = _rank_in_shuffle(segments.join(many, "key", "left_semi"), length)
-    return settled.unionAll(few_ranges).unionAll(many_ranges)
+    anchors_left = _sided(found.where(F.col("kind") != SETTLED))
+    ranked = repeated_pairs(_windows(docs, anchors_left, length))
+    return settled.unionAll(ranked.where("NOT sample").select("t1", "t2", F.col("s").alias("lo"), F.col("s").alias("hi")))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:

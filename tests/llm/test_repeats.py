@@ -55,10 +55,9 @@ def run(spark, tmp_path, texts):
     return [tuple(r)[1:] for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
-@pytest.mark.parametrize("few", [16_384, 2])
-def test_query_matches_brute_force(spark, tmp_path, monkeypatch, few):
-    monkeypatch.setattr(repeats, "FEW", few)
-    texts = corpus(3, 150)
+@pytest.mark.parametrize("seed", [3, 4])
+def test_query_matches_brute_force(spark, tmp_path, seed):
+    texts = corpus(seed, 150)
     want = brute(texts)
     assert run(spark, tmp_path, texts) == want
     assert 20 < sum(0 < w[1] < w[0] for w in want)
@@ -70,10 +69,42 @@ def test_equal_windows_pick_equal_anchors(monkeypatch, step):
     rng = np.random.default_rng(1)
     data = rng.integers(0, 3, 5000, dtype=np.uint8)
     data[3000:4500] = data[500:2000]
-    names, first, count = repeats.anchors(data, 200)
+    names, first, count, left, right = repeats.anchors(data, 200)
     assert first[0] == 0 and (first[1:] == first[:-1] + count[:-1]).all() and first[-1] + count[-1] == 4801
     of_window = np.repeat(names, count)
     assert (of_window[3000:4301] == of_window[500:1801]).all()
+    grams = repeats.gram_names(data, repeats.ANCHOR)
+    at = [max(p for p in range(f, f + 137) if grams[p] == n) for f, n in zip(first, names)]
+    for p, x, y in zip(at, left, right):
+        assert p < 68 or x == grams[p - 68]
+        assert p + 68 >= len(grams) or y == grams[p + 68]
+
+
+def test_one_step_of_doubling(spark):
+    """Rows whose pair occurs again, wherever the partitions' borders lie and however many rows share a pair."""
+    rng = random.Random(5)
+    for partitions, kinds in ((1, 3), (4, 1), (13, 40), (7, 400), (5, 10**6)):
+        pairs = [(rng.randrange(kinds), rng.randrange(3)) for _ in range(300)]
+        rows = spark.createDataFrame([(a, b, 0, 0, i, "x") for i, (a, b) in enumerate(pairs)], "a long, b long, t1 long, t2 long, s long, more string")
+        before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        try:
+            found = repeats.repeated_pairs(rows).collect()
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+        count = Counter(pairs)
+        assert sorted(r["s"] for r in found) == [i for i, p in enumerate(pairs) if count[p] > 1]
+
+
+@pytest.mark.parametrize("length", [128, 200, 203])
+def test_other_lengths(spark, tmp_path, length):
+    texts = corpus(length, 80)
+    rows = repeats.without_repeats(spark.read.parquet(write_documents(tmp_path, texts)), length=length).collect()
+    got = [(len(r.data), len(r.data) - len(r.kept), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in sorted(rows, key=lambda r: r.id)]
+    assert got == brute(texts, length)
 
 
 def test_periodic_and_long_texts(spark, tmp_path):
@@ -96,33 +127,14 @@ def test_edge_rows(spark, tmp_path):
     assert repeats.op7_prefix_doubling(spark, write_documents(empty, [])).collect() == []
 
 
-@pytest.mark.parametrize("length", [200, 201, 203])
-def test_repeated_windows_by_doubling(length):
-    rng = random.Random(length)
-    base = bytes(rng.choice(b"abc") for _ in range(330))
-    segments = []
-    for _ in range(12):
-        own = bytearray(base[rng.randrange(60) : rng.randrange(270, 330)])
-        own[rng.randrange(len(own))] = rng.choice(b"abc")
-        segments.append(bytes(own))
-    samples = np.array([k % 5 == 0 for k in range(12)])
-    seen = Counter()
-    for s, twice in zip(segments, samples):
-        for i in range(len(s) - length + 1):
-            seen[s[i : i + length]] += 2 if twice else 1
-    got = repeats.repeated_windows(segments, samples, length)
-    for s, flags in zip(segments, got):
-        assert [seen[s[i : i + length]] > 1 for i in range(len(s) - length + 1)] == flags.tolist()
-
-
 @pytest.mark.parametrize("partitions", [1, 2, 13])
 def test_runs_that_cross_partitions(spark, monkeypatch, partitions):
     """Grams and segments that fill whole partitions are classed as if all rows lay side by side."""
     rng = random.Random(partitions)
     pairs = [(5, 50)] * 60 + [(6, rng.randrange(40)) for _ in range(60)] + [(rng.randrange(9), rng.randrange(4)) for _ in range(40)]
     pairs += [(100 + i, 1) for i in range(20)]
-    rows = [(k, s, i, i, 0, 1) for i, (k, s) in enumerate(pairs)]
-    made = spark.createDataFrame(rows, "key long, seg long, t1 long, t2 long, s long, n int")
+    rows = [(k, s, i, i, 0, 1, 0, 0) for i, (k, s) in enumerate(pairs)]
+    made = spark.createDataFrame(rows, repeats.ANCHORS)
     monkeypatch.setattr(repeats, "_anchor_rows", lambda docs, length: made)
     before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))

@@ -1,35 +1,34 @@
-"""Near copies by exact shingle similarity; MinHash bands propose the pairs.
+"""Near copies by exact shingle similarity: covering SimHash proposes pairs, MinHash bands what it cannot reach.
 
-At a shingle similarity of 0.8 fingerprints of 64 bits differ in 10 bits on average and often in 17,
-for which covering needs 2^18 - 1 tables a row. Each band is the hash of ROWS minima of the shingle set; a pair of
-similarity s misses all bands with probability (1 - s^ROWS)^BANDS, 1.3e-7 at 0.8. Every proposed pair
-is decided on its texts.
+At a shingle similarity of 0.8 fingerprints of 64 bits differ in 10 bits on average and often in 17, for which
+covering needs 2^18 - 1 tables a row. Covering therefore finds the closest copies only, whose links stay linear
+in groups of any size; the bands find the rest. Each band is the hash of ROWS minima of the shingle set; a pair of
+similarity s misses all bands with probability (1 - s^ROWS)^BANDS, 0.0006 at 0.8 and 1e-6 at 0.85. Every
+proposed pair is decided on its whole shingle sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from tallyforge.llm.common import cut
 from tallyforge.llm.components import connected_components
+from tallyforge.llm.simhash import fingerprint_links, fingerprint_of, shingle_hashes
 
-SHINGLE, SEED = 5, 42
+SHINGLE, SEED, RADIUS = 5, 42, 2
 #: Least similarity as a fraction, so that the decision is one of whole numbers.
 LEAST = (4, 5)
-BANDS, ROWS = 40, 5
-#: Shingles permuted at a time, so that a very long text needs no more memory than this.
-STEP = 1 << 12
-#: Rounds of stars before all pairs left are decided at once, however many they are; as few as FEW are at any time.
-STARS, FEW = 3, 100_000
+BANDS, ROWS = 40, 8
+#: Shingles permuted at a time, so that a very long text needs no more memory than this; shingles in a batch handed on.
+STEP, HANDED = 1 << 11, 1 << 20
+#: All pairs still open are decided once they are no more than this many times the entries of the buckets.
+OPEN = 2
 
 _random = np.random.default_rng(SEED)
 FACTORS = _random.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
@@ -38,16 +37,7 @@ FLIPS = _random.integers(0, 2**64, BANDS * ROWS, np.uint64)
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted hashes of the distinct shingles; A-Z is lower-cased, fewer words than SHINGLE are one shingle."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    size = min(SHINGLE, len(words))
-    joined = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    starts = np.concatenate(([0], np.cumsum(lengths[:-1] + 1)))
-    ends = (starts + lengths)[size - 1 :]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(ends)))
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, SHINGLE)]))
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
@@ -61,59 +51,88 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(rows)), np.uint64, BANDS).view(np.int64)
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both * LEAST[1] >= (len(a) + len(b) - both) * LEAST[0]
+MARKS = "id long, h1 long, h2 long, node long, size long, fp long, bands array<long>, set array<long>"
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingles(x.as_py()) for x in batch.column(3)]
-        nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
-        found = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(nodes), found], ["id", "h1", "h2", "node", "bands"])
-
+    """The hash, size, fingerprint, bands and shingle set of each text; batches out are bounded by their shingles."""
+    rows: list[tuple] = []
+    held = 0
 
-@F.pandas_udf(BooleanType())
-def _similar_texts(a: pd.Series, b: pd.Series) -> pd.Series:
-    known = lru_cache(64)(shingles)
-    return pd.Series([similar(known(x), known(y)) for x, y in zip(a, b)], dtype=bool)
+    def batch_of() -> pa.RecordBatch:
+        types = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [x.split()[0] for x in MARKS.split(", ")])
 
+    for batch in batches:
+        for key, h1, h2, text in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3)):
+            parts = list(shingle_hashes(text.as_py(), SHINGLE))
+            own = np.unique(np.concatenate([np.empty(0, np.uint64), *parts]))
+            node, fp = np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED), fingerprint_of(parts)], np.uint64).view(np.int64).tolist()
+            rows.append((key, h1, h2, node, len(own), fp, bands(own), own.view(np.int64)))
+            held += len(own) + BANDS
+            if held > HANDED:
+                yield batch_of()
+                rows, held = [], 0
+    if rows:
+        yield batch_of()
+
+
+def _decided(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb) with repeats -> links (a, b) of nodes whose sets are similar; sizes alone rule some pairs out."""
+    p, q = LEAST
+    possible = (F.col("na") * q >= F.col("nb") * p) & (F.col("nb") * q >= F.col("na") * p)
+    left, right = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    scored = pairs.where(possible).distinct().join(right, "b").join(left, "a")
+    return cut(scored.where(both * q >= (F.col("na") + F.col("nb") - both) * p).select("a", "b"), "links")
+
+
+def _pairs(entries: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs a < b of nodes of one bucket and different components."""
+    left = others.selectExpr("bucket", "node AS a", "size AS na", "component AS ca")
+    right = entries.selectExpr("bucket", "node AS b", "size AS nb", "component AS cb")
+    return left.join(right, "bucket").where("ca <> cb AND a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b", "IF(a < b, na, nb) AS na", "IF(a < b, nb, na) AS nb")
+
+
+def _links(entries: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """(bucket, node, size) and known links -> links that connect what similar pairs within a bucket connect.
+
+    Each round compares the smallest node of a bucket with all its nodes and takes it out; pairs that links already
+    connect need no decision, so a group of near copies of any size needs few. What is left is compared pair by pair
+    once it is no more than OPEN times the entries, so a round's pairs are linear in the entries and none is left out.
+    """
+    while True:
+        classes = connected_components(links).select("node", F.col("component").alias("joined"))
+        now = entries.join(classes, "node", "left").select("bucket", "node", "size", F.coalesce("joined", "node").alias("component"))
+        bounds = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("star"))
+        now = cut(now.join(bounds.where("lo < hi").select("bucket", "star"), "bucket"), "entries")
+        per = now.groupBy("bucket", "component").agg(F.count("*").cast("double").alias("n")).groupBy("bucket")
+        sizes = per.agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        m, open_pairs = sizes.agg(F.sum("m"), F.sum(F.expr("m * m - own")) / 2).first()
+        if not open_pairs:
+            return links
+        if open_pairs <= OPEN * m:
+            return links.unionAll(_decided(_pairs(now, now).where("a < b"), sets))
+        links = links.unionAll(_decided(_pairs(now, now.where("node = star")), sets))
+        entries = now.where("node <> star").select("bucket", "node", "size")
 
-def _decided(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar."""
-    left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-    scored = pairs.distinct().join(left, "a").join(right, "b")
-    return cut(scored.where(_similar_texts("text_a", "text_b")).select("a", "b"), "links")
 
+def _row_of_each(docs: DataFrame, first: DataFrame, marks: DataFrame, id_col: str, h1: Column, h2: Column) -> DataFrame:
+    """The rows of docs with id, h1 and h2 as in first; of several the one with the least hash of all columns."""
+    names = docs.columns
+    rows = docs.withColumns({"__1": h1, "__2": h2, "__key": F.col(id_col).cast("long")})
 
-def _links(entries: DataFrame, texts: DataFrame) -> DataFrame:
-    """(bucket, node) -> links that connect what similar pairs within a bucket connect.
+    def those(df: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
+        wanted = wanted.toDF("__i", "__a", "__b")
+        return df.join(wanted, F.col("__key").eqNullSafe(F.col("__i")) & (F.col("__1") == F.col("__a")) & (F.col("__2") == F.col("__b")), how)
 
-    Each round compares a bucket's smallest node with all others and takes it out; pairs that links
-    already connect need no decision, so a group of near copies of any size needs few. What is left
-    is compared pair by pair after STARS rounds, or once it is no more than ten times the entries or FEW.
-    """
-    entries = entries.withColumn("component", F.col("node"))
-    links = None
-    for star in range(STARS + 1):
-        per = entries.groupBy("bucket", "component").count().groupBy("bucket")
-        sizes = per.agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        m, pairs_left = sizes.agg(F.sum("m"), F.sum(F.expr("m * m - own")) / 2).first()
-        if not pairs_left:
-            return links
-        if star == STARS or (links is not None and pairs_left <= max(10 * m, FEW)):
-            left, right = entries.toDF("bucket", "a", "ca"), entries.toDF("bucket", "b", "cb")
-            return links.unionAll(_decided(left.join(right, "bucket").where("a < b AND ca <> cb").select("a", "b"), texts))
-        least = entries.groupBy("bucket").agg(F.min(F.struct("node", "component")).alias("x")).select("bucket", F.col("x.node").alias("a"), F.col("x.component").alias("ca"))
-        others = entries.join(least, "bucket").where("node <> a")
-        found = _decided(others.where("component <> ca").select("a", F.col("node").alias("b")), texts)
-        links = found if links is None else links.unionAll(found)
-        classes = connected_components(links).select("node", F.col("component").alias("joined"))
-        now = others.select("bucket", "node").join(classes, "node", "left").select("bucket", "node", F.coalesce("joined", "node").alias("component"))
-        mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        entries = cut(now.join(mixed.select("bucket"), "bucket"), "entries")
-    return links
+    kept = those(rows, first, "left_semi")
+    again = marks.groupBy("id", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("id", "h1", "h2")
+    again = cut(again, "repeated-rows")
+    if again.isEmpty():
+        return kept.select(names)
+    several = those(kept, again, "left_semi").groupBy("__key", "__1", "__2").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("__row"))
+    return those(kept, again, "left_anti").select(names).unionAll(several.select("__row.*"))
 
 
 def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,29 +140,32 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Texts link when the Jaccard similarity of their sets of SHINGLE words in a row is at least LEAST; texts
     of equal sets are one node first, texts without words one class. Rows of one id and one class are
-    told apart by their text; equal rows are one.
+    told apart by their text, rows of one id and text by the hash of all their columns; equal rows are one.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     h1, h2 = F.xxhash64(text), F.xxhash64(F.lit(1), text)
     source = docs.select(F.col(id_col).cast("long").alias("id"), h1.alias("h1"), h2.alias("h2"), text.alias("text"))
-    marks = cut(source.mapInArrow(_marked, "id long, h1 long, h2 long, node long, bands array<long>"), "marks")
+    marks = cut(source.mapInArrow(_marked, MARKS), "marks")
     least = F.min(F.struct("id", "node", "h1", "h2")).alias("first")
-    nodes = cut(marks.groupBy("node").agg(least, F.first("bands").alias("bands")), "nodes")
+    nodes = cut(marks.groupBy("node").agg(least, F.max("size").alias("size"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
 
-    spread = nodes.select(F.explode("bands").alias("bucket"), "node")
+    spread = nodes.select(F.explode("bands").alias("bucket"), "node", "size")
     shared = spread.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     entries = cut(spread.join(shared.select("bucket"), "bucket"), "entries")
-    wanted = entries.select("node").distinct().join(nodes, "node").select("node", "first.h1", "first.h2")
-    held = source.select("h1", "h2", "text").join(wanted, ["h1", "h2"]).select("node", "text").dropDuplicates(["node"])
-    links = _links(entries, cut(held, "texts"))
-
-    if links is None:
-        roots = nodes.select("first", F.col("node").alias("root"))
-    else:
-        classes = connected_components(links).withColumnRenamed("component", "joined")
-        roots = nodes.join(classes, "node", "left").select("first", F.coalesce("joined", "node").alias("root"))
-    first = roots.groupBy("root").agg(F.min("first").alias("first")).select("first.*").toDF("__id", "__node", "__h1", "__h2")
-    rows = docs.withColumn("__1", h1).withColumn("__2", h2)
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__1") == F.col("__h1")) & (F.col("__2") == F.col("__h2"))
-    kept = rows.join(first, same, "left_semi")
-    return kept.dropDuplicates([id_col, "__1", "__2"]).drop("__1", "__2")
+
+    # fingerprints within the radius, each by its smallest node, and the nodes of one fingerprint with that node
+    prints = nodes.where("size > 0").select("node", "size", "fp")
+    least = prints.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("x")).select("fp", F.col("x.node").alias("rep"), F.col("x.size").alias("n"))
+    close = fingerprint_links(cut(prints.select("fp").distinct(), "prints"), RADIUS)
+    close = close.join(least.toDF("a", "left", "na"), "a").join(least.toDF("b", "right", "nb"), "b").selectExpr("left AS a", "right AS b", "na", "nb")
+    equal = prints.join(least, "fp").where("node <> rep").selectExpr("rep AS a", "node AS b", "n AS na", "size AS nb")
+    covered = cut(close.unionAll(equal), "covered")
+
+    wanted = entries.select("node").unionAll(covered.select("a")).unionAll(covered.select("b")).distinct()
+    sets = cut(marks.select("node", "set").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    links = _links(entries, sets, _decided(covered, sets))
+
+    classes = connected_components(links).withColumnRenamed("component", "joined")
+    roots = nodes.join(classes, "node", "left").select("first", F.coalesce("joined", "node").alias("root"))
+    first = roots.groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.h1", "first.h2")
+    return _row_of_each(docs, first, marks, id_col, h1, h2)

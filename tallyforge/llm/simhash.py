@@ -8,7 +8,7 @@ to all of them: its table ignores every differing bit and the pair collides ther
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,29 +25,37 @@ SEED = 42
 STEP = 1 << 16
 
 
-def simhash64(text: str | None, shingle: int) -> int:
-    """Fingerprint of one whole text; no word (null and empty texts too) gives 0.
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of one whole text in order, with their repeats, at most STEP at a time.
 
-    A-Z is lower-cased, words are runs of other bytes than ASCII white space, and shingles
-    of `shingle` words count with their repeats. Fewer words are one shingle.
+    A-Z is lower-cased, words are runs of other bytes than ASCII white space. Fewer words than
+    `shingle` are one shingle; no word (null and empty texts too) gives none.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.concatenate(([0], np.cumsum(lengths[:-1] + 1)))
     size = min(shingle, len(words))
     firsts = starts[: len(words) - size + 1].tolist()
     ends = (starts + lengths)[size - 1 :].tolist()
-    votes = np.zeros(BITS, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(firsts), STEP):
-        hashes = np.array(
-            [digest(joined[a:b], SEED) for a, b in zip(firsts[at : at + STEP], ends[at : at + STEP])], dtype=">u8"
-        )
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > len(firsts)).tobytes(), "big")
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(firsts[at : at + STEP], ends[at : at + STEP])], np.uint64)
+
+
+def fingerprint_of(parts: Iterable[np.ndarray]) -> int:
+    """The bits set in over half of the hashes; none gives 0."""
+    votes, total = np.zeros(BITS, np.int64), 0
+    for hashes in parts:
+        votes += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        total += len(hashes)
+    return int.from_bytes(np.packbits(votes * 2 > total).tobytes(), "big")
+
+
+def simhash64(text: str | None, shingle: int) -> int:
+    return fingerprint_of(shingle_hashes(text, shingle))
 
 
 def with_fingerprint(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -124,28 +132,6 @@ def fingerprint_classes(prints: DataFrame, radius: int) -> DataFrame:
     return distinct.join(classes, distinct.fp == classes.node, "left").select("fp", F.coalesce("component", "fp").alias("root"))
 
 
-def one_of_each_class(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2
-) -> DataFrame:
-    """Of each class the row with the smallest id (nulls first), with all of its columns.
-
-    Rows of one id and one class are told apart by their fingerprint and text; equal rows are one.
-    """
-    hashed = F.pandas_udf(lambda texts: texts.map(lambda x: _signed(simhash64(x, shingle))), "long")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    marks = docs.select(
-        F.col(id_col).cast("long").alias("id"), hashed(text).alias("fp"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")
-    )
-    marks = cut(marks, "fingerprints")
-    roots = fingerprint_classes(marks.select("fp"), radius)
-    first = marks.distinct().join(roots, "fp").groupBy("root").agg(F.min(F.struct("id", "fp", "h1", "h2")).alias("first"))
-    first = first.select("first.*").toDF("__id", "__fp", "__h1", "__h2")
-    rows = docs.withColumn("__1", F.xxhash64(text)).withColumn("__2", F.xxhash64(F.lit(1), text))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__1") == F.col("__h1")) & (F.col("__2") == F.col("__h2"))
-    kept = rows.join(first, same, "left_semi")
-    return kept.dropDuplicates([id_col, "__1", "__2"]).drop("__1", "__2")
-
-
 def op6_simhash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents: 3-word shingles, links at 2 or fewer differing bits.
 

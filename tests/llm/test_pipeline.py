@@ -3,9 +3,9 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 import corpus_pipeline as cp
-from tallyforge.llm import decontaminate, langid, simhash
+from tallyforge.llm import decontaminate, langid, near_copies
 from tests.llm.helpers import clashing, write_documents
-from tests.llm.test_simhash import brute_components, brute_print
+from tests.llm.test_near_copies import brute_kept
 
 ITEM = "alpha beta gamma delta epsilon zeta eta theta"
 
@@ -34,10 +34,8 @@ def test_each_stage_against_its_input(spark, small):
         if name == "language":
             want = [r for r in before if langid.predict(model, r["text"])[0] != "und" and langid.predict(model, r["text"])[1] >= cp.LEAST_SCORE]
         elif name == "near_copies":
-            prints = {i: brute_print(r["text"]) for i, r in enumerate(sorted(before, key=lambda r: (r["doc_id"] is not None, r["doc_id"])))}
             ordered = sorted(before, key=lambda r: (r["doc_id"] is not None, r["doc_id"]))
-            best = brute_components(prints)
-            want = [ordered[i] for i in prints if best[i] == i]
+            want = [ordered[i] for i in brute_kept([r["text"] for r in ordered])]
         elif name == "benchmark_leaks":
             want = [r for r in before if ITEM not in (r["text"] or "")]
             assert len(want) == len(before) - 1
@@ -67,10 +65,16 @@ def test_empty_documents(spark, tmp_path):
 def test_repeated_rows_leave_one(spark, tmp_path):
     path = write_documents(tmp_path, ["a b c d"] * 3 + ["e f g h"] * 2, [4, 4, 9, None, None])
     docs = spark.read.parquet(f"{path}/documents.parquet")
-    rows = simhash.one_of_each_class(docs).collect()
+    rows = near_copies.one_of_each_class(docs).collect()
     assert sorted(str(r.doc_id) for r in rows) == ["4", "None"]
 
 
+def test_rows_of_one_id_and_text_leave_a_defined_one(spark):
+    rows = [(4, "a b c d", x) for x in ("u", "v", "w")] + [(5, "A B c d", "x"), (6, "other words here", None)]
+    kept = [near_copies.one_of_each_class(spark.createDataFrame(part, "doc_id long, text string, source string")).collect() for part in (rows, rows[::-1])]
+    assert sorted(map(tuple, kept[0])) == sorted(map(tuple, kept[1])) and sorted(r.doc_id for r in kept[0]) == [4, 6]
+
+
 def test_leak_flag_is_what_leaks_finds(spark, sf_dir):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     flagged = {r.doc_id for r in decontaminate.with_leak(docs, bench).where("leaked").collect()}

@@ -2,18 +2,19 @@
 
 A suffix array by prefix doubling ranks positions by ever longer strings: Spark sorts pairs of ranks at a
 growing offset, equal pairs get one new rank, and positions whose pair is unique drop out. Here the lengths
-grow from ANCHOR bytes over about two thirds of the threshold to the threshold:
+grow from ANCHOR bytes over the cores of step 2 to the threshold, 64, 166 and 200 bytes:
 
 1. Anchors prune the positions of the first length. Every threshold-long window picks the ANCHOR-byte gram
    with the least hash inside it (winnowing). Equal windows pick the same gram at the same place, so windows
-   need comparing only where anchors are equal. Spark sorts the pairs (gram, segment), the segment being the
-   bytes of all windows that picked the anchor. A gram that is alone drops out; equal segments settle all of
+   need comparing only where anchors are equal. Spark sorts the pairs (gram, hull), the hull being the
+   bytes of all windows that picked the anchor. A gram that is alone drops out; equal hulls settle all of
    their windows at once.
-2. What is left are unlike segments around equal grams. Equal windows share as many bytes on both sides of
-   their anchors together as the threshold leaves, hence half of these on the left or on the right. Spark
-   sorts the pairs (gram, gram at that offset) of either side; anchors whose pairs are both unique drop out.
-3. The windows of the anchors that stay are ranked at the threshold: Spark sorts the pairs (first half,
-   second half) of their names. What occurs again is past the threshold, and repeated.
+2. What is left are unlike hulls around equal grams. Their windows are dealt into blocks by where they hold
+   the anchor. Spark sorts the pairs (core, hull) of the blocks, the core being the bytes that all windows of
+   a block share, all but a quarter of what the threshold adds to the gram. Cores that are alone drop
+   out; equal hulls are settled.
+3. The windows that stay are ranked at the threshold: Spark sorts the pairs (first half, second half) of
+   their names. What occurs again is past the threshold, and repeated.
 
 Each sort breaks ties by position and goes by range, so equal pairs of any number are dealt over partitions;
 neighbours are compared within a partition and at most two rows of each partition across them. The rank of a
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import cut, table
+from tallyforge.llm.common import cut, drop_cut, table
 
 #: Bytes of an anchor; windows of a text handled at a time.
 ANCHOR, STEP = 64, 1 << 20
@@ -67,45 +68,41 @@ def gram_names(data: np.ndarray, length: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def side_offset(length: int) -> int:
-    """Equal windows around equal grams share at least so many bytes before the gram, or after its start as many again."""
-    return (length - ANCHOR) // 2
-
-
 def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(name, first window, number of windows, name on the left, name on the right) of the anchors of one text, in text order.
+    """(name, first window, number of windows, place of the anchor in the first window) of one text's anchors, in text order.
 
-    The least name in a window wins, the first of equal ones; both depend on the window alone. The names on the
-    sides are those of the grams at side_offset. Where the text has no such gram the anchor's position stands in;
-    should another anchor's equal it, the anchor only goes on for longer.
+    The least name in a window wins, the first of equal ones; both depend on the window alone.
     """
     total = len(data) - length + 1
-    span, off = length - ANCHOR + 1, side_offset(length)
+    span = length - ANCHOR + 1
     found = []
     for at in range(0, total, STEP):
-        windows = min(STEP, total - at)
-        margin = min(at, off)
-        piece = gram_names(data[at - margin : at + windows + length - 1 + off], ANCHOR)
-        names = piece[margin : margin + windows + length - ANCHOR]
+        piece = data[at : at + STEP + length - 1]
+        windows = len(piece) - length + 1
+        names = gram_names(piece, ANCHOR)
         keyed = (names & ~np.uint64(0x1FFFFF)) | np.arange(len(names), dtype=np.uint64)
         blocks = np.concatenate([keyed, np.full(-len(keyed) % span, 2**64 - 1, np.uint64)]).reshape(-1, span)
         ahead = np.minimum.accumulate(blocks, axis=1).ravel()
         behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
         picked = (np.minimum(behind[:windows], ahead[span - 1 : span - 1 + windows]) & np.uint64(0x1FFFFF)).astype(np.int64)
         starts = np.flatnonzero(np.r_[True, picked[1:] != picked[:-1]])
-        place = picked[starts] + margin
-        sides = [np.where((x >= 0) & (x < len(piece)), piece[np.clip(x, 0, len(piece) - 1)], (place + at).astype(np.uint64)) for x in (place - off, place + off)]
-        found.append((names[picked[starts]], starts + at, np.diff(np.r_[starts, windows]), *sides))
+        found.append((names[picked[starts]], starts + at, np.diff(np.r_[starts, windows]), picked[starts] - starts))
     if not found:
-        return tuple(np.empty(0, np.int64) for _ in range(5))
+        return tuple(np.empty(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-ANCHORS = "key long, seg long, t1 long, t2 long, s long, n int, left long, right long"
+ROWS = "key long, seg long, t1 long, t2 long, s long, n int, o int"
+
+
+def _batch(columns: list[np.ndarray], schema: str) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    named = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, named)], [name for name, _ in named])
 
 
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """Name of the anchor and of its segment, the text, first window and number of windows, names on the anchor's sides."""
+    """Name of the anchor and of its hull, the text, first window, number of windows, place of the anchor in the first."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,14 +110,13 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 if text.as_py() is None or len(text.as_py()) < length:
                     continue
                 raw = text.as_py()
-                names, first, count, left, right = anchors(np.frombuffer(raw, np.uint8), length)
+                names, first, count, place = anchors(np.frombuffer(raw, np.uint8), length)
                 ends = (first + count + length - 1).tolist()
-                segments = np.array([xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), ends)], np.uint64)
+                hulls = np.array([xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), ends)], np.uint64)
                 size = len(names)
-                columns = [names.view(np.int64), segments.view(np.int64), np.full(size, t1), np.full(size, t2), first, count.astype(np.int32), left.view(np.int64), right.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in ANCHORS.split(", ")])
+                yield _batch([names.view(np.int64), hulls.view(np.int64), np.full(size, t1), np.full(size, t2), first, count, place], ROWS)
 
-    return docs.select("t1", "t2", "data").mapInArrow(rows, ANCHORS)
+    return docs.select("t1", "t2", "data").mapInArrow(rows, ROWS)
 
 
 SETTLED, SINGLE, SAMPLE, EDGE = 0, 1, 2, 3
@@ -151,8 +147,8 @@ def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for kind, chosen in ((SETTLED, settled), (SINGLE, ~settled & other & inner), (SAMPLE, settled & other & inner)):
         some = rows.filter(pa.array(chosen))
         if kind == SETTLED:  # names are not needed any more
-            for i in [i for i, name in enumerate(some.column_names) if name in ("key", "seg", "left", "right")]:
-                some = some.set_column(i, some.column_names[i], pa.array(np.zeros(some.num_rows, np.int64)))
+            for i, name in enumerate(("key", "seg")):
+                some = some.set_column(i, name, pa.array(np.zeros(some.num_rows, np.int64)))
         yield from some.append_column("kind", pa.array(np.full(some.num_rows, kind, np.int32))).to_batches()
     edges = np.unique([0, firsts[-1]])
     ends = [firsts[1], len(key)] if len(firsts) > 1 else [len(key)]
@@ -160,26 +156,27 @@ def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows.take(pa.array(edges)).append_column("kind", pa.array(known, pa.int32())).to_batches()
 
 
-def classed_anchors(docs: DataFrame, length: int) -> DataFrame:
-    """Anchors whose gram occurs again, with kind SETTLED, SINGLE or SAMPLE."""
-    rows = cut(_anchor_rows(docs, length), "anchors")
+def classed(rows: DataFrame) -> DataFrame:
+    """Rows (key, seg, t1, t2, s, ...) whose key occurs again, with kind SETTLED, SINGLE or SAMPLE: one step of doubling."""
+    rows = cut(rows, "pairs")
     order = ["key", "seg", "t1", "t2", "s"]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", kind int"
-    classed = cut(ordered.mapInArrow(_classed, schema), "classed")
+    found = cut(ordered.mapInArrow(_classed, schema), "classed")
+    drop_cut(rows)
     # at most two rows of each partition, whatever a gram's share of all rows
     bits = F.col("kind") - EDGE
-    edges = classed.where(F.col("kind") >= EDGE)
+    edges = found.where(F.col("kind") >= EDGE)
     edges = edges.withColumns({"again": bits.bitwiseAND(AGAIN) > 0, "others": bits.bitwiseAND(OTHERS) > 0})
     place = F.struct("t1", "t2", "s")
     segments = edges.groupBy("key", "seg").agg((F.max("again") | (F.count("*") > 1)).alias("repeats"), F.max("others").alias("others"), F.min(place).alias("rep"))
     keys = segments.groupBy("key").agg((F.max("others") | (F.count("*") > 1)).alias("others"))
-    found = edges.drop("others").join(segments.drop("others"), ["key", "seg"]).join(keys, "key")
-    settled = found.where("repeats AND NOT again").withColumn("kind", F.lit(SETTLED))  # the others are among the rows already
-    single = found.where("NOT repeats AND others").withColumn("kind", F.lit(SINGLE))
-    sample = found.where("repeats AND others").where(place == F.col("rep")).withColumn("kind", F.lit(SAMPLE))
-    names = classed.columns
-    return classed.where(F.col("kind") < EDGE).unionAll(settled.select(names)).unionAll(single.select(names)).unionAll(sample.select(names))
+    known = edges.drop("others").join(segments.drop("others"), ["key", "seg"]).join(keys, "key")
+    settled = known.where("repeats AND NOT again").withColumn("kind", F.lit(SETTLED))  # the others are among the rows already
+    single = known.where("NOT repeats AND others").withColumn("kind", F.lit(SINGLE))
+    sample = known.where("repeats AND others").where(place == F.col("rep")).withColumn("kind", F.lit(SAMPLE))
+    names = found.columns
+    return found.where(F.col("kind") < EDGE).unionAll(settled.select(names)).unionAll(single.select(names)).unionAll(sample.select(names))
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,50 +219,85 @@ def repeated_pairs(rows: DataFrame) -> DataFrame:
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", kind int"
     found = cut(ordered.mapInArrow(_neighbours, schema), "repeated-pairs")
+    drop_cut(rows)
     edges = found.where("kind > 0")  # at most two rows of each partition
     shared = edges.groupBy("a", "b").agg((F.max("kind") > 1).alias("here"), F.count("*").alias("n")).where("here OR n > 1")
     return found.where("kind = 0").unionAll(edges.join(shared.select("a", "b"), ["a", "b"], "left_semi").select(found.columns)).drop("kind")
 
 
-def _sided(open_rows: DataFrame) -> DataFrame:
-    """(t1, t2, s, n, sample): open anchors whose gram and the gram on one of its sides occur together again."""
-    side = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("b")), F.struct(F.lit(1).alias("side"), F.col("right").alias("b"))))
-    rows = open_rows.withColumn("x", side)
-    # the side is part of the pair: it takes the last bit of the gram's name
-    a = F.shiftleft("key", 1).bitwiseXOR(F.col("x.side").cast("long"))
-    again = repeated_pairs(rows.select(a.alias("a"), F.col("x.b").alias("b"), "t1", "t2", "s", "n", F.col("kind").alias("origin")))
-    return again.groupBy("t1", "t2", "s").agg(F.max("n").alias("n"), F.max(F.col("origin") == SAMPLE).alias("sample"))
-
-
-def _windows(docs: DataFrame, anchors_left: DataFrame, length: int) -> DataFrame:
-    """(a, b, t1, t2, s, sample): names of both halves of each window that could still be repeated."""
-    half = length // 2
-    wanted = cut(anchors_left.groupBy("t1", "t2").agg(F.collect_list(F.struct("s", "n", "sample")).alias("wanted")), "wanted")
+def _with_texts(docs: DataFrame, rows: DataFrame, schema: str, named) -> DataFrame:
+    """named(bytes, row) -> columns without the text's hashes, for each row (t1, t2, s, n, o, sample) next to its text."""
+    wanted = cut(rows.groupBy("t1", "t2").agg(F.collect_list(F.struct("s", "n", "o", "sample")).alias("wanted")), "wanted")
     texts = docs.join(wanted.select("t1", "t2"), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("data").alias("data"))
-    joined = texts.join(wanted, ["t1", "t2"])
-    schema = "a long, b long, t1 long, t2 long, s long, sample boolean"
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t1, t2, data, wanted in zip(*[batch.column(c) for c in ("t1", "t2", "data", "wanted")]):
-                raw = data.as_py()
+                raw, parts = data.as_py(), []
                 for w in wanted.as_py():
-                    piece = np.frombuffer(raw[w["s"] : w["s"] + w["n"] + length - 1], np.uint8)
-                    a, b = gram_names(piece, half)[: w["n"]], gram_names(piece, length - half)[half:][: w["n"]]
-                    size = len(a)
-                    columns = [a.view(np.int64), b.view(np.int64), np.full(size, t1.as_py()), np.full(size, t2.as_py()), np.arange(size) + w["s"], np.full(size, w["sample"])]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "t1", "t2", "s", "sample"])
+                    a, b, *others = named(raw, w)
+                    parts.append([a, b, np.full(len(a), t1.as_py()), np.full(len(a), t2.as_py()), *others, np.full(len(a), w["sample"])])
+                    if len(parts) == 1024:
+                        yield _batch([np.concatenate(c) for c in zip(*parts)], schema)
+                        parts = []
+                if parts:
+                    yield _batch([np.concatenate(c) for c in zip(*parts)], schema)
+
+    return texts.join(wanted, ["t1", "t2"]).mapInArrow(made, schema)
+
+
+def block_size(length: int) -> int:
+    """Places of an anchor in a window that make a block, about a quarter of all."""
+    return -(-(length - ANCHOR + 1) // 4)
+
+
+def _blocks(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """The windows of each row in blocks: (key, seg) are the names of core and hull, s and n the block's windows.
+
+    Blocks are cut at places of the anchor that are multiples of block_size; the core is common to all
+    windows that a block could have. Equal windows hold their anchors at equal places, so they fall into blocks
+    of equal cores.
+    """
+    size = block_size(length)
+
+    def named(raw: bytes, w: dict) -> list[np.ndarray]:
+        p = w["s"] + w["o"]
+        out = []
+        for block in range((w["o"] - w["n"] + 1) // size, w["o"] // size + 1):
+            low, high = block * size, min(block * size + size, length - ANCHOR + 1) - 1
+            first, last = p - min(high, w["o"]), p - max(low, w["o"] - w["n"] + 1)
+            core = xxhash.xxh64_intdigest(raw[p - low : p - high + length], block)
+            hull = xxhash.xxh64_intdigest(raw[first : last + length], p - first)
+            out.append((core, hull, first, last - first + 1, p - first))
+        cores, hulls, *others = zip(*out)
+        return [np.array(cores, np.uint64).view(np.int64), np.array(hulls, np.uint64).view(np.int64), *(np.array(x) for x in others)]
+
+    return _with_texts(docs, rows, f"{ROWS}, sample boolean", named)
+
+
+def _windows(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """(a, b, t1, t2, s, sample): names of both halves of each window."""
+    half = length // 2
+
+    def named(raw: bytes, w: dict) -> list[np.ndarray]:
+        piece = np.frombuffer(raw[w["s"] : w["s"] + w["n"] + length - 1], np.uint8)
+        first, second = gram_names(piece, half)[: w["n"]], gram_names(piece, length - half)[half:]
+        return [first.view(np.int64), second.view(np.int64), np.arange(w["n"]) + w["s"]]
 
-    return joined.mapInArrow(named, schema)
+    return _with_texts(docs, rows, "a long, b long, t1 long, t2 long, s long, sample boolean", named)
 
 
 def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     """(t1, t2, data) -> (t1, t2, lo, hi): windows lo to hi of a text start a string that occurs elsewhere too."""
-    found = classed_anchors(docs, length)
-    settled = found.where(F.col("kind") == SETTLED).select("t1", "t2", F.col("s").alias("lo"), (F.col("s") + F.col("n") - 1).alias("hi"))
-    anchors_left = _sided(found.where(F.col("kind") != SETTLED))
-    ranked = repeated_pairs(_windows(docs, anchors_left, length))
-    return settled.unionAll(ranked.where("NOT sample").select("t1", "t2", F.col("s").alias("lo"), F.col("s").alias("hi")))
+    settled = []
+    found = classed(_anchor_rows(docs, length).withColumn("sample", F.lit(False)))
+    for step in (_blocks, _windows):
+        is_settled = F.col("kind") == SETTLED
+        settled.append(found.where(is_settled & ~F.col("sample")).select("t1", "t2", F.col("s").alias("lo"), (F.col("s") + F.col("n") - 1).alias("hi")))
+        rows = step(docs, found.where(~is_settled).withColumn("sample", F.col("sample") | (F.col("kind") == SAMPLE)), length)
+        found = classed(rows) if step is _blocks else repeated_pairs(rows)
+    windows = found.where("NOT sample").select("t1", "t2", F.col("s").alias("lo"), F.col("s").alias("hi"))
+    return settled[0].unionAll(settled[1]).unionAll(windows)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:

@@ -27,15 +27,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder.setdefault(key, "file://" + tempfile.mkdtemp(prefix="tallyforge-"))
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again.
 
     The copy outlives any executor, so what follows never recomputes what
-    came before. release() removes the copies once results are written.
+    came before. release() removes the copies once results are written. Wide rows
+    may ask for smaller row groups, which a task holds in memory.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.option("parquet.block.size", row_group) if row_group else df.write
+    writer.parquet(path)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 

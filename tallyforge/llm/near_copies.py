@@ -26,13 +26,15 @@ SHINGLE, SEED, RADIUS = 5, 42, 2
 LEAST = (4, 5)
 BANDS, ROWS = 40, 8
 #: Shingles permuted at a time, so that a very long text needs no more memory than this; shingles in a batch handed on.
-STEP, HANDED = 1 << 11, 1 << 20
+STEP, HANDED = 1 << 11, 1 << 17
+#: Bytes of the sets that a task holds before it writes them.
+ROW_GROUP = 16 << 20
 #: All pairs still open are decided once they are no more than this many times the entries of the buckets.
 OPEN = 2
 
 _random = np.random.default_rng(SEED)
-FACTORS = _random.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
-FLIPS = _random.integers(0, 2**64, BANDS * ROWS, np.uint64)
+FACTORS = _random.integers(0, 2**32, BANDS * ROWS, np.uint32) | np.uint32(1)
+FLIPS = _random.integers(0, 2**32, BANDS * ROWS, np.uint32)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -44,9 +46,12 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     """One signed long a band; none for a text without words."""
     if not len(hashes):
         return np.empty(0, np.int64)
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(hashes), STEP):
-        least = np.minimum(least, ((hashes[at : at + STEP, None] ^ FLIPS) * FACTORS).min(0))
+    least = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), STEP):
+        permuted = short[at : at + STEP, None] ^ FLIPS
+        permuted *= FACTORS
+        least = np.minimum(least, permuted.min(0))
     rows = least.reshape(BANDS, ROWS)
     return np.fromiter((xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(rows)), np.uint64, BANDS).view(np.int64)
 
@@ -145,7 +150,7 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     h1, h2 = F.xxhash64(text), F.xxhash64(F.lit(1), text)
     source = docs.select(F.col(id_col).cast("long").alias("id"), h1.alias("h1"), h2.alias("h2"), text.alias("text"))
-    marks = cut(source.mapInArrow(_marked, MARKS), "marks")
+    marks = cut(source.mapInArrow(_marked, MARKS), "marks", ROW_GROUP)
     least = F.min(F.struct("id", "node", "h1", "h2")).alias("first")
     nodes = cut(marks.groupBy("node").agg(least, F.max("size").alias("size"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
 

@@ -70,14 +70,24 @@ def test_query_matches_alignment_of_everything_with_everything(spark, tmp_path):
         assert round(brute_score(q, words) / (2 * len(q)), 6) == r.score
 
 
-def test_benchmark_in_parts_gives_the_same(spark, tmp_path):
+def test_small_filter_gives_the_same(spark, tmp_path):
     items, texts = corpus(9)
     write_benchmark(tmp_path, items)
     path = write_documents(tmp_path, texts)
     docs, bench = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/benchmark.parquet")
     whole = sorted(dc.leaks(docs, bench).collect())
-    parts = sorted(dc.leaks(docs, bench, settings=dc.Settings(part_words=100)).collect())
-    assert whole and whole == parts
+    crowded = sorted(dc.leaks(docs, bench, settings=dc.Settings(filter_bits=1 << 15)).collect())
+    assert whole and whole == crowded
+
+
+def test_seeds_of_common_words_are_the_rarest_half(spark, tmp_path):
+    """With every n-gram of the corpus too common, the rarest half of each item still finds its copies."""
+    items, texts = corpus(12)
+    write_benchmark(tmp_path, items)
+    path = write_documents(tmp_path, texts)
+    docs, bench = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/benchmark.parquet")
+    found = {(r.id, r.item) for r in dc.leaks(docs, bench, settings=dc.Settings(rare=0.0, few=0)).collect()}
+    assert found >= {(i, j) for i, t in enumerate(texts) for j, item in enumerate(items) if item in t}
 
 
 def test_edge_rows(spark, tmp_path):
@@ -86,7 +96,20 @@ def test_edge_rows(spark, tmp_path):
     texts = [None, "", "...", item, item, "x " * 100_000 + item + " y" * 1000, "the the the", "clean text of its own"]
     path = write_documents(tmp_path, texts, [0, 1, 2, 3, 3, None, 6, 7], **clashing(8))
     got = sorted(((-1 if r.doc_id is None else r.doc_id), r.item_id) for r in dc.op2_seed_align(spark, path).collect())
-    assert got == [(-1, 3), (-1, 9), (3, 3), (3, 3), (3, 9), (3, 9)]
+    assert got == [(-1, 3), (-1, 9), (3, 3), (3, 3), (3, 9), (3, 9), (6, 8)]
+    bench = spark.read.parquet(f"{path}/benchmark.parquet")
+    assert sorted(map(tuple, dc.item_classes(bench).collect())) == [(3, 3), (5, 3), (8, 8), (9, 9)]
+
+
+def test_short_items_and_null_ids(spark, tmp_path):
+    write_benchmark(tmp_path, ["yes", "Yes!", "no way", "four words are few", "one two three four five six"], [4, 2, 3, 6, None])
+    texts = ["oh yes of course", "no such way", "there is no way out", "Four words, are few.", "yesterday", "one two three four five six"]
+    path = write_documents(tmp_path, texts)
+    rows = dc.op2_seed_align(spark, path).collect()
+    got = {(r.doc_id, r.item_id): (r.n_items, r.score, r.first_word, r.end_word) for r in rows}
+    assert got == {(0, 2): (2, 1.0, 1, 2), (2, 3): (1, 1.0, 2, 4), (3, 6): (1, 1.0, 0, 4), (5, None): (1, 1.0, 0, 6)}
+    docs, bench = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/benchmark.parquet")
+    assert [r.doc_id for r in dc.with_leak(docs, bench).where("leaked").collect()] == [5]
 
 
 def test_empty_tables(spark, tmp_path):

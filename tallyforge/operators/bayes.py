@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.lineage import cut
 from tallyforge.functions.text import sanitized
 from tallyforge.operators.items import bucket
+from tallyforge.operators.quantiles import quantiles
 
 
 def calendar(column: str, name: str) -> list[Column]:
@@ -34,9 +35,9 @@ def records(df: DataFrame, key: str, label: Column, categorical: list[str], time
     return wide.select("key", "label", pairs).select("key", "label", "x.feature", "x.value")
 
 
-def amount_limits(df: DataFrame, amount: str, quantiles: tuple[float, ...]) -> DataFrame:
-    value = F.abs(F.col(amount).try_cast("double"))
-    return df.agg(F.percentile(value, F.array(*map(F.lit, quantiles))).alias("limits"))
+def amount_limits(df: DataFrame, amount: str, probabilities: tuple[float, ...]) -> DataFrame:
+    sizes = df.select(F.abs(F.col(amount).try_cast("double")).alias("v"))
+    return quantiles(sizes, [], "v", probabilities).withColumnRenamed("q", "limits")
 
 
 def counts(training: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def fit(training: DataFrame, alpha: float = 1.0, population: dict | None = None)
     seen = cut(counts(training))
     domains = seen.select("feature", "value").distinct()
     sizes = domains.groupBy("feature").agg(F.count("*").alias("size"))
-    cells = F.broadcast(domains.join(sizes, "feature"))
+    cells = domains.join(sizes, "feature")
     grid = priors.select("label", "total").join(cells, F.lit(True)).join(seen, ["label", "feature", "value"], "left")
     likelihood = F.ln((F.coalesce("n", F.lit(0)) + alpha) / (F.col("total") + alpha * F.col("size")))
     return priors.select("label", "log_prior"), grid.select("label", "feature", "value", likelihood.alias("log_likelihood"))
@@ -71,8 +72,8 @@ def fit(training: DataFrame, alpha: float = 1.0, population: dict | None = None)
 def predict(rows: DataFrame, priors: DataFrame, likelihoods: DataFrame) -> DataFrame:
     """(key, label, class, probability): softmax over the classes; values not seen in training are skipped."""
     table = likelihoods.withColumnRenamed("label", "class")
-    scores = rows.join(F.broadcast(table), ["feature", "value"]).groupBy("key", "label", "class").agg(F.sum("log_likelihood").alias("s"))
-    keys = rows.select("key", "label").distinct().join(F.broadcast(priors.withColumnRenamed("label", "class")), F.lit(True))
+    scores = rows.join(table, ["feature", "value"]).groupBy("key", "label", "class").agg(F.sum("log_likelihood").alias("s"))
+    keys = rows.select("key", "label").distinct().join(priors.withColumnRenamed("label", "class"), F.lit(True))  # a row a class
     scores = keys.join(scores.withColumnRenamed("label", "__label").drop("__label"), ["key", "class"], "left")
     scores = scores.withColumn("s", F.coalesce("s", F.lit(0.0)) + F.col("log_prior"))
     whole = W.partitionBy("key")  # as many rows as classes
@@ -107,8 +108,8 @@ def calibrated(probability: Column, coefficient: float, intercept: float) -> Col
 def binary_metrics(scored: DataFrame, weight: str | None = None) -> DataFrame:
     """One row: rows, prevalence, average precision, Brier score and recall at one half of (label, probability).
 
-    Average precision sums precision over steps of recall; rows of equal probability are one step. Counts by
-    distinct probability come first, so the running sums go over as many rows as there are probabilities.
+    Average precision sums precision over steps of recall; rows of equal probability are one step. Steps are dealt
+    by ranges of probability; running sums go within a range, from the totals of the ranges above it.
     """
     rows = scored.select("label", F.col("probability").alias("p"), (F.col(weight) if weight else F.lit(1.0)).alias("w"))
     hit = F.when(F.col("label"), F.col("w")).otherwise(0.0)
@@ -118,8 +119,13 @@ def binary_metrics(scored: DataFrame, weight: str | None = None) -> DataFrame:
         F.sum(F.when(F.col("p") >= 0.5, hit).otherwise(0.0)).alias("found"),
     )
     steps = rows.groupBy("p").agg(F.sum("w").alias("w"), F.sum(hit).alias("hit"))
-    down = W.orderBy(F.col("p").desc())
-    steps = steps.select("hit", (F.sum("hit").over(down) / F.sum("w").over(down)).alias("precision"))
+    ranged = cut(steps.repartitionByRange(F.col("p").desc()).withColumn("part", F.spark_partition_id()), "steps")
+    sums = ranged.groupBy("part").agg(F.sum("w").alias("w"), F.sum("hit").alias("hit"))  # a row a partition
+    above = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("part", *[F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(f"{c}_above") for c in ("w", "hit")])
+    down = W.partitionBy("part").orderBy(F.col("p").desc())
+    running = lambda c: F.col(f"{c}_above") + F.sum(c).over(down)
+    steps = ranged.join(F.broadcast(sums), "part").select("hit", (running("hit") / running("w")).alias("precision"))
     area = steps.agg(F.sum(F.col("hit") * F.col("precision")).alias("area"))
     out = flat.join(area, F.lit(True))
     return out.select(

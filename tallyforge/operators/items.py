@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.text import sanitized
+from tallyforge.operators.quantiles import quantiles
 
 
 @dataclass(frozen=True)
@@ -61,7 +62,10 @@ def admitted(df: DataFrame, population: Population, most: int) -> tuple[str, ...
 
 def bounds(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """One row: for each column the quantiles of its size, null for a column without values."""
-    return df.agg(*[F.percentile(F.abs(F.col(c).try_cast("double")), F.array(*map(F.lit, QUANTILES))).alias(f"__{c}") for c in columns])
+    parts = [F.struct(F.lit(c).alias("c"), F.abs(F.col(c).try_cast("double")).alias("v")) for c in columns]
+    long = df.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
+    found = quantiles(long, ["c"], "v", QUANTILES)
+    return found.agg(*[F.max(F.when(F.col("c") == c, F.col("q"))).alias(f"__{c}") for c in columns])
 
 
 def bucket(value: Column, limits: Column, names: tuple[str, ...] = BUCKETS) -> Column:

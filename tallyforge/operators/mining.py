@@ -1,4 +1,4 @@
-"""Frequent itemsets by three independent strategies, for consensus between them.
+"""Frequent itemsets by four independent strategies, for consensus between them.
 
 Results are (items array, n long): sorted items and in how many rows they occur together.
 """
@@ -6,12 +6,14 @@ Results are (items array, n long): sorted items and in how many rows they occur
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyforge.functions.lineage import cut
@@ -47,11 +49,11 @@ def apriori(rows: DataFrame, min_support: float, max_len: int) -> DataFrame:
     level = held.select("basket", "weight", F.array("item").alias("set"))
     single = held.select("basket", "item")
     out = found
-    for _ in range(2, max_len + 1):
+    for size in range(2, max_len + 1):
         longer = level.join(single, "basket").where(F.col("item") > F.element_at("set", -1))
         longer = longer.select("basket", "weight", F.concat("set", F.array("item")).alias("set"))
         counts = cut(longer.groupBy("set").agg(F.sum("weight").alias("n")).where(F.col("n") >= least))
-        level = longer.join(counts.select("set"), "set", "left_semi")
+        level = cut(longer.join(counts.select("set"), "set", "left_semi")) if size < max_len else level
         out = out.unionAll(counts.select(F.col("set").alias("items"), "n"))
     return out
 
@@ -70,7 +72,7 @@ def fpgrowth(rows: DataFrame, min_support: float, max_len: int) -> DataFrame:
 
 
 def eclat(rows: DataFrame, min_support: float, max_len: int) -> DataFrame:
-    """Vertical: each task packs the rows of its baskets into a bit map per item and counts intersections.
+    """Vertical: each task keeps for each item which baskets of a batch hold it and counts intersections.
 
     Candidates of a level come from the frequent sets of the level before, at most a few for each
     frequent set, and go to the tasks; the tasks' counts are summed.
@@ -126,9 +128,49 @@ def _intersections(handed):
     return counted
 
 
+#: Baskets of a chunk, whose numbers within it make the lists of a set.
+CHUNK = 4096
+
+
 def hybrid(rows: DataFrame, min_support: float, max_len: int) -> DataFrame:
-    """Single items from the rows, longer sets from bit maps; must equal apriori."""
-    return eclat(rows, min_support, max_len)
+    """Single items by a pass over the rows, longer sets by the numbers of the baskets that hold them.
+
+    Candidates come from the frequent sets of the level before, joined on all but their last item and kept if all
+    of their subsets are frequent. A candidate's baskets are the intersection, chunk by chunk, of those of the set
+    without its last item and of that item; all of it stays in tables.
+    """
+    least = least_count(rows.count(), min_support)
+    single, slim = _frequent_baskets(rows, least)
+    single, slim = cut(single), cut(slim)
+    # numbers are dealt by hash into chunks and counted within each, so that no task numbers all baskets
+    total = slim.count()
+    chunks = max(1, -(-2 * total // CHUNK))
+    ordered = W.partitionBy("chunk").orderBy("items")  # about half of CHUNK rows
+    numbered = slim.withColumn("chunk", F.expr(f"pmod(xxhash64(items), {chunks})")).withColumn("number", F.row_number().over(ordered))
+    numbered = cut(numbered)
+    weights = numbered.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "weight"))), lambda x: x["weight"]).alias("weights"))
+    held = numbered.select("chunk", "number", F.explode("items").alias("item")).groupBy("chunk", "item").agg(F.array_sort(F.collect_list("number")).alias("numbers"))
+    held = cut(held)
+    level, frequent, found = held.select("chunk", F.array("item").alias("set"), "numbers"), single, [single]
+    for size in range(2, max_len + 1):
+        candidates = cut(_candidates(frequent.select("items"), size))
+        shared = level.join(candidates.withColumnRenamed("prefix", "set"), "set").join(held.withColumnRenamed("numbers", "others"), ["chunk", "item"])
+        shared = shared.select("chunk", F.concat("set", F.array("item")).alias("set"), F.array_intersect("numbers", "others").alias("numbers")).where(F.size("numbers") > 0)
+        shared = cut(shared)
+        sums = shared.join(weights, "chunk").select("set", F.aggregate("numbers", F.lit(0).cast("long"), lambda t, n: t + F.col("weights")[n - 1]).alias("n"))
+        frequent = cut(sums.groupBy(F.col("set").alias("items")).agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+        found.append(frequent)
+        level = shared.join(frequent.select(F.col("items").alias("set")), "set", "left_semi")
+    return reduce(DataFrame.unionAll, found)
+
+
+def _candidates(frequent: DataFrame, size: int) -> DataFrame:
+    """(prefix, item): sets of `size` items all of whose subsets of one item less are frequent."""
+    short = frequent.select(F.slice("items", 1, size - 2).alias("start"), F.element_at("items", -1).alias("last"), "items")
+    pairs = short.join(short.select("start", F.col("last").alias("item")), "start").where("last < item").select(F.col("items").alias("prefix"), "item")
+    whole = F.concat("prefix", F.array("item"))
+    parts = pairs.select("prefix", "item", F.explode(F.transform(whole, lambda x: F.array_remove(whole, x))).alias("items"))
+    return parts.join(frequent, "items").groupBy("prefix", "item").agg(F.count("*").alias("k")).where(F.col("k") == size).select("prefix", "item")
 
 
 def assert_parity(left: DataFrame, right: DataFrame) -> None:

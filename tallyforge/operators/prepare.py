@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyforge.functions.lineage import cut
 from tallyforge.functions.text import normalized
+from tallyforge.operators.quantiles import quantiles
 from tallyforge.sources.contracts import Contract
 
 
@@ -66,12 +68,11 @@ def typed(name: str, types: tuple[str, ...]) -> Column:
 def latest(df: DataFrame, key: str, freshness: str, ties: tuple[str, ...] = ()) -> DataFrame:
     """The row of each key with the greatest freshness; ties go to the greatest of the columns given.
 
-    max_by over a struct combines before the shuffle, where a row_number would sort every row of a key.
+    Ranked rows beyond the first are left out before the shuffle too, and only columns in use are carried.
     """
-    row = F.struct(*df.columns)
-    rank = F.struct(freshness, *ties)
-    best = df.where(F.col(key).isNotNull() & F.col(freshness).isNotNull()).groupBy(key).agg(F.max_by(row, rank).alias("__row"))
-    return best.select("__row.*")
+    window = W.partitionBy(key).orderBy(*[F.col(c).desc() for c in (freshness, *ties)])
+    known = df.where(F.col(key).isNotNull() & F.col(freshness).isNotNull())
+    return known.withColumn("__n", F.row_number().over(window)).where("__n = 1").drop("__n")
 
 
 def staged(df: DataFrame, contract: Contract, ties: tuple[str, ...] = ()) -> DataFrame:
@@ -95,57 +96,88 @@ def imputed(df: DataFrame, contract: Contract, rules: tuple[Rule, ...], mode: st
     canonical: categories take their group's mode (the table's without a group), then UNKNOWN; numbers
     their group's median, then the table's median before filling. strict: ungrouped categories take
     UNKNOWN at once, and the table's median is taken after the groups' were filled in.
-    Lookups are as small as the number of groups and are joined as such.
+
+    A rule changes its own column only. All counts of categories come from one pass over the table and
+    all of its medians from one; lookups are as small as the number of groups and are joined as such.
     """
     check_rules(rules, contract)
     out = df.select([f.name for f in contract.fields])
     for rule in rules:
         column = F.col(rule.column)
         out = out.withColumn(rule.column, normalized(column) if rule.kind == "categorical" else column.try_cast("double"))
-    out = out.withColumns({f"{r.column}_was_imputed": F.col(r.column).isNull() for r in rules}) if rules else out
-    # a rule changes its own column only, so all modes of whole columns come from one pass over the table
+    if not rules:
+        return out
+    out = cut(out.withColumns({f"{r.column}_was_imputed": F.col(r.column).isNull() for r in rules}), "normalized")
     plain = [r.column for r in rules if r.kind == "categorical" and not r.group_by]
-    if plain:
-        fills = {c: F.lit("UNKNOWN") for c in plain}
-        if mode == "canonical":
-            out = out.join(F.broadcast(_whole_modes(out, plain)), F.lit(True))  # one row
-            fills = {c: F.coalesce(F.col(f"__{c}"), F.lit("UNKNOWN")) for c in plain}
-        out = out.withColumns({c: F.coalesce(c, fill) for c, fill in fills.items()}).drop(*[f"__{c}" for c in plain])
-    base = out
-    for rule in rules:
-        if not rule.group_by and rule.kind == "categorical":
-            continue
-        column = F.col(rule.column)
-        if rule.kind == "categorical":
-            out = out.join(modes(base, rule.column, rule.group_by), list(rule.group_by), "left")
-            out = out.withColumn(rule.column, F.coalesce(column, "mode_value", F.lit("UNKNOWN"))).drop("mode_value")
-            continue
-        if rule.group_by:
-            out = _with_group_median(out, base, rule)
-        source = _with_group_median(base, base, rule) if rule.group_by and mode == "strict" else base
-        filled = F.coalesce(column, "__group") if rule.group_by and mode == "strict" else column
-        total = source.agg(F.percentile(filled, 0.5).alias("__all"))
-        out = out.join(F.broadcast(total), F.lit(True))  # one row
-        out = out.withColumn(rule.column, F.coalesce(column, *(["__group"] if rule.group_by else []), "__all")).drop("__all", "__group")
-    return out
-
-
-def _whole_modes(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row with the mode of each column, from one count of (column, value)."""
-    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns])).alias("x")).select("x.*")
-    counts = pairs.where("v IS NOT NULL").groupBy("c", "v").count()
-    best = counts.groupBy("c").agg(F.min(F.struct((-F.col("count")).alias("n"), "v"))["v"].alias("v"))
+    grouped = [r for r in rules if r.kind == "categorical" and r.group_by]
+    counts = cut(_category_counts(out, plain, grouped), "category-counts")
+    fills = {c: F.lit("UNKNOWN") for c in plain}
+    if plain and mode == "canonical":
+        whole = _whole_modes(counts, plain)
+        out = out.join(F.broadcast(whole), F.lit(True))  # one row
+        fills = {c: F.coalesce(F.col(f"__{c}"), F.lit("UNKNOWN")) for c in plain}
+    out = out.withColumns({c: F.coalesce(c, fill) for c, fill in fills.items()}).drop(*[f"__{c}" for c in plain])
+    for rule in grouped:
+        own = counts.where(F.col("c") == rule.column).select("v", "n", *[F.col("g")[i].alias(g) for i, g in enumerate(rule.group_by)])
+        filled = [g for g in rule.group_by if g in fills]
+        if filled and mode == "canonical":
+            own = own.join(F.broadcast(whole), F.lit(True))  # one row
+        own = own.withColumns({g: F.coalesce(g, fills[g]) for g in filled}).groupBy(*rule.group_by, "v").agg(F.sum("n").alias("n"))
+        best = F.min(F.struct((-F.col("n")).alias("n"), "v"))["v"].alias("mode_value")
+        out = out.join(own.where("v IS NOT NULL").groupBy(*rule.group_by).agg(best), list(rule.group_by), "left")
+        out = out.withColumn(rule.column, F.coalesce(rule.column, "mode_value", F.lit("UNKNOWN"))).drop("mode_value")
+    return _with_medians(out, [r for r in rules if r.kind == "numeric"], mode)
+
+
+def _category_counts(df: DataFrame, plain: list[str], grouped: list[Rule]) -> DataFrame:
+    """(c, g array, v, n): rows of each value of each ruled column, by the values of the rule's group."""
+    text = "array<string>"
+    parts = [F.struct(F.lit(c).alias("c"), F.array().cast(text).alias("g"), F.col(c).alias("v")) for c in plain]
+    parts += [F.struct(F.lit(r.column).alias("c"), F.array(*[F.col(g) for g in r.group_by]).cast(text).alias("g"), F.col(r.column).alias("v")) for r in grouped]
+    if not parts:
+        return df.sparkSession.createDataFrame([], "c string, g array<string>, v string, n long")
+    return df.select(F.explode(F.array(*parts)).alias("x")).select("x.*").groupBy("c", "g", "v").agg(F.count("*").alias("n"))
+
+
+def _whole_modes(counts: DataFrame, columns: list[str]) -> DataFrame:
+    """One row with the mode of each column."""
+    best = counts.where(F.col("v").isNotNull() & (F.size("g") == 0)).groupBy("c").agg(F.min(F.struct((-F.col("n")).alias("n"), "v"))["v"].alias("v"))
     return best.agg(*[F.max(F.when(F.col("c") == c, F.col("v"))).alias(f"__{c}") for c in columns])
 
 
-def _with_group_median(df: DataFrame, base: DataFrame, rule: Rule) -> DataFrame:
-    """df with __group, the median of the rule's column in the row's group; rows without a group are one group."""
-    names = {g: f"__{g}" for g in rule.group_by}
-    lookup = base.groupBy(*rule.group_by).agg(F.percentile(rule.column, 0.5).alias("__group")).withColumnsRenamed(names)
-    same = F.lit(True)
-    for g, other in names.items():
-        same = same & F.col(g).eqNullSafe(F.col(other))
-    return df.join(lookup, same, "left").drop(*names.values())
+def _with_medians(df: DataFrame, rules: list[Rule], mode: str) -> DataFrame:
+    """Numbers filled by the median of their group, rows without a group being one group, then by that of the table."""
+    if not rules:
+        return df
+    key = lambda r: F.to_json(F.struct(*[F.col(g) for g in r.group_by])) if r.group_by else F.lit("")
+    of_group = [F.struct(F.lit(r.column).alias("c"), key(r).alias("g"), F.col(r.column).alias("v")) for r in rules if r.group_by]
+    of_table = [F.struct(F.lit(r.column).alias("c"), F.lit("").alias("g"), F.col(r.column).alias("v")) for r in rules if mode == "canonical" or not r.group_by]
+
+    def medians(rows: DataFrame, parts: list) -> DataFrame:
+        long = rows.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
+        return quantiles(long, ["c", "g"], "v", (0.5,)).select("c", "g", F.col("q")[0].alias("m"))
+
+    found = cut(medians(df, of_group + of_table), "medians") if of_group + of_table else None
+    for rule in rules:
+        if rule.group_by:
+            own = found.where((F.col("c") == rule.column) & (F.col("g") != "")).select(F.col("g").alias("__g"), F.col("m").alias("__group"))
+            df = df.withColumn("__g", key(rule)).join(own, "__g", "left")
+            if mode == "strict":
+                df = df.withColumn(rule.column, F.coalesce(rule.column, "__group"))
+            else:
+                df = df.withColumn(f"__{rule.column}", F.col("__group"))
+            df = df.drop("__g", "__group")
+    strict = [r for r in rules if mode == "strict" and r.group_by]
+    if strict:
+        df = cut(df, "filled")
+        after = medians(df, [F.struct(F.lit(r.column).alias("c"), F.lit("").alias("g"), F.col(r.column).alias("v")) for r in strict])
+        found = cut(found.where("g <> ''").unionAll(after) if not of_table else found.unionAll(after), "medians")
+    total = found.where("g = ''").agg(*[F.max(F.when(F.col("c") == r.column, F.col("m"))).alias(f"__all_{r.column}") for r in rules])
+    df = df.join(F.broadcast(total), F.lit(True))  # one row
+    for rule in rules:
+        group = [f"__{rule.column}"] if rule.group_by and mode == "canonical" else []
+        df = df.withColumn(rule.column, F.coalesce(rule.column, *group, f"__all_{rule.column}")).drop(*group, f"__all_{rule.column}")
+    return df
 
 
 def last_of_key(df: DataFrame, key: str, freshness: str, order: str) -> DataFrame:

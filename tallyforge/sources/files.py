@@ -1,12 +1,15 @@
-"""Files in and out: CSV tables, partitioned folders, audited and idempotent appends, versioned packages."""
+"""Files in and out: CSV tables, partitioned folders, audited and idempotent appends."""
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.functions.lineage import cut, drop_cut
+
 TABLE_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]{0,127}")
 
 
@@ -42,7 +45,8 @@ def select_tables(found: dict[str, list[str]], wanted: list[str] | None) -> dict
 def read_csv(spark: SparkSession, paths: list[str], base: str | None = None, schema=None, max_bad_records: int = 0) -> DataFrame:
     """One header line, inferred types or a schema; year=/month= folders below base become columns.
 
-    More malformed lines than max_bad_records fail the load; fewer are left out.
+    More malformed lines than max_bad_records fail the load; fewer are left out. Lines are parsed once (twice if
+    types are inferred): the parsed rows are written to the shared folder, and malformed ones counted there.
     """
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
     if base:
@@ -51,10 +55,10 @@ def read_csv(spark: SparkSession, paths: list[str], base: str | None = None, sch
         schema = reader.option("inferSchema", True).csv(paths).schema
     if "_bad" not in schema.names:
         schema = type(schema)([*schema.fields]).add("_bad", "string")
-    rows = reader.schema(schema).csv(paths).persist()
+    rows = cut(reader.schema(schema).csv(paths), "csv")
     bad = rows.where(F.col("_bad").isNotNull()).count()
     if bad > max_bad_records:
-        rows.unpersist()
+        drop_cut(rows)
         raise ValueError(f"{bad} malformed lines, {max_bad_records} allowed")
     return rows.where(F.col("_bad").isNull()).drop("_bad")
 
@@ -88,22 +92,21 @@ def append_audit(spark: SparkSession, path: str, row: dict) -> None:
     spark.createDataFrame([tuple(row[n] for n in names)], AUDIT).write.mode("append").parquet(path)
 
 
-def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Append rows whose keys the target does not hold yet; running it again adds nothing."""
+def append_new(df: DataFrame, path: str, keys: list[str], since: Column | None = None) -> None:
+    """Append rows whose keys the target does not hold yet, null keys included; running it again adds nothing.
+
+    since, a condition on the target, bounds what of it is read, for batches whose keys cannot be older.
+    """
     fresh = df.dropDuplicates(keys)
     _, p, fs = _fs(df.sparkSession, path)
     if fs.exists(p):
-        fresh = fresh.join(df.sparkSession.read.parquet(path).select(*keys), keys, "left_anti")
+        there = df.sparkSession.read.parquet(path)
+        there = (there if since is None else there.where(since)).select(*[F.col(k).alias(f"__{k}") for k in keys])
+        same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+        fresh = fresh.join(there, same, "left_anti")
     fresh.write.mode("append").parquet(path)
 
 
-def publish(nodes: DataFrame, edges: DataFrame, root: str, run_id: str) -> None:
-    """A version in a folder of its own that may not exist yet, then the pointer to it."""
-    nodes.write.mode("errorifexists").parquet(f"{root}/{run_id}/nodes")
-    edges.write.mode("errorifexists").parquet(f"{root}/{run_id}/edges")
-    nodes.sparkSession.createDataFrame([(run_id,)], "run_id string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
-
-
-def current(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    run_id = spark.read.schema("run_id string").json(f"{root}/current").first().run_id
-    return spark.read.parquet(f"{root}/{run_id}/nodes"), spark.read.parquet(f"{root}/{run_id}/edges")
+def append_batch(df: DataFrame, path: str, batch: int) -> None:
+    """Write a batch of a stream into a folder of its own; a batch that is repeated replaces what it left."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.sources.files import append_new
+from tallyforge.sources.files import append_batch
 
 
 def read_increment(spark: SparkSession, path: str, schema: str, time: str, keys: list[str], lateness: str = "30 minutes") -> DataFrame:
@@ -15,10 +15,11 @@ def read_increment(spark: SparkSession, path: str, schema: str, time: str, keys:
     return rows.withWatermark(time, lateness).dropDuplicatesWithinWatermark(keys)
 
 
-def ingest(rows: DataFrame, target: str, checkpoint: str, keys: list[str]) -> None:
-    """Append what is new and stop. A batch that fails is repeated whole; keys already written are left out."""
+def ingest(rows: DataFrame, target: str, checkpoint: str) -> None:
+    """Write what is new and stop. Each batch has a folder of its own in the target, the ledger of what is in:
+    a batch that fails is repeated whole and replaces what it left, and nothing of the target is read again."""
     query = (
-        rows.writeStream.foreachBatch(lambda batch, _: append_new(batch, target, keys))
+        rows.writeStream.foreachBatch(lambda batch, number: append_batch(batch, target, number))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

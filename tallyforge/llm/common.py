@@ -1,70 +1,13 @@
-"""Reading tables and cutting lineage through a folder that driver and executors share."""
+"""Reading tables; lineage is cut through a folder that driver and executors share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-_own_folder: dict[str, str] = {}
-_written: dict[str, list[str]] = {}
+from tallyforge.functions.lineage import cut, drop_cut, release, shared_folder
+
+__all__ = ["cut", "drop_cut", "release", "shared_folder", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only in a local session."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    key = spark.sparkContext.applicationId
-    return _own_folder.setdefault(key, "file://" + tempfile.mkdtemp(prefix="tallyforge-"))
-
-
-def cut(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again.
-
-    The copy outlives any executor, so what follows never recomputes what
-    came before. release() removes the copies once results are written. Wide rows
-    may ask for smaller row groups, which a task holds in memory.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("parquet.block.size", row_group) if row_group else df.write
-    writer.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_cut(df_or_none: DataFrame | None) -> None:
-    """Remove the written copy behind a DataFrame that cut() returned and nothing reads any more."""
-    if df_or_none is None:
-        return
-    spark = df_or_none.sparkSession
-    kept = _written.get(spark.sparkContext.applicationId, [])
-    for folder in {f.rsplit("/", 1)[0] for f in df_or_none.inputFiles()}:
-        for path in [p for p in kept if folder.endswith(p.rsplit("/", 1)[1])]:
-            _delete(spark, path)
-            kept.remove(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Remove every copy that cut() has written in this application."""
-    for path in _written.pop(spark.sparkContext.applicationId, []):
-        _delete(spark, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))

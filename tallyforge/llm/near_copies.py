@@ -3,8 +3,9 @@
 At a shingle similarity of 0.8 fingerprints of 64 bits differ in 10 bits on average and often in 17, for which
 covering needs 2^18 - 1 tables a row. Covering therefore finds the closest copies only, whose links stay linear
 in groups of any size; the bands find the rest. Each band is the hash of ROWS minima of the shingle set; a pair of
-similarity s misses all bands with probability (1 - s^ROWS)^BANDS, 0.0006 at 0.8 and 1e-6 at 0.85. Every
-proposed pair is decided on its whole shingle sets.
+similarity s misses all bands with probability (1 - s^ROWS)^BANDS, 0.0006 at 0.8 and 1e-6 at 0.85. Pairs whose
+minima agree in too few of their last two bits are not proposed; at a similarity of 0.8 that is 0.0014 of all.
+Every proposed pair is decided on its whole shingle sets.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import cut
+from tallyforge.llm.common import cut, drop_cut
 from tallyforge.llm.components import connected_components
 from tallyforge.llm.simhash import fingerprint_links, fingerprint_of, shingle_hashes
 
@@ -25,12 +26,12 @@ SHINGLE, SEED, RADIUS = 5, 42, 2
 #: Least similarity as a fraction, so that the decision is one of whole numbers.
 LEAST = (4, 5)
 BANDS, ROWS = 40, 8
+#: Minima that must agree in their last two bits: three standard deviations below what 0.8 gives.
+AGREE = 252
 #: Shingles permuted at a time, so that a very long text needs no more memory than this; shingles in a batch handed on.
 STEP, HANDED = 1 << 11, 1 << 17
-#: Bytes of the sets that a task holds before it writes them.
-ROW_GROUP = 16 << 20
-#: All pairs still open are decided once they are no more than this many times the entries of the buckets.
-OPEN = 2
+#: All pairs of a bucket that are still open are compared once they are no more than this many for each entry.
+OPEN = 50
 
 _random = np.random.default_rng(SEED)
 FACTORS = _random.integers(0, 2**32, BANDS * ROWS, np.uint32) | np.uint32(1)
@@ -42,39 +43,69 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, SHINGLE)]))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One signed long a band; none for a text without words."""
-    if not len(hashes):
-        return np.empty(0, np.int64)
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least value of the set under each permutation; hashes are not empty."""
     least = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
     short = (hashes >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(short), STEP):
         permuted = short[at : at + STEP, None] ^ FLIPS
         permuted *= FACTORS
         least = np.minimum(least, permuted.min(0))
+    return least
+
+
+def bands_of(least: np.ndarray) -> np.ndarray:
     rows = least.reshape(BANDS, ROWS)
     return np.fromiter((xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(rows)), np.uint64, BANDS).view(np.int64)
 
 
-MARKS = "id long, h1 long, h2 long, node long, size long, fp long, bands array<long>, set array<long>"
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """One signed long a band; none for a text without words."""
+    return bands_of(minima(hashes)) if len(hashes) else np.empty(0, np.int64)
+
+
+def sketch_of(least: np.ndarray) -> np.ndarray:
+    """The last two bits of each minimum, 32 to a signed long."""
+    pairs = (least & np.uint32(3)).astype(np.uint64).reshape(-1, 32)
+    return (pairs << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(1, dtype=np.uint64).view(np.int64)
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hash, size, fingerprint, bands and shingle set of each text; batches out are bounded by their shingles."""
-    rows: list[tuple] = []
-    held = 0
+LONGS = BANDS * ROWS // 32
+SKETCH = [f"k{i}" for i in range(LONGS)]
+
 
-    def batch_of() -> pa.RecordBatch:
-        types = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [x.split()[0] for x in MARKS.split(", ")])
+def _agree(left: str, right: str) -> Column:
+    """Minima of two nodes that agree in their last two bits."""
+    x = [f"({left}_{k} ^ {right}_{k})" for k in SKETCH]
+    return F.expr(f"{BANDS * ROWS} - (" + " + ".join(f"bit_count(({y} | shiftrightunsigned({y}, 1)) & 6148914691236517205L)" for y in x) + ")")
 
+
+MARKS = "id long, h1 long, h2 long, node long, size long, fp long, bands array<long>, sketch array<long>"
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash, size, fingerprint, bands and sketch of each text's shingle set."""
+    types = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
     for batch in batches:
+        rows = []
         for key, h1, h2, text in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3)):
             parts = list(shingle_hashes(text.as_py(), SHINGLE))
             own = np.unique(np.concatenate([np.empty(0, np.uint64), *parts]))
             node, fp = np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED), fingerprint_of(parts)], np.uint64).view(np.int64).tolist()
-            rows.append((key, h1, h2, node, len(own), fp, bands(own), own.view(np.int64)))
-            held += len(own) + BANDS
+            least = minima(own) if len(own) else None
+            rows.append((key, h1, h2, node, len(own), fp, [] if least is None else bands_of(least), [0] * LONGS if least is None else sketch_of(least)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [x.split()[0] for x in MARKS.split(", ")])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, set) of each text; batches out are bounded by their shingles."""
+    rows: list[tuple] = []
+    held = 0
+    batch_of = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.list_(pa.int64())))], ["node", "set"])
+    for batch in batches:
+        for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rows.append((node, shingles(text.as_py()).view(np.int64)))
+            held += len(rows[-1][1])
             if held > HANDED:
                 yield batch_of()
                 rows, held = [], 0
@@ -82,33 +113,42 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of()
 
 
-def _decided(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb) with repeats -> links (a, b) of nodes whose sets are similar; sizes alone rule some pairs out."""
+def _decided(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
+    """(a, b, na, nb) with repeats -> links (a, b) of nodes whose sets are similar; only texts of these nodes are read again."""
     p, q = LEAST
-    possible = (F.col("na") * q >= F.col("nb") * p) & (F.col("nb") * q >= F.col("na") * p)
-    left, right = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
+    pairs = cut(pairs.distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(nodes.select("node", "first"), "node")
+    wanted = wanted.select("node", "first.h1", "first.h2")
+    texts = source.select("h1", "h2", "text").join(wanted, ["h1", "h2"]).select("node", "text").dropDuplicates(["node"])
+    sets = cut(texts.mapInArrow(_sets, "node long, set array<long>"), "sets")
     both = F.size(F.array_intersect("set_a", "set_b"))
-    scored = pairs.where(possible).distinct().join(right, "b").join(left, "a")
-    return cut(scored.where(both * q >= (F.col("na") + F.col("nb") - both) * p).select("a", "b"), "links")
+    scored = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
+    links = cut(scored.where(both * q >= (F.col("na") + F.col("nb") - both) * p).select("a", "b"), "links")
+    drop_cut(sets)
+    return links
 
 
 def _pairs(entries: DataFrame, others: DataFrame) -> DataFrame:
-    """Pairs a < b of nodes of one bucket and different components."""
-    left = others.selectExpr("bucket", "node AS a", "size AS na", "component AS ca")
-    right = entries.selectExpr("bucket", "node AS b", "size AS nb", "component AS cb")
-    return left.join(right, "bucket").where("ca <> cb AND a <> b").selectExpr("least(a, b) AS a", "greatest(a, b) AS b", "IF(a < b, na, nb) AS na", "IF(a < b, nb, na) AS nb")
+    """Pairs a < b of nodes of one bucket and different components that could be similar by their sizes and sketches."""
+    p, q = LEAST
+    sides = [
+        df.select("bucket", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "size", "component", *SKETCH)]) for df, side in ((others, "l"), (entries, "r"))
+    ]
+    possible = F.expr(f"l_component <> r_component AND l_node <> r_node AND l_size * {q} >= r_size * {p} AND r_size * {q} >= l_size * {p}")
+    met = sides[0].join(sides[1], "bucket").where(possible & (_agree("l", "r") >= AGREE))
+    return met.selectExpr("least(l_node, r_node) AS a", "greatest(l_node, r_node) AS b", "IF(l_node < r_node, l_size, r_size) AS na", "IF(l_node < r_node, r_size, l_size) AS nb")
 
 
-def _links(entries: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-    """(bucket, node, size) and known links -> links that connect what similar pairs within a bucket connect.
+def _links(entries: DataFrame, links: DataFrame, decided) -> DataFrame:
+    """(bucket, node, size, sketch) and known links -> links that connect what similar pairs within a bucket connect.
 
-    Each round compares the smallest node of a bucket with all its nodes and takes it out; pairs that links already
-    connect need no decision, so a group of near copies of any size needs few. What is left is compared pair by pair
-    once it is no more than OPEN times the entries, so a round's pairs are linear in the entries and none is left out.
+    Pairs that links already connect need no decision. While the others are more than OPEN for each entry, a round
+    compares the smallest node of each bucket with all its nodes and takes it out; then all that are left are
+    compared. So the pairs of a round are linear in the entries, and none is left out.
     """
     while True:
         classes = connected_components(links).select("node", F.col("component").alias("joined"))
-        now = entries.join(classes, "node", "left").select("bucket", "node", "size", F.coalesce("joined", "node").alias("component"))
+        now = entries.join(classes, "node", "left").withColumn("component", F.coalesce("joined", "node")).drop("joined")
         bounds = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("star"))
         now = cut(now.join(bounds.where("lo < hi").select("bucket", "star"), "bucket"), "entries")
         per = now.groupBy("bucket", "component").agg(F.count("*").cast("double").alias("n")).groupBy("bucket")
@@ -117,9 +157,9 @@ def _links(entries: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
         if not open_pairs:
             return links
         if open_pairs <= OPEN * m:
-            return links.unionAll(_decided(_pairs(now, now).where("a < b"), sets))
-        links = links.unionAll(_decided(_pairs(now, now.where("node = star")), sets))
-        entries = now.where("node <> star").select("bucket", "node", "size")
+            return links.unionAll(decided(_pairs(now, now)))
+        links = cut(links.unionAll(decided(_pairs(now, now.where("node = star")))), "all-links")
+        entries = now.where("node <> star").drop("star", "component")
 
 
 def _row_of_each(docs: DataFrame, first: DataFrame, marks: DataFrame, id_col: str, h1: Column, h2: Column) -> DataFrame:
@@ -150,25 +190,28 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     h1, h2 = F.xxhash64(text), F.xxhash64(F.lit(1), text)
     source = docs.select(F.col(id_col).cast("long").alias("id"), h1.alias("h1"), h2.alias("h2"), text.alias("text"))
-    marks = cut(source.mapInArrow(_marked, MARKS), "marks", ROW_GROUP)
+    marks = cut(source.mapInArrow(_marked, MARKS), "marks")
     least = F.min(F.struct("id", "node", "h1", "h2")).alias("first")
-    nodes = cut(marks.groupBy("node").agg(least, F.max("size").alias("size"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
+    one = [F.first(c).alias(c) for c in ("bands", "sketch")]  # the same in all rows of a node
+    nodes = cut(marks.groupBy("node").agg(least, F.max("size").alias("size"), F.min("fp").alias("fp"), *one), "nodes")
 
-    spread = nodes.select(F.explode("bands").alias("bucket"), "node", "size")
+    spread = nodes.select(F.explode("bands").alias("bucket"), "node")
     shared = spread.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     entries = cut(spread.join(shared.select("bucket"), "bucket"), "entries")
+    sketches = nodes.select("node", "size", *[F.col("sketch")[i].alias(k) for i, k in enumerate(SKETCH)])
+    entries = cut(entries.join(sketches, "node"), "entries")
 
     # fingerprints within the radius, each by its smallest node, and the nodes of one fingerprint with that node
     prints = nodes.where("size > 0").select("node", "size", "fp")
-    least = prints.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("x")).select("fp", F.col("x.node").alias("rep"), F.col("x.size").alias("n"))
+    smallest = prints.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("x")).select("fp", F.col("x.node").alias("rep"), F.col("x.size").alias("n"))
     close = fingerprint_links(cut(prints.select("fp").distinct(), "prints"), RADIUS)
-    close = close.join(least.toDF("a", "left", "na"), "a").join(least.toDF("b", "right", "nb"), "b").selectExpr("left AS a", "right AS b", "na", "nb")
-    equal = prints.join(least, "fp").where("node <> rep").selectExpr("rep AS a", "node AS b", "n AS na", "size AS nb")
-    covered = cut(close.unionAll(equal), "covered")
+    close = close.join(smallest.toDF("a", "left", "na"), "a").join(smallest.toDF("b", "right", "nb"), "b").selectExpr("left AS a", "right AS b", "na", "nb")
+    equal = prints.join(smallest, "fp").where("node <> rep").selectExpr("rep AS a", "node AS b", "n AS na", "size AS nb")
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        return _decided(pairs, nodes, source)
 
-    wanted = entries.select("node").unionAll(covered.select("a")).unionAll(covered.select("b")).distinct()
-    sets = cut(marks.select("node", "set").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    links = _links(entries, sets, _decided(covered, sets))
+    links = _links(entries, decided(close.unionAll(equal)), decided)
 
     classes = connected_components(links).withColumnRenamed("component", "joined")
     roots = nodes.join(classes, "node", "left").select("first", F.coalesce("joined", "node").alias("root"))

@@ -6,6 +6,7 @@ penalties, then calibrated by one temperature on rows that training has not seen
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,15 +27,19 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """per_language bounds the labelled rows that weights are fitted on; frequencies cover all rows."""
+    """per_language bounds the labelled rows that weights are fitted on; frequencies cover all rows.
+
+    most_languages bounds the model; a table with more labels than that is an error.
+    """
 
     per_language: int = 600
+    most_languages: int = 1000
     epochs: int = 4
     alpha: float = 2.0
     beta: float = 1.0
     l1: float = 0.02
     l2: float = 1e-3
-    calibration_share: int = 5  # one sampled row in so many sets the temperature
+    calibration_share: int = 5  # one sampled row of a language in so many, at least 2, sets the temperature
 
 
 @dataclass(frozen=True)
@@ -105,9 +110,11 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, settings: Settings) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """(language, features, counts) of a bounded, repeatable sample: about per_language rows of each.
 
-    Rows are taken by a hash of id and text, so the same table gives the same sample.
+    Rows are taken by a hash of id and text, so the same table gives the same sample, the least hashes first.
     """
-    per = {r[0]: r[1] for r in docs.groupBy(lang_col).count().collect()}
+    per = {r[0]: r[1] for r in docs.groupBy(lang_col).count().limit(settings.most_languages + 1).collect()}
+    if len(per) > settings.most_languages:
+        raise ValueError(f"more than {settings.most_languages} languages")
     if not per:
         return []
     share = F.create_map(*[x for k, n in per.items() for x in (F.lit(k), F.lit(min(1.0, settings.per_language / n)))])
@@ -132,8 +139,8 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
                 )
 
     rows = drawn.mapInArrow(counted, "lang string, draw double, features binary, counts binary")
-    rows = rows.limit(2 * settings.per_language * len(per)).collect()
-    rows.sort(key=lambda r: (r.draw, r.lang, bytes(r.features), bytes(r.counts)))
+    order = ["draw", "lang", "features", "counts"]
+    rows = rows.orderBy(*order).limit(2 * settings.per_language * len(per)).collect()
     return [(r.lang, np.frombuffer(r.features, "<i4"), np.frombuffer(r.counts, "<i4")) for r in rows]
 
 
@@ -153,8 +160,12 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], frequency: np.ndarray,
     number = {lang: i for i, lang in enumerate(languages)}
     idf = np.where(frequency > 0, np.log((1 + rows) / (1 + frequency)) + 0.1, 0.0)
     data = [(number[lang], f, _vector(f, c, idf)) for lang, f, c in sample]
-    held = [x for i, x in enumerate(data) if i % settings.calibration_share == 0] or data
-    used = [x for i, x in enumerate(data) if i % settings.calibration_share] or data
+    # every so many a row of a language sets the temperature, never its first
+    met, held, used = Counter(), [], []
+    for x in data:
+        met[x[0]] += 1
+        (used if met[x[0]] % settings.calibration_share else held).append(x)
+    held = held or data
     k = len(languages)
     z, n = np.zeros((FEATURES + 1, k)), np.zeros((FEATURES + 1, k))
 

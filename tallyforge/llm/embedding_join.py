@@ -148,9 +148,9 @@ def close_blocks(blocks: DataFrame, epsilon: float) -> DataFrame:
     return near.select("a", "b").distinct()
 
 
-def _adjacent(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, raw: tuple, cosine: float, epsilon: float) -> np.ndarray:
-    """Which rows of x and y reach the cosine; runs whose boxes are further apart than epsilon are skipped."""
-    out = np.zeros((len(x), len(y)), bool)
+def _adjacent(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, raw: tuple, cosine: float, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of x and y that reach the cosine; runs whose boxes are further apart than epsilon are skipped."""
+    found: list[np.ndarray] = [np.empty((0, 2), np.int64)]
     todo = [(0, len(x), 0, len(y))]
     while todo:
         a, b, c, d = todo.pop()
@@ -167,36 +167,44 @@ def _adjacent(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, raw:
                 todo += [(a, b, c, m), (a, b, m, d)]
             continue
         value = x[a:b] @ y[c:d].T
-        out[a:b, c:d] = value >= cosine
-        for i, j in np.argwhere(np.abs(value - cosine) < 1e-12):  # rounding could decide these
-            u, v = raw[0][a + i].tolist(), raw[1][c + j].tolist()
-            exact = fsum(s * t for s, t in zip(u, v)) / (sqrt(fsum(s * s for s in u)) * sqrt(fsum(t * t for t in v)))
-            out[a + i, c + j] = exact >= cosine
-    return out
+        near = np.argwhere(value >= cosine - 1e-12)
+        close = value[near[:, 0], near[:, 1]] < cosine + 1e-12
+        if close.any():  # rounding could decide these
+            kept = ~close
+            for k in np.flatnonzero(close).tolist():
+                u, v = raw[0][a + near[k, 0]].tolist(), raw[1][c + near[k, 1]].tolist()
+                exact = fsum(s * t for s, t in zip(u, v)) / (sqrt(fsum(s * s for s in u)) * sqrt(fsum(t * t for t in v)))
+                kept[k] = exact >= cosine
+            near = near[kept]
+        if len(near):
+            found.append(near + (a, c))
+    pairs = np.concatenate(found)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def _pair_links(left: pa.Table, right: pa.Table, directions: dict[int, np.ndarray], cosine: float, epsilon: float) -> pa.Table:
     """Of one pair of blocks: (node, links, root), how many rows each linked node gains, and a node of its component."""
     a, b = left.slice(0, 1).to_pylist()[0], right.slice(0, 1).to_pylist()[0]
-    same = a["a"] == a["b"]
     unpack = lambda r: (np.frombuffer(r["nodes"], "<i8"), np.frombuffer(r["counts"], "<i8"), np.frombuffer(r["vectors"], np.float32).reshape(-1, r["dim"]).astype(np.float64))
     (na, ca, xa), (nb, cb, xb) = unpack(a), unpack(b)
     ua, ub, base = _unit(xa), _unit(xb), directions[a["dim"]]
-    linked = _adjacent(ua, ub, ua @ base, ub @ base, (xa, xb), cosine, epsilon)
-    if same:
-        np.fill_diagonal(linked, False)
-    root_a, root_b = na.copy(), nb.copy()
-    big = np.iinfo(np.int64).max
-    while True:  # each node takes the smallest node that its component has shown so far
-        new_a = np.minimum(root_a, np.where(linked, root_b, big).min(1))
-        new_b = np.minimum(root_b, np.where(linked, new_a[:, None], big).min(0))
-        if same:
-            new_a = new_b = np.minimum(new_a, new_b)
-        if (new_a == root_a).all() and (new_b == root_b).all():
+    i, j = _adjacent(ua, ub, ua @ base, ub @ base, (xa, xb), cosine, epsilon)
+    if a["a"] == a["b"]:
+        i, j = i[i != j], j[i != j]
+    # rows of both blocks are numbered through; each takes the smallest node that its component has shown so far
+    node, ends, others = np.concatenate([na, nb]), np.concatenate([i, j + len(na)]), np.concatenate([j + len(na), i])
+    links = np.zeros(len(node), np.int64)
+    np.add.at(links, ends, np.concatenate([ca, cb])[others])
+    root = node.copy()
+    if a["a"] == a["b"]:  # one block on both sides: a row's two numbers are one node
+        ends, others = i, j
+        node, links, root = na, links[: len(na)], na.copy()
+    while True:
+        new = root.copy()
+        np.minimum.at(new, ends, root[others])
+        if (new == root).all():
             break
-        root_a, root_b = new_a, new_b
-    sides = [(na, linked @ cb, root_a)] if same else [(na, linked @ cb, root_a), (nb, ca @ linked, root_b)]
-    node, links, root = (np.concatenate(x) for x in zip(*sides))
+        root = new
     met = links > 0
     return pa.table({"node": node[met], "links": links[met], "root": root[met]})
 

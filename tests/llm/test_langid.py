@@ -125,7 +125,7 @@ def brute_fit(rows, s):
 
 def test_training_equals_plain_ftrl():
     rows = [(lang, text) for lang, texts in TINY.items() for text in texts]
-    settings = langid.Settings(epochs=3, l1=0.05)
+    settings = langid.Settings(epochs=3, l1=0.05, calibration_share=2)
     languages, weight, probabilities, loss, vectors = brute_fit(rows, settings)
     sample, frequency = [], np.zeros(langid.FEATURES, np.int64)
     for lang, text in rows:
@@ -143,17 +143,17 @@ def test_training_equals_plain_ftrl():
             zeros += model.weights[f, k] == 0
     assert zeros and all(abs(model.bias[k] - weight("bias", k)) < 1e-9 for k in range(len(languages)))
     t = model.temperature
-    assert loss(t) <= min(loss(t * 1.05), loss(t / 1.05)) + 1e-9
+    assert 0.06 < t < 19 and loss(t) <= min(loss(t * 1.05), loss(t / 1.05))
     for (lang, text), (_, x) in zip(rows, vectors):
         p = probabilities(x, t)
         found, score = langid.predict(model, text)
         assert found == languages[p.index(max(p))] and abs(score - max(p)) < 1e-9
 
 
-#: The fifth row of a language sets the temperature; one of them is labelled wrongly, so that it has an inner optimum.
+#: With every second row held out, one of those rows is labelled wrongly, so that the temperature has an inner optimum.
 TINY = {
     "aa": ["the cat and the dog", "that is what he said", "with this and that", "of the house there", "the man went on", "all of the things"],
-    "bb": ["le chat est sur la table", "que les hommes sont", "dans la maison", "avec nous il y a", "that is the dog of the house", "une chose pour vous"],
+    "bb": ["le chat est sur la table", "que les hommes sont", "dans la maison", "that is the dog of the house", "avec nous il y a", "une chose pour vous"],
     "cc": ["der hund und die katze", "das ist was er sagte", "in dem haus dort", "mit dem mann ging", "alle die dinge hier"],
 }
 

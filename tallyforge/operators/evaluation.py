@@ -28,6 +28,36 @@ def evaluated(contexts: DataFrame, metrics: dict[str, tuple[str, str]] | None =
     return contexts.select("run_id", F.explode(F.array(*rows)).alias("x")).select("run_id", "x.*")
 
 
+# fixed values: metrics of the structured, graph and baseline evaluators, their conditions and reasons
+STRUCTURED_METRICS = {
+    "structured_catalog_and_evidence": ("catalog_loaded AND evidence_version IS NOT NULL", "structured_catalog_or_evidence_missing"),
+}
+GRAPH_METRICS = {
+    "kg_catalog_before_jev_and_evidence": ("catalog_loaded AND catalog_first AND evidence_version IS NOT NULL", "kg_catalog_or_evidence_missing"),
+    "kg_fixture_selection_matches": ("selection_matches", "kg_fixture_selection_mismatch"),
+}
+BASELINE_METRICS = {
+    "baseline_ungated_shape": ("NOT (control_plane_invoked OR privacy_gate_invoked OR guardrail_invoked)", "baseline_gate_was_invoked"),
+    "baseline_model_completed": ("error_code IS NULL", "baseline_model_error"),
+    "baseline_duration_recorded": ("duration_ms >= 0", "baseline_duration_missing"),
+    "baseline_retrieval_attempts_recorded": ("retrieval_attempts >= 0", "baseline_retrieval_attempts_missing"),
+}
+#: The checks of a run's technical completeness, each on a column of a run record.
+COMPLETENESS = ("answered", "route_known", "latency_measured", "cost_measured", "trace_linked", "policy_recorded", "verified")
+
+
+def matrix_totals(results: DataFrame) -> DataFrame:
+    """One row: results of a golden matrix, how many passed and how many failed; a null counts as failed."""
+    passed = F.count_if(F.coalesce("passed", F.lit(False)))
+    return results.agg(F.count("*").alias("results"), passed.alias("passed"), (F.count("*") - passed).alias("failed"))
+
+
+def completeness(runs: DataFrame) -> DataFrame:
+    """(run_id, pipeline, check, passed): a row for each of the COMPLETENESS columns of a run; a null fails."""
+    parts = [F.struct(F.lit(c).alias("check"), F.coalesce(F.col(c), F.lit(False)).alias("passed")) for c in COMPLETENESS]
+    return runs.select("run_id", "pipeline", F.explode(F.array(*parts)).alias("x")).select("run_id", "pipeline", "x.*")
+
+
 def workflow_summary(results: DataFrame) -> DataFrame:
     return results.groupBy("pipeline").agg(
         F.round(F.avg("score"), 3).alias("avg_score"),

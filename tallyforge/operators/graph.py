@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions.lineage import cut
 from tallyforge.operators.rules import METRICS
 
 
@@ -29,18 +31,23 @@ def item_nodes(catalog: DataFrame, population: str, target: str) -> tuple[DataFr
     return nodes.unionAll(features).unionAll(values), edges
 
 
-def with_rule_id(rules: DataFrame, population: str) -> DataFrame:
-    """rule_id from the antecedents, the consequent and the population, the same in every run."""
-    text = F.concat_ws("|", F.lit(population), F.concat_ws(",", "antecedents"), "consequent", *[F.format_number(m, 6) for m in METRICS])
-    return rules.withColumn("rule_id", F.concat_ws(":", F.lit("rule"), F.lit(population), F.sha2(text, 256)))
-
-
 def canonical_rule_id(population: str, antecedents: list[str], consequent: str, support: float, confidence: float, lift: float) -> str:
-    """The identity that artifacts carry: a digest of canonical JSON, made where numbers print as in JSON."""
+    """The identity that artifacts carry: a digest of the rule as canonical JSON, metrics included."""
     body = {"antecedents": antecedents, "confidence": confidence, "consequent": consequent, "lift": lift, "population": population, "support": support}
     return f"rule:{population}:" + hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
+def with_rule_id(rules: DataFrame, population: str) -> DataFrame:
+    """rule_id, the same in every run; numbers have to print as in JSON, which has no built-in, and rules are few."""
+
+    @F.pandas_udf("string")
+    def named(antecedents: pd.Series, consequent: pd.Series, support: pd.Series, confidence: pd.Series, lift: pd.Series) -> pd.Series:
+        rows = zip(antecedents, consequent, support.tolist(), confidence.tolist(), lift.tolist())
+        return pd.Series([canonical_rule_id(population, list(a), c, *m) for a, c, *m in rows], dtype=object)
+
+    return rules.withColumn("rule_id", named("antecedents", "consequent", *METRICS))
+
+
 def rule_nodes(rules: DataFrame, population: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, kind, population, antecedent_count) and edges (source, target, relation, support, confidence, lift) of rules."""
     named = with_rule_id(rules, population)
@@ -58,17 +65,83 @@ def conflicts(nodes: DataFrame) -> DataFrame:
     return nodes.distinct().groupBy("id").count().where("count > 1").select("id")
 
 
-def is_acyclic(edges: DataFrame, rounds: int = 50) -> bool:
-    """Peel off nodes that nothing points to until none is left or none can be peeled."""
-    left = edges.select("source", "target").distinct()
-    for _ in range(rounds):
-        if left.isEmpty():
-            return True
-        peeled = left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").persist()
-        if peeled.count() == left.count():
+def is_acyclic(edges: DataFrame) -> bool:
+    """Take away edges into nodes that nothing leaves until none is left or none can be taken away."""
+    left = cut(edges.select("source", "target").distinct())
+    size = left.count()
+    while size:
+        rest = cut(left.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi"))
+        now = rest.count()
+        if now == size:
             return False
-        left = peeled
-    raise RuntimeError(f"paths are longer than {rounds}")
+        left, size = rest, now
+    return True
+
+
+def checked_consensus(rules: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Rules that a graph may be compiled from; the first fault found is an error.
+
+    Items are in the catalog (item) and in order, metrics in their domains, no rule occurs twice.
+    """
+    items = rules.select(F.explode(F.array_append("antecedents", F.col("consequent"))).alias("item"))
+    inside = lambda c: F.coalesce(F.col(c).between(0, 1), F.lit(False))
+    faults = {
+        "an item is not in the catalog": items.join(catalog, "item", "left_anti"),
+        "antecedents are missing, repeated or out of order": rules.where((F.size("antecedents") < 1) | (F.array_sort(F.array_distinct("antecedents")) != F.col("antecedents"))),
+        "the consequent is among the antecedents": rules.where(F.array_contains("antecedents", F.col("consequent"))),
+        "a metric lies outside its domain": rules.where(~inside("support") | ~inside("confidence") | ~F.coalesce((F.col("lift") >= 0) & (F.col("lift") < float("inf")), F.lit(False))),
+        "a rule occurs twice": rules.groupBy("antecedents", "consequent").count().where("count > 1"),
+        "there are no rules": rules.limit(1).agg(F.count("*").alias("n")).where("n = 0"),
+    }
+    for message, rows in faults.items():
+        if not rows.isEmpty():
+            raise ValueError(message)
+    return rules
+
+
+# fixed values: the reviewed cases, what each predicts, and whether it may be used
+CASES = (
+    ("C1", "sla_breached", "exploratory_not_promoted"),
+    ("C2", "resolution_days", "exploratory_not_promoted"),
+    ("C3", "is_fraud", "exploratory_not_promoted"),
+    ("C4", "requires_followup|was_escalated", "exploratory_not_promoted"),
+    ("C5", "main_score", "exploratory_not_promoted"),
+    ("C6", None, "blocked"),
+    ("C7", None, "blocked"),
+    ("C8", None, "blocked"),
+)
+
+
+def with_cases(nodes: DataFrame, edges: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Case nodes for all CASES, a model_run node for each row of runs (case_id, run_id, sha256, manifest_sha256) and the edge between.
+
+    A run whose digest differs from its manifest's, or of a case that is not listed or blocked, is an error.
+    """
+    spark = nodes.sparkSession
+    listed = spark.createDataFrame(list(CASES), "case_id string, target string, status string")
+    if not runs.where("NOT (sha256 <=> manifest_sha256)").isEmpty():
+        raise ValueError("a model run is not what its manifest describes")
+    if not runs.join(listed.where("status <> 'blocked'"), "case_id", "left_anti").isEmpty():
+        raise ValueError("a run belongs to no case that may have one")
+    none = F.lit(None).cast("string")
+    case = F.concat(F.lit("case:"), "case_id")
+    run = F.concat_ws(":", F.lit("model_run"), "case_id", "run_id")
+    out = nodes.unionAll(listed.select(case, F.lit("case"), none, "target", "status"))
+    out = out.unionAll(runs.select(run, F.lit("model_run"), none, F.lit("sha256"), "sha256"))
+    return out, edges.unionAll(runs.select(case, run, F.lit("evaluated_by")))
+
+
+def case_summary(nodes: DataFrame, edges: DataFrame, case_id: str) -> DataFrame:
+    """The case's node with the runs that evaluated it, one row a run, or one row without."""
+    found = nodes.where(F.col("id") == f"case:{case_id}").select("id", F.col("feature").alias("predicts"), F.col("value").alias("status"))
+    runs = edges.where("relation = 'evaluated_by'").select(F.col("source").alias("id"), F.col("target").alias("run"))
+    digests = nodes.where("kind = 'model_run'").select(F.col("id").alias("run"), F.col("value").alias("sha256"))
+    return found.join(runs.join(digests, "run"), "id", "left")
+
+
+def operations(nodes: DataFrame) -> DataFrame:
+    """(kind, allowed): the values that each kind of node offers to the operations, sorted; kinds are of the closed schema."""
+    return nodes.groupBy("kind").agg(F.array_sort(F.collect_set("id")).alias("allowed"))
 
 
 def population_summary(edges: DataFrame, population: str) -> DataFrame:
@@ -97,11 +170,34 @@ def difference(previous: DataFrame, candidate: DataFrame) -> DataFrame:
     return both.select(*keys, change.alias("change"), *[F.round(F.col(f"new_{m}") - F.col(f"old_{m}"), 6).alias(f"{m}_delta") for m in METRICS])
 
 
-def gate(diff: DataFrame, least_jaccard: float = 0.8, most_removed: float = 0.2, most_added: float = 0.5) -> DataFrame:
-    """One row: counts, Jaccard and whether the candidate may be published."""
+def row_deltas(previous: DataFrame, candidate: DataFrame) -> DataFrame:
+    """(population, row_count) of two versions -> counts, their difference and its share of the previous count."""
+    both = previous.withColumnRenamed("row_count", "old").join(candidate.withColumnRenamed("row_count", "new"), "population", "full").na.fill(0, ["old", "new"])
+    delta = F.col("new") - F.col("old")
+    return both.select("population", "old", "new", delta.alias("delta"), F.round(F.abs(delta) / F.greatest("old", F.lit(1)), 6).alias("ratio"))
+
+
+def support_snapshot(supports: DataFrame, counts: DataFrame) -> DataFrame:
+    """(population, row_count, item, support): what a version holds of its populations, for later comparison."""
+    return supports.join(counts, "population").select("population", "row_count", "item", F.round("support", 6).alias("support"))
+
+
+def gate(
+    diff: DataFrame, deltas: DataFrame | None = None, holdout: DataFrame | None = None,
+    least_jaccard: float = 0.8, most_removed: float = 0.2, most_added: float = 0.5, most_delta: float = 0.5, least_stable: float = 0.5,
+) -> DataFrame:
+    """One row: counts, Jaccard, the greatest change of a population, the least share of stable rules, and whether the
+    candidate may be published. Changes come from row_deltas(); holdout is (population, stable boolean), a row a rule."""
     out = diff.agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("kept", "added", "removed")])
     total, old = F.col("kept") + F.col("added") + F.col("removed"), F.col("kept") + F.col("removed")
-    share = F.when(total == 0, 1.0).otherwise(F.round(F.col("kept") / total, 6))
-    out = out.withColumn("jaccard", share)
-    ratio = lambda c: F.coalesce(F.try_divide(F.col(c), old), F.lit(0.0))
-    return out.withColumn("passed", (F.col("jaccard") >= least_jaccard) & (ratio("removed") <= most_removed) & (ratio("added") <= most_added))
+    out = out.withColumn("jaccard", F.when(total == 0, 1.0).otherwise(F.round(F.col("kept") / total, 6)))
+    ratio = lambda c: F.col(c) / F.greatest(old, F.lit(1))
+    passed = (F.col("jaccard") >= least_jaccard) & (ratio("removed") <= most_removed) & (ratio("added") <= most_added)
+    if deltas is not None:
+        out = out.join(deltas.agg(F.max("ratio").alias("row_delta")), F.lit(True))
+        passed = passed & (F.coalesce("row_delta", F.lit(0.0)) <= most_delta)
+    if holdout is not None:
+        shares = holdout.groupBy("population").agg(F.avg(F.col("stable").cast("double")).alias("share"))
+        out = out.join(shares.agg(F.round(F.min("share"), 6).alias("stable")), F.lit(True))
+        passed = passed & (F.coalesce("stable", F.lit(1.0)) >= least_stable)
+    return out.withColumn("passed", passed)

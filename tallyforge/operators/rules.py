@@ -5,6 +5,8 @@ A rule is (antecedents array, consequent, support, confidence, lift), metrics ro
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +103,34 @@ def consensus(*sets: DataFrame) -> DataFrame:
     return out
 
 
+def strict_consensus(*sets: DataFrame) -> DataFrame:
+    """As consensus, but rules that all strategies found with different metrics are an error."""
+    keys = ["antecedents", "consequent"]
+    everywhere = reduce(lambda x, y: x.intersect(y), [s.select(*keys) for s in sets])
+    out = cut(consensus(*sets))
+    if not everywhere.exceptAll(out.select(*keys)).isEmpty():
+        raise ValueError("strategies found the same rule with different metrics")
+    return out
+
+
+def multi_jaccard(sets: list[DataFrame]) -> DataFrame:
+    """One row: rules in all of the sets, rules in any of them, and their ratio; 1.0 if there are none."""
+    tagged = [s.select("antecedents", "consequent", F.lit(i).alias("i")).distinct() for i, s in enumerate(sets)]
+    seen = reduce(DataFrame.unionAll, tagged).groupBy("antecedents", "consequent").agg(F.count("*").alias("n"))
+    out = seen.agg(F.count_if(F.col("n") == len(sets)).alias("shared"), F.count("*").alias("total"))
+    return out.select("shared", "total", F.when(F.col("total") == 0, 1.0).otherwise(F.round(F.col("shared") / F.col("total"), 6)).alias("jaccard"))
+
+
+def histogram(found: DataFrame) -> DataFrame:
+    """(antecedent_length, n) of a rule set."""
+    return found.groupBy(F.size("antecedents").alias("antecedent_length")).agg(F.count("*").alias("n"))
+
+
+def ordered(found: DataFrame) -> DataFrame:
+    """The order in which rules are listed: lift, confidence and support falling, then their items."""
+    return found.orderBy(F.desc("lift"), F.desc("confidence"), F.desc("support"), "antecedents", "consequent")
+
+
 def jaccard(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: shared and all rules of two sets by their antecedents and consequent; 1.0 for two empty sets."""
     keys = ["antecedents", "consequent"]

@@ -9,7 +9,7 @@ from tallyforge.sources.contracts import CONTRACTS
 
 #: The mining settings of the registered queries. The status of the stand-in rows is spread evenly
 #: over three values, so thresholds above one third and lift 1 leave no rules to compare.
-SUPPORT, CONFIDENCE, LIFT, LONGEST, MOST = 0.05, 0.33, 1.0, 3, 30
+SUPPORT, CONFIDENCE, LIFT, LONGEST, MOST = 0.01, 0.33, 1.0, 4, 100
 START, END, FRACTION = "1995-01-01", "2001-09-01", 0.2
 
 
@@ -103,7 +103,7 @@ def item_rows(name: str, source: str | None = None, out: str = "it") -> str:
 
 
 def itemsets(source: str = "it", prefix: str = "") -> str:
-    """CTEs <prefix>total, least and sets(items, k, n) of up to three items by self-joins on the row."""
+    """CTEs <prefix>total, least and sets(items, k, n) of up to four items by self-joins on the row."""
     p = prefix
     return f"""{p}tot AS (SELECT count(DISTINCT key) AS total FROM {source}),
 {p}lst AS (SELECT greatest(1, ceil({SUPPORT} * total - 1e-12)) AS least FROM {p}tot),
@@ -112,7 +112,10 @@ def itemsets(source: str = "it", prefix: str = "") -> str:
 {p}f2 AS (SELECT a.item AS i1, b.item AS i2, count(*) AS n FROM {p}h a JOIN {p}h b ON a.key = b.key AND a.item < b.item GROUP BY 1, 2 HAVING count(*) >= (SELECT least FROM {p}lst)),
 {p}f3 AS (SELECT a.item AS i1, b.item AS i2, c.item AS i3, count(*) AS n FROM {p}h a JOIN {p}h b ON a.key = b.key AND a.item < b.item
   JOIN {p}h c ON b.key = c.key AND b.item < c.item GROUP BY 1, 2, 3 HAVING count(*) >= (SELECT least FROM {p}lst)),
-{p}sets AS (SELECT [item] AS items, 1 AS k, n FROM {p}f1 UNION ALL SELECT [i1, i2], 2, n FROM {p}f2 UNION ALL SELECT [i1, i2, i3], 3, n FROM {p}f3)"""
+{p}f4 AS (SELECT a.item AS i1, b.item AS i2, c.item AS i3, d.item AS i4, count(*) AS n FROM {p}h a JOIN {p}h b ON a.key = b.key AND a.item < b.item
+  JOIN {p}h c ON b.key = c.key AND b.item < c.item JOIN {p}h d ON c.key = d.key AND c.item < d.item GROUP BY 1, 2, 3, 4 HAVING count(*) >= (SELECT least FROM {p}lst)),
+{p}sets AS (SELECT [item] AS items, 1 AS k, n FROM {p}f1 UNION ALL SELECT [i1, i2], 2, n FROM {p}f2 UNION ALL SELECT [i1, i2, i3], 3, n FROM {p}f3
+  UNION ALL SELECT [i1, i2, i3, i4], 4, n FROM {p}f4)"""
 
 
 def rules(name: str, prefix: str = "") -> str:

@@ -181,6 +181,7 @@ def _with_medians(df: DataFrame, rules: list[Rule], mode: str) -> DataFrame:
 
 
 def last_of_key(df: DataFrame, key: str, freshness: str, order: str) -> DataFrame:
-    """The strict twin of latest(): among rows of one key and freshness the last in source order wins."""
-    window = W.partitionBy(key).orderBy(F.col(freshness).desc(), F.col(order).desc())
-    return df.withColumn("__n", F.row_number().over(window)).where("__n = 1").drop("__n")
+    """The strict twin of latest(): among rows of one key and freshness the last in source order wins; a null key is an error."""
+    if not df.where(F.col(key).isNull()).isEmpty():
+        raise ValueError(f"{key} is null in a row")
+    return latest(df, key, freshness, (order,))

@@ -11,6 +11,7 @@ Every proposed pair is decided on its whole shingle sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,9 @@ BANDS, ROWS = 40, 8
 AGREE = 252
 #: Shingles permuted at a time, so that a very long text needs no more memory than this; shingles in a batch handed on.
 STEP, HANDED = 1 << 11, 1 << 17
-#: All pairs of a bucket that are still open are compared once they are no more than this many for each entry.
-OPEN = 50
+#: All pairs of a bucket that are still open are compared once they are no more than this many for each entry, and after
+#: STARS rounds, in which groups of copies become connected, unless they are no more than the entries before.
+OPEN, STARS = 50, 3
 
 _random = np.random.default_rng(SEED)
 FACTORS = _random.integers(0, 2**32, BANDS * ROWS, np.uint32) | np.uint32(1)
@@ -128,13 +130,13 @@ def _decided(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame
     return links
 
 
-def _pairs(entries: DataFrame, others: DataFrame) -> DataFrame:
+def _pairs(entries: DataFrame, others: DataFrame, order: str = "l_node <> r_node") -> DataFrame:
     """Pairs a < b of nodes of one bucket and different components that could be similar by their sizes and sketches."""
     p, q = LEAST
     sides = [
         df.select("bucket", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "size", "component", *SKETCH)]) for df, side in ((others, "l"), (entries, "r"))
     ]
-    possible = F.expr(f"l_component <> r_component AND l_node <> r_node AND l_size * {q} >= r_size * {p} AND r_size * {q} >= l_size * {p}")
+    possible = F.expr(f"l_component <> r_component AND {order} AND l_size * {q} >= r_size * {p} AND r_size * {q} >= l_size * {p}")
     met = sides[0].join(sides[1], "bucket").where(possible & (_agree("l", "r") >= AGREE))
     return met.selectExpr("least(l_node, r_node) AS a", "greatest(l_node, r_node) AS b", "IF(l_node < r_node, l_size, r_size) AS na", "IF(l_node < r_node, r_size, l_size) AS nb")
 
@@ -142,11 +144,11 @@ def _pairs(entries: DataFrame, others: DataFrame) -> DataFrame:
 def _links(entries: DataFrame, links: DataFrame, decided) -> DataFrame:
     """(bucket, node, size, sketch) and known links -> links that connect what similar pairs within a bucket connect.
 
-    Pairs that links already connect need no decision. While the others are more than OPEN for each entry, a round
-    compares the smallest node of each bucket with all its nodes and takes it out; then all that are left are
-    compared. So the pairs of a round are linear in the entries, and none is left out.
+    Pairs that links already connect need no decision. A round compares the smallest node of each bucket with
+    all its nodes and takes it out, until STARS rounds are over and no more than OPEN pairs for each entry are open, or
+    one; then all that are left are compared. So the pairs of a round are linear in the entries, and none is left out.
     """
-    while True:
+    for star in count():
         classes = connected_components(links).select("node", F.col("component").alias("joined"))
         now = entries.join(classes, "node", "left").withColumn("component", F.coalesce("joined", "node")).drop("joined")
         bounds = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("star"))
@@ -156,8 +158,8 @@ def _links(entries: DataFrame, links: DataFrame, decided) -> DataFrame:
         m, open_pairs = sizes.agg(F.sum("m"), F.sum(F.expr("m * m - own")) / 2).first()
         if not open_pairs:
             return links
-        if open_pairs <= OPEN * m:
-            return links.unionAll(decided(_pairs(now, now)))
+        if open_pairs <= (OPEN if star >= STARS else 1) * m:
+            return links.unionAll(decided(_pairs(now, now, "l_node < r_node")))
         links = cut(links.unionAll(decided(_pairs(now, now.where("node = star")))), "all-links")
         entries = now.where("node <> star").drop("star", "component")
 

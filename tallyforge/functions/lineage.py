@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +59,19 @@ def release(spark: SparkSession) -> None:
         delete(spark, path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Copies that cut() writes within go when it ends; what was read from them must be written elsewhere by then."""
+    before = set(_written.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        kept = _written.get(spark.sparkContext.applicationId, [])
+        for path in [p for p in kept if p not in before]:
+            delete(spark, path)
+            kept.remove(path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

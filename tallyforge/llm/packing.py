@@ -23,7 +23,11 @@ GROUP = 16_384
 
 @dataclass(frozen=True)
 class Capacities:
-    """What one sequence holds: tokens, pieces, and attention cost, the sum of squared piece lengths."""
+    """What one sequence holds: tokens, pieces, and attention cost, the sum of squared piece lengths.
+
+    The registered query's contract bounds tokens alone. Its other two capacities follow from that bound (2048 pieces
+    of one token, one piece of 2048), so they shape the residual norm but never refuse a piece; smaller ones do.
+    """
 
     tokens: int = 2048
     documents: int = 2048

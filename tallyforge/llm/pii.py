@@ -8,6 +8,8 @@ get equal pseudonyms in every document; separators, lengths and check digits sta
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -257,11 +259,21 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     return out.withColumn(text_col, F.col("__text")).drop("__hits", "__pairs", "__text")
 
 
-def op5_feistel_pii(spark: SparkSession, sf_dir: str, key: str = "rotate-me") -> DataFrame:
+_own_keys: dict[str, str] = {}
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key in spark.tallyforge.pseudonymKey; without that setting a random one, the same for the whole application."""
+    own = _own_keys.setdefault(spark.sparkContext.applicationId, secrets.token_hex(16))
+    return spark.conf.get("spark.tallyforge.pseudonymKey", own)
+
+
+def op5_feistel_pii(spark: SparkSession, sf_dir: str, key: str | None = None) -> DataFrame:
     """All documents with personal values replaced: doc_id, text, n_replaced.
 
+    Values stay linked across all tables and runs of one key; the key is the session's where none is given.
     Null texts stay null with 0 replaced; repeated rows and null ids are kept. An empty table
     gives no rows; other columns are not read.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymise(docs, key, count_col="n_replaced")
+    return pseudonymise(docs, session_key(spark) if key is None else key, count_col="n_replaced")

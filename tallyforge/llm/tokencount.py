@@ -28,7 +28,9 @@ class UnigramCounter:
     precision, which is exact for whole-number scores; the tokenizer library adds in single
     precision, and from sums beyond 2^24 on (long texts, unknown characters) its choices follow
     rounding errors that are not copied here. The tokenizer fills its table by the start of a piece and replaces an
-    entry only by a better score, so among equal scores the longest last piece wins. A
+    entry only by a better score, so among equal scores the longest last piece wins. On some words the library's
+    default search returns a path that is not its best (for `the` one piece of score -13, where two pieces have -8);
+    its own n-best search returns the path that is counted here. A
     character that no piece of its own covers can also be unknown; with byte pieces in the
     vocabulary it counts one piece for each of its UTF-8 bytes.
 

@@ -184,7 +184,7 @@ SELECT j.*, row_delta, stable, jaccard >= 0.8 AND removed / greatest(kept + remo
 )
 
 # baselines of two cases
-FRAUD_SPLIT = ("1995-01-01", "1997-01-01")
+FRAUD_SPLIT = ("1999-01-01", "2000-01-01")
 FRAUD_FEATURES = ["transaction_type", "transaction_category", "currency", "channel", "merchant_category", "transaction_status", "response_code"]
 FRAUD_LEVELS, FRAUD_QUANTILES = ("LOW", "MEDIUM", "HIGH"), (0.5, 0.9)
 SAMPLE = (150, 450)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import table
+from tallyforge.llm.common import cut, table
 
 # fixed values of the HTML standard: element names by their part in a page
 BLOCKS = frozenset(
@@ -248,6 +248,7 @@ def learn_weights(pages: DataFrame, html_col: str = "html") -> Model:
 
     counts = pages.select(F.col(html_col).cast("string")).mapInArrow(counted, "name string, inside boolean, n long")
     sums = counts.groupBy("name").agg(*[F.sum(F.when(F.col("inside") == x, F.col("n")).otherwise(0)).alias(c) for x, c in ((True, "a"), (False, "b"))])
+    sums = cut(sums, "tag-counts")  # so that the pages are read once
     is_name = F.col("name").startswith("name:")
     tags = sums.where(~is_name).collect()  # at most two for each known tag
     most = F.col("a") + F.col("b")

@@ -31,9 +31,10 @@ BANDS, ROWS = 40, 8
 AGREE = 252
 #: Shingles permuted at a time, so that a very long text needs no more memory than this; shingles in a batch handed on.
 STEP, HANDED = 1 << 11, 1 << 17
-#: All pairs of a bucket that are still open are compared once they are no more than this many for each entry, and after
-#: STARS rounds, in which groups of copies become connected, unless they are no more than the entries before.
-OPEN, STARS = 50, 3
+#: All pairs of a bucket that are still open are compared once they are no more than OPEN for each entry, and after a
+#: round of stars, in which groups of copies become connected, unless they are no more than the entries before. A bucket's
+#: stars are the nodes that are least after a flip of bits by each of these.
+OPEN, STARS = 50, (0, 0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F)
 
 _random = np.random.default_rng(SEED)
 FACTORS = _random.integers(0, 2**32, BANDS * ROWS, np.uint32) | np.uint32(1)
@@ -144,24 +145,27 @@ def _pairs(entries: DataFrame, others: DataFrame, order: str = "l_node <> r_node
 def _links(entries: DataFrame, links: DataFrame, decided) -> DataFrame:
     """(bucket, node, size, sketch) and known links -> links that connect what similar pairs within a bucket connect.
 
-    Pairs that links already connect need no decision. A round compares the smallest node of each bucket with
-    all its nodes and takes it out, until STARS rounds are over and no more than OPEN pairs for each entry are open, or
-    one; then all that are left are compared. So the pairs of a round are linear in the entries, and none is left out.
+    Pairs that links already connect need no decision. A round compares the stars of each bucket with all its nodes and
+    takes them out, until no more than OPEN pairs for each entry are open; then all that are left are compared. So the
+    pairs of a round are linear in the entries, and none is left out.
     """
-    for star in count():
+    for number in count():
         classes = connected_components(links).select("node", F.col("component").alias("joined"))
         now = entries.join(classes, "node", "left").withColumn("component", F.coalesce("joined", "node")).drop("joined")
-        bounds = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("star"))
-        now = cut(now.join(bounds.where("lo < hi").select("bucket", "star"), "bucket"), "entries")
+        least = [F.min(F.col("node").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)).alias(f"s{i}") for i, x in enumerate(STARS)]
+        bounds = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *least)
+        stars = [f"s{i}" for i in range(len(STARS))]
+        now = now.join(bounds.where("lo < hi").select("bucket", *stars), "bucket")
+        now = cut(now.withColumn("star", F.col("node").isin(*map(F.col, stars))).drop(*stars), "entries")
         per = now.groupBy("bucket", "component").agg(F.count("*").cast("double").alias("n")).groupBy("bucket")
         sizes = per.agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("own"))
         m, open_pairs = sizes.agg(F.sum("m"), F.sum(F.expr("m * m - own")) / 2).first()
         if not open_pairs:
             return links
-        if open_pairs <= (OPEN if star >= STARS else 1) * m:
+        if open_pairs <= (OPEN if number else 1) * m:
             return links.unionAll(decided(_pairs(now, now, "l_node < r_node")))
-        links = cut(links.unionAll(decided(_pairs(now, now.where("node = star")))), "all-links")
-        entries = now.where("node <> star").drop("star", "component")
+        links = cut(links.unionAll(decided(_pairs(now, now.where("star")))), "all-links")
+        entries = now.where("NOT star").drop("star", "component")
 
 
 def _row_of_each(docs: DataFrame, first: DataFrame, marks: DataFrame, id_col: str, h1: Column, h2: Column) -> DataFrame:

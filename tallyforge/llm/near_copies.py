@@ -34,7 +34,7 @@ STEP, HANDED = 1 << 11, 1 << 17
 #: All pairs of a bucket that are still open are compared once they are no more than OPEN for each entry, and after a
 #: round of stars, in which groups of copies become connected, unless they are no more than the entries before. A bucket's
 #: stars are the nodes that are least after a flip of bits by each of these.
-OPEN, STARS = 50, (0, 0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F)
+OPEN, STARS = 4, (0, 0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F)
 
 _random = np.random.default_rng(SEED)
 FACTORS = _random.integers(0, 2**32, BANDS * ROWS, np.uint32) | np.uint32(1)

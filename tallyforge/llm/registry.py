@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import decontaminate, embedding_join, html_text, langid, packing, pii, repeats, sharding, simhash, tokencount
+from tallyforge.llm import decontaminate, embedding_join, hard_negatives, html_text, langid, packing, pii, repeats, sharding, simhash, tokencount
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_ftrl_language": langid.op8_ftrl_language,
         "op9_count_viterbi": tokencount.op9_count_viterbi,
         "op10_best_fit": packing.op10_best_fit,
+        "op11_pca_negatives": hard_negatives.op11_pca_negatives,
     }
 
 
@@ -24,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_hash_tree_shards": sharding.oracle_sql(),
         "op3_grid_join": embedding_join.ORACLE_SQL,
+        "op11_pca_negatives": hard_negatives.ORACLE_SQL,
     }

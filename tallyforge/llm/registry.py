@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import decontaminate, embedding_join, hard_negatives, html_text, langid, packing, pii, repeats, sharding, simhash, tokencount
+from tallyforge.llm import conversations, decontaminate, embedding_join, hard_negatives, html_text, langid, packing, pii, repeats, sharding, simhash, tokencount
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_count_viterbi": tokencount.op9_count_viterbi,
         "op10_best_fit": packing.op10_best_fit,
         "op11_pca_negatives": hard_negatives.op11_pca_negatives,
+        "op12_structure_repair": conversations.op12_structure_repair,
     }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import conversations, decontaminate, embedding_join, hard_negatives, html_text, langid, packing, pii, repeats, sharding, simhash, tokencount
+from tallyforge.llm import conversations, decontaminate, embedding_join, hard_negatives, html_text, langid, packing, pii, repeats, sharding, simhash, tokencount, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_best_fit": packing.op10_best_fit,
         "op11_pca_negatives": hard_negatives.op11_pca_negatives,
         "op12_structure_repair": conversations.op12_structure_repair,
+        "op13_warc_salvage": warc.op13_warc_salvage,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_hash_tree_shards": sharding.oracle_sql(),
         "op3_grid_join": embedding_join.ORACLE_SQL,
         "op11_pca_negatives": hard_negatives.ORACLE_SQL,
+        "op13_warc_salvage": warc.ORACLE_SQL,
     }

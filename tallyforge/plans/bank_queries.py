@@ -486,8 +486,8 @@ pr AS (SELECT key, label, class, exp(s - m) / sum(exp(s - m)) OVER (PARTITION BY
 op AS (SELECT key, label, sum(class * probability) AS expected, arg_min(class, {{'p': -round(probability, 12), 'c': class}}) AS predicted FROM pr GROUP BY 1, 2)"""
 register(
     "n7_ordinal",
-    lambda s, d: survey_predictions(s, d).select("key", "label", F.round("expected", 6).alias("expected"), "predicted"),
-    f"{ORDINAL} SELECT key, label, round(expected, 6) AS expected, predicted FROM op",
+    lambda s, d: survey_predictions(s, d).select("key", "label", F.round(F.round("expected", 9), 6).alias("expected"), "predicted"),  # the order of a sum cannot decide a tie
+    f"{ORDINAL} SELECT key, label, round(round(expected, 9), 6) AS expected, predicted FROM op",
 )
 register(
     "a24_kappa",

@@ -9,6 +9,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.plans import inspection
+
 # fixed values: classifications from least to most protected
 CLASSES = ("public", "internal", "personal", "financial", "secret")
 FORBIDDEN = re.compile(r"\b(or|union|intersect|except|join|with|insert|update|delete|merge|drop|create|alter|call)\b", re.I)
@@ -46,7 +48,11 @@ class Entry:
 
 
 class Rejected(ValueError):
-    pass
+    """rule names what a dry run found, where it is one of the closed rules."""
+
+    def __init__(self, message: str, rule: str | None = None):
+        super().__init__(message)
+        self.rule = rule
 
 
 def check_sql(entry: Entry) -> None:
@@ -125,23 +131,28 @@ def execute(spark: SparkSession, entry: Entry, table: DataFrame, given: dict, se
     if role not in entry.roles:
         raise Rejected("the role may not run this query")
     check_sql(entry)
-    out = spark.sql(entry.sql, args=bind(entry, given, session), **{entry.table: table})
-    if (size := scan_bytes(table)) > entry.max_bytes:
-        raise Rejected(f"the query would read {size} bytes, {entry.max_bytes} are allowed")
-    declared = [(c.name, c.kind) for c in entry.columns]
-    if out.dtypes != declared:
-        raise Rejected(f"the result has {out.dtypes}, declared are {declared}")
+    values = bind(entry, given, session)
+    out = spark.sql(entry.sql, args=values, **{entry.table: table})
+    dry_run(entry, out, values)
     return out
 
 
-def scan_bytes(table: DataFrame) -> int:
-    """The size of the files under a table; of one without files the optimizer's estimate."""
-    jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
-    total, files = 0, table.inputFiles()
-    for name in files:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        total += path.getFileSystem(conf).getFileStatus(path).getLen()
-    return total if files else int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def dry_run(entry: Entry, out: DataFrame, values: dict) -> None:
+    """Check a query against its plan before it runs: shape, ownership, declared columns and types, bytes after pruning."""
+    try:
+        inspection.check_shape(out, OWNER.name, str(values[OWNER.name]), entry.max_rows)
+    except inspection.Refused as refused:
+        raise Rejected(str(refused), "plan_not_allowed") from None
+    declared = {c.name: c.kind for c in entry.columns}
+    if out.columns != list(declared):
+        raise Rejected(f"the result has {out.columns}, declared are {list(declared)}", "schema_column_mismatch")
+    if out.dtypes != list(declared.items()):
+        raise Rejected(f"the result has {out.dtypes}, declared are {list(declared.items())}", "schema_type_mismatch")
+    size = inspection.scan_bytes(out)
+    if size is None:
+        raise Rejected("a source does not say how much the query would read", "bytes_unknown")
+    if size > entry.max_bytes:
+        raise Rejected(f"the query would read {size} bytes, {entry.max_bytes} are allowed", "bytes_over_budget")
 
 
 @dataclass(frozen=True)

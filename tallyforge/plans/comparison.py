@@ -103,17 +103,19 @@ def item_rows(name: str, source: str | None = None, out: str = "it") -> str:
 
 
 def itemsets(source: str = "it", prefix: str = "") -> str:
-    """CTEs <prefix>total, least and sets(items, k, n) of up to four items by self-joins on the row."""
+    """CTEs <prefix>total, least and sets(items, k, n) of up to four items; each length joins the frequent sets of the length before on the row."""
     p = prefix
     return f"""{p}tot AS (SELECT count(DISTINCT key) AS total FROM {source}),
 {p}lst AS (SELECT greatest(1, ceil({SUPPORT} * total - 1e-12)) AS least FROM {p}tot),
 {p}f1 AS (SELECT item, count(*) AS n FROM {source} GROUP BY item HAVING count(*) >= (SELECT least FROM {p}lst)),
 {p}h AS (SELECT key, item FROM {source} JOIN {p}f1 USING (item)),
-{p}f2 AS (SELECT a.item AS i1, b.item AS i2, count(*) AS n FROM {p}h a JOIN {p}h b ON a.key = b.key AND a.item < b.item GROUP BY 1, 2 HAVING count(*) >= (SELECT least FROM {p}lst)),
-{p}f3 AS (SELECT a.item AS i1, b.item AS i2, c.item AS i3, count(*) AS n FROM {p}h a JOIN {p}h b ON a.key = b.key AND a.item < b.item
-  JOIN {p}h c ON b.key = c.key AND b.item < c.item GROUP BY 1, 2, 3 HAVING count(*) >= (SELECT least FROM {p}lst)),
-{p}f4 AS (SELECT a.item AS i1, b.item AS i2, c.item AS i3, d.item AS i4, count(*) AS n FROM {p}h a JOIN {p}h b ON a.key = b.key AND a.item < b.item
-  JOIN {p}h c ON b.key = c.key AND b.item < c.item JOIN {p}h d ON c.key = d.key AND c.item < d.item GROUP BY 1, 2, 3, 4 HAVING count(*) >= (SELECT least FROM {p}lst)),
+{p}p2 AS MATERIALIZED (SELECT key, a.item AS i1, b.item AS i2 FROM {p}h a JOIN {p}h b USING (key) WHERE a.item < b.item),
+{p}f2 AS MATERIALIZED (SELECT i1, i2, count(*) AS n FROM {p}p2 GROUP BY 1, 2 HAVING count(*) >= (SELECT least FROM {p}lst)),
+{p}q2 AS MATERIALIZED (SELECT key, i1, i2 FROM {p}p2 JOIN {p}f2 USING (i1, i2)),
+{p}p3 AS MATERIALIZED (SELECT key, i1, a.i2, b.i2 AS i3 FROM {p}q2 a JOIN {p}q2 b USING (key, i1) WHERE a.i2 < b.i2),
+{p}f3 AS MATERIALIZED (SELECT i1, i2, i3, count(*) AS n FROM {p}p3 GROUP BY 1, 2, 3 HAVING count(*) >= (SELECT least FROM {p}lst)),
+{p}q3 AS MATERIALIZED (SELECT key, i1, i2, i3 FROM {p}p3 JOIN {p}f3 USING (i1, i2, i3)),
+{p}f4 AS MATERIALIZED (SELECT i1, i2, a.i3, b.i3 AS i4, count(*) AS n FROM {p}q3 a JOIN {p}q3 b USING (key, i1, i2) WHERE a.i3 < b.i3 GROUP BY 1, 2, 3, 4 HAVING count(*) >= (SELECT least FROM {p}lst)),
 {p}sets AS (SELECT [item] AS items, 1 AS k, n FROM {p}f1 UNION ALL SELECT [i1, i2], 2, n FROM {p}f2 UNION ALL SELECT [i1, i2, i3], 3, n FROM {p}f3
   UNION ALL SELECT [i1, i2, i3, i4], 4, n FROM {p}f4)"""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
 from tallyforge.operators import bayes, evaluation, graph, mining, prepare, rules, sampling
-from tallyforge.plans import closed_queries as cq
+from tallyforge.plans import closed_queries as cq, inspection
 from tallyforge.sources import contracts
 
 RULE = "antecedents array<string>, consequent string, support double, confidence double, lift double"
@@ -108,7 +108,7 @@ def test_a_query_over_the_byte_cap_does_not_run(spark, tmp_path):
     spark.createDataFrame([("1", "p")], "customer_id string, product_id string").write.parquet(f"{tmp_path}/products")
     table = spark.read.parquet(f"{tmp_path}/products")
     run = lambda most: cq.execute(spark, cq.Entry(sql=SQL, max_bytes=most, **ENTRY), table, {}, {"customer_id": "1"}, "client")
-    assert run(10**6).count() == 1 and cq.scan_bytes(table) > 10
+    assert run(10**6).count() == 1 and inspection.scan_bytes(table) > 10
     with pytest.raises(cq.Rejected):
         run(10)
 

@@ -20,6 +20,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _all() -> dict[str, tuple]:
-    from tallyforge.plans import bank_queries, file_queries, release_queries  # noqa: F401  they register on import
+    from tallyforge.plans import bank_queries, file_queries, release_queries, service_queries  # noqa: F401  they register on import
 
     return REGISTERED

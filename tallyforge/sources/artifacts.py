@@ -1,7 +1,7 @@
 """Versioned packages of tables: checked on reading, published by moving a pointer, kept for one step back.
 
 A package is a folder of its own with its tables as Parquet and a manifest of their checksums. Tables
-never pass through the driver; the manifest and the pointer are small canonical JSON files that appear whole or not at all.
+never pass through the driver; the manifest and the generations of the pointer are small canonical JSON files that appear whole or not at all.
 """
 
 from __future__ import annotations
@@ -10,11 +10,12 @@ import hashlib
 import json
 import tomllib
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.sources import coordination
+
 
 class Invalid(ValueError):
     pass
@@ -101,32 +102,75 @@ def read_package(spark: SparkSession, root: str, run_id: str, provenance: dict |
     return tables
 
 
-def pointer(spark: SparkSession, root: str) -> dict:
-    """{current, previous}: names of packages, null before the first publication."""
-    path = f"{root}/current.json"
-    return json.loads(read_file(spark, path)) if exists(spark, path) else {"current": None, "previous": None}
+#: Generations of the pointer that are kept, for readers that have listed them and not read them yet.
+GENERATIONS = 16
+
+
+def _pointed(spark: SparkSession, root: str) -> tuple[int, dict]:
+    """The latest generation of the pointer and what it says."""
+    for _ in range(10):
+        numbers = coordination.numbered(spark, f"{root}/pointers")
+        if not numbers:
+            return 0, {"current": None, "fence": 0, "previous": None}
+        try:
+            return numbers[-1], json.loads(coordination.read_small(spark, coordination.number_path(f"{root}/pointers", numbers[-1])))
+        except Exception as error:
+            if "FileNotFound" not in str(error):  # else so many generations have come since that this one is gone
+                raise
+    raise Invalid("the pointer moves faster than it can be read")
 
 
-def promote(spark: SparkSession, root: str, run_id: str, expected: str | None = None, holds_lease: Callable[[], bool] = lambda: True) -> dict:
-    """Point to a package that reads without fault. Fails if another one than `expected` is current, or the lease is lost."""
-    if not holds_lease():
-        raise Invalid("the lease is lost")
+def _moved(spark: SparkSession, root: str, generation: int, body: dict) -> bool:
+    """Compare and swap: the next generation is a file that only one of those who saw this one can make."""
+    folder = f"{root}/pointers"
+    if not coordination.create_exclusively(spark, coordination.number_path(folder, generation + 1), canonical_json(body)):
+        return False
+    for old in coordination.numbered(spark, folder)[:-GENERATIONS]:
+        p, fs = _fs(spark, coordination.number_path(folder, old))
+        fs.delete(p, False)
+    return True
+
+
+def pointer(spark: SparkSession, root: str) -> dict:
+    """{current, previous}: names of packages, null before the first publication."""
+    body = _pointed(spark, root)[1]
+    return {name: body[name] for name in ("current", "previous")}
+
+
+def promote(spark: SparkSession, root: str, run_id: str, expected: str | None = None, lease: coordination.Lease | None = None) -> dict:
+    """Point to a package that reads without fault. Fails if another one than `expected` is current, or the lease is lost.
+
+    Of several publishers with one expectation exactly one succeeds. The holder of a lease first puts its fencing number into the
+    pointer; from then on an earlier holder, whatever it has checked before, meets a generation it has not seen.
+    """
+    generation, before = _pointed(spark, root)
+    if lease:
+        lease.check()
+        if before["fence"] > lease.number:
+            raise Invalid(f"lease {before['fence']} has published, {lease.number} is an earlier one")
+        if before["fence"] < lease.number:
+            if not _moved(spark, root, generation, {**before, "fence": lease.number}):
+                raise Invalid("another publisher was first")
+            generation += 1
     read_package(spark, root, run_id)
-    before = pointer(spark, root)
-    if before["current"] != expected or not holds_lease():
-        raise Invalid(f"{before['current']} is current, or the lease is lost")
+    if before["current"] != expected:
+        raise Invalid(f"{before['current']} is current")
+    if lease:
+        lease.check()
     after = {"current": run_id, "previous": before["current"]}
-    write_file(spark, f"{root}/current.json", canonical_json(after))
+    if not _moved(spark, root, generation, {**after, "fence": lease.number if lease else before["fence"]}):
+        raise Invalid("another publisher was first")
     return after
 
 
 def rollback(spark: SparkSession, root: str) -> dict:
-    before = pointer(spark, root)
+    generation, before = _pointed(spark, root)
     if not before["previous"]:
         raise Invalid("there is no package to go back to")
     read_package(spark, root, before["previous"])
     after = {"current": before["previous"], "previous": None}
-    write_file(spark, f"{root}/current.json", canonical_json(after))
+    if not _moved(spark, root, generation, {**after, "fence": before["fence"]}):
+        raise Invalid("another publisher was first")
     return after
 
 

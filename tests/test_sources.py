@@ -76,8 +76,6 @@ def test_packages(spark, tmp_path, root):
         artifacts.write_package({"nodes": rows}, root, "v1")
     with pytest.raises(artifacts.Invalid):
         artifacts.current(spark, root)
-    with pytest.raises(artifacts.Invalid):
-        artifacts.promote(spark, root, "v1", holds_lease=lambda: False)
     assert artifacts.promote(spark, root, "v1") == {"current": "v1", "previous": None}
     artifacts.write_package({"nodes": rows.limit(1)}, root, "v2")
     with pytest.raises(artifacts.Invalid):

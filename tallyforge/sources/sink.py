@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.lineage import cut, drop_cut
@@ -65,7 +65,7 @@ def write_once(batch: DataFrame, root: str, keys: tuple[str, ...] = RESULT_KEYS,
     A row's id is its keys joined by colons; of rows of one id in a batch the one with the least hash is taken. After any
     failure the same batch may be written again. Two batches that share ids must not run at once: their writer holds a lease.
     """
-    attempted, held = 0, None
+    attempted, held, fresh = 0, None, None
     rules = RESULT_RULES if rules is None else rules
     spark = batch.sparkSession
     try:
@@ -85,13 +85,16 @@ def write_once(batch: DataFrame, root: str, keys: tuple[str, ...] = RESULT_KEYS,
             leading = [r[0] for r in named.select(keys[0]).distinct().limit(LISTED + 1).collect()]
             there = lookup(spark, root, keys[0], touched, leading if len(leading) <= LISTED else None)
             one = one.join(there, ["bucket", "insert_id"], "left_anti")
-        counted = Observation()
-        one.observe(counted, F.count(F.lit(1)).alias("n")).hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(root)
-        return Outcome("ok", attempted, counted.get.get("n", 0))  # nothing is observed where nothing is left
+        fresh = cut(one, "sink-rows")
+        written = fresh.count()
+        if written:
+            fresh.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(root)
+        return Outcome("ok", attempted, written)
     except Exception as error:  # never raised further: a result that cannot be kept changes no evaluation
         return Outcome("failed", attempted, 0, _reason(error))
     finally:
         drop_cut(held)
+        drop_cut(fresh)
 
 
 def _reason(error: Exception) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.plans import closed_queries, inspection
@@ -12,6 +12,7 @@ from tallyforge.plans.catalogue import register
 from tallyforge.plans.file_queries import folder
 from tallyforge.sources import artifacts, coordination, sink
 from tallyforge.sources.canonical import cte, view
+from tallyforge.streaming import stateful
 
 
 def pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,3 +81,43 @@ def sunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("s11_sink", sunk, f"SELECT run_id, count(*) AS n, count(DISTINCT fixture_id) AS ids, round(sum(score), 6) AS score FROM ({RESULTS} orders) GROUP BY 1")
+
+
+def _two_runs(spark: SparkSession, rows: DataFrame, part: Column, made, key: str) -> DataFrame:
+    """The stream over one half of the rows, stopped, and started again from its checkpoint once the other half has come."""
+    root = folder(spark, "stateful")
+    for i in (0, 1):
+        rows.where(part == i).write.mode("append").parquet(f"{root}/in")
+        stateful.run(made(spark.readStream.schema(rows.schema).parquet(f"{root}/in")), f"{root}/out", f"{root}/checkpoint")
+    return stateful.current(spark, f"{root}/out", key)
+
+
+def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last five turns of each conversation, kept by a stream that is stopped and goes on."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr("conv_id AS thread", "turn", "role", "text")
+    found = _two_runs(spark, turns, F.col("turn") % 2, lambda s: stateful.bounded_history(s, keep=5), "thread")
+    return found.select(F.col("thread").alias("conv_id"), "turn", "role", F.length("text").alias("n_chars"))
+
+
+register(
+    "st_bounded_history",
+    history_stream,
+    "SELECT conv_id, turn, role, length(text) AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 5",
+)
+CASE_EVENT = "CASE event_id % 4 WHEN 0 THEN 'request' WHEN 1 THEN 'approve' WHEN 2 THEN 'deny' ELSE 'note' END"
+
+
+def escalation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of escalations from events that come in any order within ten years."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id AS case_id", "CAST(ts AS TIMESTAMP) AS time", "event_id AS seq", f"{CASE_EVENT} AS event")
+    found = _two_runs(spark, events, F.pmod(F.xxhash64("seq"), F.lit(2)), lambda s: stateful.escalations(s, "3650 days"), "case_id")
+    return found.select("case_id", "state")
+
+
+register(
+    "st_escalations",
+    escalation_stream,
+    f"""WITH e AS (SELECT user_id AS case_id, ts, event_id AS seq, {CASE_EVENT} AS event FROM events), q AS (SELECT case_id, min((ts, seq)) FILTER (WHERE event = 'request') AS first FROM e GROUP BY 1),
+d AS (SELECT e.case_id, arg_min(event, (ts, seq)) AS decision FROM e JOIN q USING (case_id) WHERE event IN ('approve', 'deny') AND (ts, seq) > first GROUP BY 1)
+SELECT q.case_id, CASE WHEN first IS NULL THEN 'open' WHEN decision IS NULL THEN 'pending_approval' WHEN decision = 'approve' THEN 'escalated' ELSE 'denied' END AS state FROM q LEFT JOIN d USING (case_id)""",
+)

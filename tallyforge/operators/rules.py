@@ -69,6 +69,80 @@ def without_descendants(found: DataFrame, pairs: tuple[tuple[str, str], ...], ep
     return found
 
 
+def closure(pairs: tuple[tuple[str, str], ...]) -> tuple[tuple[str, str], ...]:
+    """All (feature, feature below it) that follow from direct pairs; a cycle is an error. Hierarchies are as small as schemas."""
+    known = set(pairs)
+    while more := {(a, d) for a, b in known for c, d in known if b == c} - known:
+        known |= more
+    if any(a == b for a, b in known):
+        raise ValueError("a feature lies above itself")
+    return tuple(sorted(known))
+
+
+def _generalizations(found: DataFrame, pairs: tuple[tuple[str, str], ...], epsilon: float) -> DataFrame:
+    """(wide, narrow) numbers of rules: wide comes first in the order of consequent, length and antecedents, each of its items equals or
+    generalizes another item of narrow, and their confidences differ by epsilon at most.
+
+    Rules meet on a common form in which items are replaced by a feature above them, or their own, with any value; a rule has few
+    forms, so this is no product of rules. What meets is then matched item by item.
+    """
+    parents: dict[str, list[str]] = {}
+    for above, below in pairs:
+        parents.setdefault(below, []).append(above)
+    top = F.array(*[F.lit(x) for x in sorted({a for a, _ in pairs})])
+    ups = F.create_map(*[y for k, v in sorted(parents.items()) for y in (F.lit(k), F.array(*map(F.lit, sorted(v))))])
+    none = F.array().cast("array<string>")
+    star = lambda features: F.transform(features, lambda f: F.concat(f, F.lit("=*")))
+    own = lambda x: F.when(F.array_contains(top, _feature(x)), star(F.array(_feature(x)))).otherwise(none)
+    above = lambda x: star(F.coalesce(ups[_feature(x)], none))
+
+    def forms(choices) -> DataFrame:
+        """Every way to keep or replace the items, as a sorted text."""
+        lists = F.transform("antecedents", lambda x: F.concat(F.array(x), choices(x)))
+        product = F.aggregate(lists, F.array(none), lambda done, options: F.flatten(F.transform(done, lambda d: F.transform(options, lambda o: F.array_append(d, o)))))
+        text = F.transform(product, lambda x: F.concat_ws("\x1f", F.array_sort(x)))
+        return found.select("number", "antecedents", "consequent", "confidence", F.explode(F.array_distinct(text)).alias("form"))
+
+    wide = forms(own).select(F.col("number").alias("wide"), F.col("antecedents").alias("wide_items"), "consequent", F.col("confidence").alias("wide_confidence"), "form")
+    narrow = forms(above).withColumnRenamed("number", "narrow")
+    near = F.abs(F.col("confidence") - F.col("wide_confidence")) <= epsilon
+    met = narrow.join(wide, ["consequent", "form"]).where(near & (F.col("wide_items") < F.col("antecedents")) & (F.array_sort("wide_items") != F.array_sort("antecedents")))
+    met = met.select("wide", "narrow", "wide_items", F.col("antecedents").alias("narrow_items")).distinct()
+    # the items of the wide rule take the first that fits of what the others have left
+    fits = lambda a, d: (a == d) | F.array_contains(F.coalesce(ups[_feature(d)], none), _feature(a))
+    start = F.struct(F.lit(True).alias("ok"), F.col("narrow_items").alias("left"))
+
+    def taken(state, item):
+        at = F.array_position(F.transform(state["left"], lambda d: fits(item, d)), True)
+        rest = F.filter(state["left"], lambda d, i: i + 1 != at)
+        return F.struct((state["ok"] & (at > 0)).alias("ok"), rest.alias("left"))
+
+    return met.where(F.aggregate("wide_items", start, taken, lambda s: s["ok"])).select("wide", "narrow")
+
+
+def without_generalized(found: DataFrame, pairs: tuple[tuple[str, str], ...], epsilon: float = 0.05) -> DataFrame:
+    """Drop rules that a rule which stays generalizes with nearly the same confidence, for hierarchies of any number of levels.
+
+    The pairs are taken as given; closure() adds what follows from them. A rule that is dropped drops none itself, so rules are
+    settled in rounds: who has no undecided or staying rule above stays, whom a staying rule generalizes goes. Each round settles
+    a level, of which there are no more than the longest chain of rules.
+    """
+    if not pairs:
+        return found
+    numbered = cut(found.withColumn("number", F.monotonically_increasing_id()), "numbered-rules")
+    edges = cut(_generalizations(numbered, pairs, epsilon), "rule-edges")
+    open_, gone = edges, None
+    while not open_.isEmpty():
+        below = open_.select(F.col("narrow").alias("wide")).distinct()
+        settled = open_.select("wide").distinct().join(below, "wide", "left_anti")  # nothing undecided stands above these: they stay
+        fallen = cut(open_.join(settled, "wide", "left_semi").select("narrow").distinct(), "dropped-rules")
+        gone = fallen if gone is None else gone.unionAll(fallen)
+        left = open_.join(settled, "wide", "left_anti").join(fallen, "narrow", "left_anti")
+        open_ = cut(left.join(fallen.select(F.col("narrow").alias("wide")), "wide", "left_anti").select("wide", "narrow"), "rule-edges")
+    kept = numbered if gone is None else numbered.join(gone.select(F.col("narrow").alias("number")), "number", "left_anti")
+    return kept.drop("number")
+
+
 def _generalizer(above: str, below: str):
     return lambda x: F.when(_feature(x).isin(above, below), F.lit(f"{above}=*")).otherwise(x)
 
@@ -92,7 +166,9 @@ def without_supersets(found: DataFrame) -> DataFrame:
 
 
 def refined(found: DataFrame, pairs: tuple[tuple[str, str], ...], epsilon: float = 0.05) -> DataFrame:
-    return cut(without_supersets(cut(without_descendants(without_hierarchy(found, pairs), pairs, epsilon))))
+    flat = without_hierarchy(found, pairs)
+    settled = without_descendants(flat, pairs, epsilon) if len(pairs) < 2 else without_generalized(flat, pairs, epsilon)
+    return cut(without_supersets(cut(settled)))
 
 
 def consensus(*sets: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Registered queries of what services ask of the engine: pruned closed queries, contended publication, a sink of results."""
+"""Registered queries of what services ask of the engine: pruned closed queries, publication, a sink, streams with state, orders and digests."""
 
 from __future__ import annotations
 
@@ -7,10 +7,15 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.functions import digests, ordinals, surfaces
+from tallyforge.functions.lineage import cut
+from tallyforge.functions.text import MASKS
+from tallyforge.operators import rules, sketches
+from tallyforge.plans import bank_queries as bank
 from tallyforge.plans import closed_queries, inspection
 from tallyforge.plans.catalogue import register
 from tallyforge.plans.file_queries import folder
-from tallyforge.sources import artifacts, coordination, sink
+from tallyforge.sources import artifacts, coordination, sink, unions
 from tallyforge.sources.canonical import cte, view
 from tallyforge.streaming import stateful
 
@@ -121,3 +126,135 @@ register(
 d AS (SELECT e.case_id, arg_min(event, (ts, seq)) AS decision FROM e JOIN q USING (case_id) WHERE event IN ('approve', 'deny') AND (ts, seq) > first GROUP BY 1)
 SELECT q.case_id, CASE WHEN first IS NULL THEN 'open' WHEN decision IS NULL THEN 'pending_approval' WHEN decision = 'approve' THEN 'escalated' ELSE 'denied' END AS state FROM q LEFT JOIN d USING (case_id)""",
 )
+
+# order, digests and surfaces
+register(
+    "l7_rule_ordinals",
+    lambda s, d: ordinals.with_ordinals(
+        bank.joined(bank.refined_rules(s, d), "antecedents"),
+        [(F.col("lift"), False), (F.col("confidence"), False), (F.col("support"), False), (F.col("antecedents"), True), (F.col("consequent"), True)],
+    ).select("ordinal", "antecedents", "consequent", "lift"),
+    f"""{bank.MINED}, r AS (SELECT array_to_string(antecedents, ',') AS antecedents, consequent, support, confidence, lift FROM refined)
+SELECT row_number() OVER (ORDER BY lift DESC, confidence DESC, support DESC, antecedents, consequent) - 1 AS ordinal, antecedents, consequent, lift FROM r""",
+)
+EDGE = "o_custkey AS source, o_orderkey AS target, o_orderpriority AS relation"
+EDGE_ORDER = ("source", "target", "relation")
+
+
+def edge_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of an edge table in its canonical order, by source, target and relation, and that of the same table the other way round."""
+    edges = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(*EDGE.split(", "))
+    text = F.concat_ws("|", "source", "target", "relation")
+    found = [(name, ordinals.ordered_digest(edges, [(F.col(c), up) for c in EDGE_ORDER], text)) for name, up in (("rising", True), ("falling", False))]
+    return spark.createDataFrame(found, "direction string, sha256 string")
+
+
+def _digest_sql(name: str, direction: str) -> str:
+    order = ", ".join(f"{c} {direction}" for c in EDGE_ORDER)
+    return f"""SELECT '{name}' AS direction, sha256(string_agg(d, '' ORDER BY b)) AS sha256 FROM (SELECT n // {ordinals.FAN} AS b, sha256(string_agg(d, '' ORDER BY n)) AS d FROM
+(SELECT row_number() OVER (ORDER BY {order}) - 1 AS n, sha256(concat_ws('|', source, target, relation)) AS d FROM e) GROUP BY 1)"""
+
+
+register("l8_edge_digest", edge_digest, f"WITH e AS (SELECT {EDGE} FROM orders) {_digest_sql('rising', 'ASC')} UNION ALL {_digest_sql('falling', 'DESC')}")
+#: A key for comparison only; a service's own comes from its secrets.
+KEY = b"comparison key of the test tables"
+PADDED = [bytes(x ^ pad for x in KEY.ljust(digests.BLOCK, b"\0")).hex() for pad in (0x36, 0x5C)]
+register(
+    "h1_keyed_digests",
+    lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", digests.keyed_digest(KEY, "c_name", "c_custkey").alias("digest")),
+    f"""WITH m AS (SELECT c_custkey, '{{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}}' AS j FROM customer)
+SELECT c_custkey, translate(rtrim(to_base64(unhex(sha256(unhex('{PADDED[1]}') || unhex(sha256(unhex('{PADDED[0]}') || encode(j))))), '='), '+/', '-_') AS digest FROM m""",
+)
+
+
+def numbered_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose surfaces were numbered: how many of each class, and whether the table of replacements gives back the text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", surfaces.numbered(F.col("text"), "input").alias("m"))
+    n = lambda kind: F.size(F.filter("m.replacements", lambda r: r["classification"] == kind)).alias(kind)
+    return docs.select("doc_id", n("personal"), n("financial"), surfaces.restored(F.col("m")).eqNullSafe(F.col("text")).alias("restored"))
+
+
+EMAIL, PHONE, ACCOUNT = (p.replace("(?i)", "") for p, _ in MASKS)
+register(
+    "t2_numbered_surfaces",
+    numbered_surfaces,
+    f"""WITH a AS (SELECT doc_id, len(regexp_extract_all(text, '{EMAIL}', 0, 'i')) AS e, regexp_replace(text, '{EMAIL}', '[[X]]', 'gi') AS t FROM documents),
+b AS (SELECT doc_id, e + len(regexp_extract_all(t, '{PHONE}')) AS personal, regexp_replace(t, '{PHONE}', '[[X]]', 'g') AS t FROM a)
+SELECT doc_id, CAST(personal AS INTEGER) AS personal, CAST(len(regexp_extract_all(t, '{ACCOUNT}')) AS INTEGER) AS financial, true AS restored FROM b""",
+)
+
+# sketches and unions
+MONTHS = 3
+
+
+def sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the medians and ninetieth percentiles of three months, merged from sketches of one, keep to the error that is stated."""
+    rows = view(spark, sf_dir, "complaints").select("creation_date", "claimed_amount")
+    merged = sketches.over_windows(cut(sketches.monthly(rows, "creation_date", "claimed_amount"), "monthly-sketches"), MONTHS)
+    wanted = {"p50": 0.5, "p90": 0.9}
+    found = cut(merged.select("month", *[sketches.quantile(F.col("sketch"), p).alias(c) for c, p in wanted.items()]), "sketched")
+    off = sketches.rank_error(rows, "creation_date", "claimed_amount", found, MONTHS, wanted)
+    return off.select("month", "n", *[(F.col(c) <= sketches.RANK_ERROR).alias(c) for c in wanted])
+
+
+register(
+    "a5_sketched_windows",
+    sketched,
+    f"""WITH {cte('complaints')}, m AS (SELECT CAST(date_trunc('month', creation_date) AS DATE) AS own FROM complaints WHERE claimed_amount IS NOT NULL AND creation_date IS NOT NULL),
+w AS (SELECT CAST(own + to_months(CAST(k AS INTEGER)) AS DATE) AS month FROM m, range({MONTHS}) r(k)) SELECT month, count(*) AS n, true AS p50, true AS p90 FROM w WHERE month IN (SELECT own FROM m) GROUP BY 1""",
+)
+
+
+def relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders, lines and events as one table of amounts: numbers and times of different types, columns that a block lacks."""
+    read = lambda name, *columns: spark.read.parquet(f"{sf_dir}/{name}.parquet").selectExpr(*columns)
+    blocks = [
+        read("orders", "CAST(o_orderkey AS INT) AS id", "CAST(o_totalprice AS DECIMAL(12, 2)) AS amount", "CAST(o_orderdate AS DATE) AS at", "o_orderstatus AS status"),
+        read("lineitem", "CAST(l_orderkey AS BIGINT) AS id", "CAST(l_quantity AS INT) AS amount", "CAST(l_shipdate AS TIMESTAMP_NTZ) AS at", "l_returnflag AS flag"),
+        read("events", "CAST(event_id % 100 AS TINYINT) AS id", "NULL AS amount", "ts AS at", "event_type AS status"),
+    ]
+    whole = unions.relaxed_union(*blocks)
+    return whole.groupBy("status", "flag").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.sum("amount").cast("double").alias("amount"), F.max("at").alias("last"))
+
+
+register(
+    "u1_relaxed_union",
+    relaxed,
+    """WITH u AS (SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(o_totalprice AS DECIMAL(12, 2)) AS amount, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS at, o_orderstatus AS status, CAST(NULL AS VARCHAR) AS flag FROM orders
+UNION ALL SELECT l_orderkey, CAST(l_quantity AS INTEGER), l_shipdate, NULL, l_returnflag FROM lineitem UNION ALL SELECT event_id % 100, NULL, ts, event_type, NULL FROM events)
+SELECT status, flag, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, CAST(sum(amount) AS DOUBLE) AS amount, max(at) AS last FROM u GROUP BY 1, 2""",
+)
+
+# packages and hierarchies
+VERSION = {"v1": "s_suppkey % 7 <> 0", "v2": "s_suppkey % 7 <> 1"}
+
+
+def package_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that two versions of a package do not share, read from the buckets that differ."""
+    root = folder(spark, "versions")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey AS id", "s_nationkey AS nation", "CAST(s_acctbal AS DOUBLE) AS balance")
+    moved = F.when(F.col("id") % 11 != 0, F.col("nation")).otherwise(F.col("nation") + 1)
+    for name, where in VERSION.items():
+        own = rows.where(where.replace("s_suppkey", "id"))
+        artifacts.write_package({"nodes": own.withColumn("nation", moved) if name == "v2" else own}, root, name, keys={"nodes": ["id"]})
+    found = artifacts.package_diff(spark, root, "v1", "v2", "nodes")
+    return found.select("id", "change", F.get_json_object("old", "$.nation").cast("int").alias("old"), F.get_json_object("new", "$.nation").cast("int").alias("new"))
+
+
+register(
+    "g9_package_diff",
+    package_changes,
+    f"""WITH a AS (SELECT s_suppkey AS id, s_nationkey AS nation FROM supplier WHERE {VERSION['v1']}),
+b AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 11 <> 0 THEN s_nationkey ELSE s_nationkey + 1 END AS nation FROM supplier WHERE {VERSION['v2']})
+SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'changed' END AS change, a.nation AS old, b.nation AS new
+FROM a FULL JOIN b ON a.id = b.id WHERE a.nation IS DISTINCT FROM b.nation""",
+)
+LEVELS = (("case_type", "priority"), ("case_type", "subcategory"), ("priority", "subcategory"))
+
+
+def leveled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules without those that a more general one stands for, under a hierarchy of three levels."""
+    return bank.joined(rules.without_generalized(bank.raw_rules(spark, sf_dir), LEVELS), "antecedents")
+
+
+register("m12_three_levels", leveled, None)

@@ -72,36 +72,105 @@ def checksum(df: DataFrame) -> dict:
     return {"columns": body["columns"], "rows": row.n, "sha256": digest(canonical_json(body))}
 
 
-def write_package(tables: dict[str, DataFrame], root: str, run_id: str, provenance: dict | None = None) -> dict:
-    """A folder that may not exist yet; its manifest is written last, so a folder without one is no package."""
+#: Hash buckets of a table whose keys are known: each has a checksum and a folder of its own.
+BUCKETS = 64
+BUCKET = "__bucket"
+
+
+def _bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
+
+
+def bucket_checksums(df: DataFrame) -> dict[str, list]:
+    """Rows and two order-free checksums of each bucket; at most BUCKETS lines come to the driver."""
+    columns = sorted(c for c in df.columns if c != BUCKET)
+    text = F.to_json(F.struct(*columns))
+    rows = df.select(BUCKET, F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")).groupBy(BUCKET)
+    sums = [f(c) for c in ("a", "b") for f in (F.bit_xor, lambda x: F.sum(F.pmod(x, F.lit(1 << 31))))]
+    return {str(r[0]): list(r[1:]) for r in rows.agg(F.count("*"), *sums).collect()}
+
+
+def write_package(tables: dict[str, DataFrame], root: str, run_id: str, provenance: dict | None = None, keys: dict[str, list[str]] | None = None) -> dict:
+    """A folder that may not exist yet; its manifest is written last, so a folder without one is no package.
+
+    A table whose keys are given is dealt into hash buckets with a checksum each, by which package_diff() tells where two versions differ.
+    """
     spark = next(iter(tables.values())).sparkSession
     folder = f"{root}/packages/{run_id}"
     if exists(spark, folder):
         raise Invalid(f"{run_id} exists")
     sums = {}
     for name, df in sorted(tables.items()):
-        df.write.mode("errorifexists").parquet(f"{folder}/{name}")
-        sums[name] = checksum(spark.read.parquet(f"{folder}/{name}"))
+        own = (keys or {}).get(name)
+        if own:
+            _bucketed(df, own).hint("rebalance", BUCKET).write.mode("errorifexists").partitionBy(BUCKET).parquet(f"{folder}/{name}")
+        else:
+            df.write.mode("errorifexists").parquet(f"{folder}/{name}")
+        written = spark.read.schema(df.schema if not own else _bucketed(df, own).schema).parquet(f"{folder}/{name}")
+        sums[name] = checksum(written.drop(BUCKET))
+        if own:
+            sums[name] |= {"keys": own, "buckets": bucket_checksums(written)}
     manifest = {"provenance": provenance or {}, "run_id": run_id, "tables": sums}
     write_file(spark, f"{folder}/manifest.json", canonical_json(manifest))
     return manifest
 
 
+def read_manifest(spark: SparkSession, root: str, run_id: str) -> dict:
+    path = f"{root}/packages/{run_id}/manifest.json"
+    if not exists(spark, path):
+        raise Invalid(f"{run_id} is no package")
+    return json.loads(coordination.read_small(spark, path))
+
+
 def read_package(spark: SparkSession, root: str, run_id: str, provenance: dict | None = None) -> dict[str, DataFrame]:
     """The tables of a package, if every checksum and the provenance, where given, are those of the manifest."""
     folder = f"{root}/packages/{run_id}"
-    if not exists(spark, f"{folder}/manifest.json"):
-        raise Invalid(f"{run_id} is no package")
-    manifest = json.loads(read_file(spark, f"{folder}/manifest.json"))
+    manifest = read_manifest(spark, root, run_id)
     if manifest["run_id"] != run_id or (provenance is not None and manifest["provenance"] != provenance):
         raise Invalid(f"{run_id}: provenance differs")
-    tables = {name: spark.read.parquet(f"{folder}/{name}") for name in manifest["tables"]}
+    tables = {name: spark.read.parquet(f"{folder}/{name}").drop(BUCKET) for name in manifest["tables"]}
     for name, df in tables.items():
-        if checksum(df) != manifest["tables"][name]:
+        if checksum(df) != {k: v for k, v in manifest["tables"][name].items() if k not in ("keys", "buckets")}:
             raise Invalid(f"{run_id}: {name} is not what the manifest describes")
     return tables
 
 
+def package_summary(spark: SparkSession, root: str, before: str, after: str) -> dict:
+    """What manifests alone say of two versions: rows of each table, and whether the tables are the same."""
+    a, b = (read_manifest(spark, root, x)["tables"] for x in (before, after))
+    lines = {n: {"from_rows": a.get(n, {}).get("rows"), "to_rows": b.get(n, {}).get("rows"), "identical": a.get(n, {}).get("sha256") == b.get(n, {}).get("sha256")} for n in sorted({*a, *b})}
+    return {"from": before, "to": after, "identical": all(x["identical"] for x in lines.values()), "tables": lines}
+
+
+def _differing(spark: SparkSession, root: str, before: str, after: str, table: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The rows of both versions in those buckets alone whose checksums differ, and the table's keys."""
+    a, b = (read_manifest(spark, root, x)["tables"].get(table) for x in (before, after))
+    if not a or not b or a.get("keys") != b.get("keys") or not a.get("keys") or a["columns"] != b["columns"]:
+        raise Invalid(f"{table} is not a table with one key and schema in both packages")
+    buckets = [int(x) for x in {*a["buckets"], *b["buckets"]} if a["buckets"].get(x) != b["buckets"].get(x)]
+    sides = [spark.read.parquet(f"{root}/packages/{x}/{table}").where(F.col(BUCKET).isin(buckets)).drop(BUCKET) for x in (before, after)]
+    return sides[0], sides[1], a["keys"]
+
+
+def package_diff(spark: SparkSession, root: str, before: str, after: str, table: str) -> DataFrame:
+    """(keys..., change, old, new): rows of a table that were added, removed or changed, both forms as JSON.
+
+    Keys are unique in a version, null keys included. Buckets with equal checksums are not read.
+    """
+    old, new, keys = _differing(spark, root, before, after, table)
+    rest = [c for c in old.columns if c not in keys]
+    form = lambda df, name: df.select(*keys, F.to_json(F.struct(F.lit(1).alias("_"), *rest)).alias(name), F.lit(True).alias(f"in_{name}"))
+    a, b = form(old, "old"), form(new, "new").toDF(*[f"__{k}" for k in keys], "new", "in_new")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    both = a.join(b, same, "full")
+    change = F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed")
+    named = [F.when(F.col("in_old").isNull(), F.col(f"__{k}")).otherwise(F.col(k)).alias(k) for k in keys]
+    body = lambda c: F.regexp_replace(c, '^[{]"_":1,?', "{").alias(c)
+    return both.select(*named, change.alias("change"), body("old"), body("new")).where("change IS NOT NULL")
+
+
 #: Generations of the pointer that are kept, for readers that have listed them and not read them yet.
 GENERATIONS = 16
 

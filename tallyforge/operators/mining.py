@@ -185,3 +185,100 @@ def maximal(itemsets: DataFrame) -> DataFrame:
         F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("items")
     )
     return itemsets.join(subsets.distinct(), "items", "left_anti")
+
+
+#: Distinct rows of a conditional base up to which one task searches it.
+BASE = 20_000
+
+
+def maximal_search(rows: DataFrame, min_support: float, max_len: int | None = None, base: int = BASE) -> DataFrame:
+    """Maximal frequent sets (items, n) without listing the frequent ones.
+
+    Each frequent item, from the rarest, has a conditional base: the baskets that hold it, cut down to more frequent items, equal
+    ones as one with a weight. A base is searched depth-first within a task; one of more than `base` rows is dealt out again by its next
+    item. What a base calls maximal may still have a superset with a rarer item, which a join on the rarest item finds. With max_len,
+    sets of that length count as maximal whatever holds them.
+    """
+    least = least_count(rows.count(), min_support)
+    single, slim = _frequent_baskets(rows, least)
+    order = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.get("items", F.lit(0)).alias("item")))), lambda x: x["item"])
+    known = cut(single.agg(order.alias("known")), "frequent-items")  # one row, at most 1 / support for each feature
+    places = F.array_sort(F.transform("items", lambda x: F.array_position("known", x).cast("int")))
+    ranked = slim.join(F.broadcast(known), F.lit(True)).select(places.alias("prefix"), "weight")
+    open_ = _bases(ranked.withColumn("head", F.array().cast("array<int>")), least)
+    found = []
+    while True:
+        sizes = open_.groupBy("head").agg(F.count("*").alias("rows"), F.sum("weight").alias("n"))
+        large = cut(sizes.where((F.col("rows") > base) & (F.size("head") < (max_len or 1 << 20))).select("head", "n"), "large-bases")
+        small = open_.join(large, "head", "left_anti")
+        found.append(small.groupBy("head").applyInArrow(_searched_base(least, max_len), "places array<int>, n long"))
+        if large.isEmpty():
+            break
+        open_ = _bases(open_.join(large.select("head"), "head", "left_semi"), least)
+        parents = open_.select(F.slice("head", 1, F.size("head") - 1).alias("head")).distinct()
+        found.append(large.join(parents, "head", "left_anti").select(F.col("head").alias("places"), "n"))
+    candidates = cut(reduce(DataFrame.unionAll, found).select(F.array_sort("places").alias("places"), "n"), "maximal-candidates")
+    rarest = candidates.select("places", F.array_max("places").alias("rare"))
+    holders = candidates.select(F.col("places").alias("wider"), F.explode("places").alias("rare"))
+    inside = (F.size("wider") > F.size("places")) & (F.size(F.array_except("places", "wider")) == 0)
+    covered = rarest.join(holders, "rare").where(inside).select("places").distinct()
+    left = candidates.join(covered, "places", "left_anti").join(F.broadcast(known), F.lit(True))
+    return left.select(F.array_sort(F.transform("places", lambda p: F.element_at("known", p))).alias("items"), "n")
+
+
+def _bases(rows: DataFrame, least: int) -> DataFrame:
+    """(head, prefix, weight) -> the same of each head with one more item of the prefix, if frequent; the prefix ends before that item."""
+    at = rows.select("head", "prefix", "weight", F.posexplode("prefix").alias("k", "item"))
+    longer = at.select(F.array_append("head", F.col("item")).alias("head"), F.expr("slice(prefix, 1, k)").alias("prefix"), "weight")
+    longer = cut(longer.groupBy("head", "prefix").agg(F.sum("weight").alias("weight")), "bases")
+    frequent = longer.groupBy("head").agg(F.sum("weight").alias("n")).where(F.col("n") >= least).select("head")
+    return longer.join(frequent, "head", "left_semi")
+
+
+def _searched_base(least: int, max_len: int | None):
+    def run(table: pa.Table) -> pa.Table:
+        head = table.column("head")[0].as_py()
+        weights = table.column("weight").to_numpy()
+        prefixes = table.column("prefix").combine_chunks()
+        items = np.unique(prefixes.flatten().to_numpy())
+        held = np.zeros((len(weights), len(items)), bool)
+        held[np.repeat(np.arange(len(weights)), prefixes.value_lengths().to_numpy()), np.searchsorted(items, prefixes.flatten().to_numpy())] = True
+        out = [(head + items[list(s)].tolist(), n) for s, n in _deepest(held, weights, least, max_len and max_len - len(head))]
+        return pa.table({"places": pa.array([p for p, _ in out], pa.list_(pa.int32())), "n": pa.array([n for _, n in out], pa.int64())})
+
+    return run
+
+
+def _deepest(held: np.ndarray, weights: np.ndarray, least: int, most: int | None) -> Iterator[tuple[tuple[int, ...], int]]:
+    """(columns, weight) of sets of columns that are frequent and that no further column leaves so; up to `most` columns."""
+    todo = [((), np.arange(len(weights)), held.shape[1])]
+    while todo:
+        chosen, rows, below = todo.pop()
+        total = int(weights[rows].sum())
+        if most is not None and len(chosen) >= most:
+            yield chosen, total
+            continue
+        sums = weights[rows] @ held[rows]
+        sums[list(chosen)] = 0
+        wider = np.flatnonzero(sums >= least)
+        tail = wider[wider < below].tolist()
+        if not len(wider):
+            yield chosen, total
+        elif tail and (most is None or len(chosen) + len(tail) <= most):
+            # one set of all that is left, if frequent, holds every other below this one
+            whole = rows[held[np.ix_(rows, tail)].all(1)]
+            n = int(weights[whole].sum())
+            if n >= least:
+                others = weights[whole] @ held[whole]
+                others[[*chosen, *tail]] = 0
+                if not (others >= least).any() or (most is not None and len(chosen) + len(tail) == most):
+                    yield (*chosen, *tail), n
+                continue
+        todo += [((*chosen, t), rows[held[rows, t]], t) for t in tail]
+
+
+def maximal_overlap(found: DataFrame, itemsets: DataFrame) -> DataFrame:
+    """One row: how many maximal sets there are, and how many of them another strategy lists as frequent, with the same count."""
+    return found.join(itemsets.select("items", F.col("n").alias("other")), "items", "left").agg(
+        F.count("*").alias("maximal"), F.count_if(F.col("other").isNotNull()).alias("overlap"), F.count_if(F.col("other") == F.col("n")).alias("equal_counts")
+    )

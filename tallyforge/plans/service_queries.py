@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from tallyforge.functions import digests, ordinals, surfaces
 from tallyforge.functions.lineage import cut
 from tallyforge.functions.text import MASKS
-from tallyforge.operators import rules, sketches
+from tallyforge.operators import mining, rules, sketches
 from tallyforge.plans import bank_queries as bank
 from tallyforge.plans import closed_queries, inspection
+from tallyforge.plans import comparison as sql
 from tallyforge.plans.catalogue import register
 from tallyforge.plans.file_queries import folder
 from tallyforge.sources import artifacts, coordination, sink, unions
@@ -163,7 +164,7 @@ register(
     "h1_keyed_digests",
     lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", digests.keyed_digest(KEY, "c_name", "c_custkey").alias("digest")),
     f"""WITH m AS (SELECT c_custkey, '{{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}}' AS j FROM customer)
-SELECT c_custkey, translate(rtrim(to_base64(unhex(sha256(unhex('{PADDED[1]}') || unhex(sha256(unhex('{PADDED[0]}') || encode(j))))), '='), '+/', '-_') AS digest FROM m""",
+SELECT c_custkey, translate(rtrim(to_base64(unhex(sha256(unhex('{PADDED[1]}') || unhex(sha256(unhex('{PADDED[0]}') || encode(j)))))), '='), '+/', '-_') AS digest FROM m""",
 )
 
 
@@ -209,20 +210,20 @@ def relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders, lines and events as one table of amounts: numbers and times of different types, columns that a block lacks."""
     read = lambda name, *columns: spark.read.parquet(f"{sf_dir}/{name}.parquet").selectExpr(*columns)
     blocks = [
-        read("orders", "CAST(o_orderkey AS INT) AS id", "CAST(o_totalprice AS DECIMAL(12, 2)) AS amount", "CAST(o_orderdate AS DATE) AS at", "o_orderstatus AS status"),
-        read("lineitem", "CAST(l_orderkey AS BIGINT) AS id", "CAST(l_quantity AS INT) AS amount", "CAST(l_shipdate AS TIMESTAMP_NTZ) AS at", "l_returnflag AS flag"),
-        read("events", "CAST(event_id % 100 AS TINYINT) AS id", "NULL AS amount", "ts AS at", "event_type AS status"),
+        read("orders", "CAST(o_orderkey AS INT) AS id", "CAST(o_totalprice AS DECIMAL(12, 2)) AS amount", "CAST(o_orderdate AS DATE) AS day", "o_orderstatus AS status"),
+        read("lineitem", "CAST(l_orderkey AS BIGINT) AS id", "CAST(l_quantity AS INT) AS amount", "CAST(l_shipdate AS TIMESTAMP_NTZ) AS day", "l_returnflag AS flag"),
+        read("events", "CAST(event_id % 100 AS TINYINT) AS id", "NULL AS amount", "ts AS day", "event_type AS status"),
     ]
     whole = unions.relaxed_union(*blocks)
-    return whole.groupBy("status", "flag").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.sum("amount").cast("double").alias("amount"), F.max("at").alias("last"))
+    return whole.groupBy("status", "flag").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.sum("amount").cast("double").alias("amount"), F.max("day").alias("last"))
 
 
 register(
     "u1_relaxed_union",
     relaxed,
-    """WITH u AS (SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(o_totalprice AS DECIMAL(12, 2)) AS amount, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS at, o_orderstatus AS status, CAST(NULL AS VARCHAR) AS flag FROM orders
+    """WITH u AS (SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(o_totalprice AS DECIMAL(12, 2)) AS amount, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS day, o_orderstatus AS status, CAST(NULL AS VARCHAR) AS flag FROM orders
 UNION ALL SELECT l_orderkey, CAST(l_quantity AS INTEGER), l_shipdate, NULL, l_returnflag FROM lineitem UNION ALL SELECT event_id % 100, NULL, ts, event_type, NULL FROM events)
-SELECT status, flag, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, CAST(sum(amount) AS DOUBLE) AS amount, max(at) AS last FROM u GROUP BY 1, 2""",
+SELECT status, flag, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids, CAST(sum(amount) AS DOUBLE) AS amount, max(day) AS last FROM u GROUP BY 1, 2""",
 )
 
 # packages and hierarchies
@@ -258,3 +259,17 @@ def leveled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("m12_three_levels", leveled, None)
+
+
+def maximal_sets(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
+    """Maximal sets by the search, or how they overlap with what Apriori lists."""
+    rows = bank.baskets(spark, sf_dir, "complaints")
+    found = cut(mining.maximal_search(rows, sql.SUPPORT, sql.LONGEST), "maximal-sets")
+    if what == "sets":
+        return bank.joined(found, "items")
+    return mining.maximal_overlap(found, mining.apriori(rows, sql.SUPPORT, sql.LONGEST))
+
+
+LISTED = f"{bank.MINED}, mx AS (SELECT a.items, a.n FROM sets a WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(list_transform(items, lambda x: list_filter(items, lambda y: y <> x))) AS part FROM sets WHERE k > 1) p WHERE p.part = a.items))"
+register("m9_maximal_search", lambda s, d: maximal_sets(s, d, "sets"), f"{LISTED} SELECT array_to_string(items, ',') AS items, n FROM mx")
+register("m9_overlap", lambda s, d: maximal_sets(s, d, "overlap"), f"{LISTED} SELECT count(*) AS maximal, count(*) AS overlap, count(*) AS equal_counts FROM mx")

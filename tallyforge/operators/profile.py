@@ -60,3 +60,14 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
         *[F.round(x, 6).alias(n) for x, n in ((F.col("min_value"), "min_value"), (F.col("q")[0], "q1"), (F.col("q")[1], "median"), (F.col("q")[2], "q3"), (F.col("max_value"), "max_value"))],
         "outlier_count",
     )
+
+
+def outside(df: DataFrame, column: str, least: float, most: float) -> DataFrame:
+    """Rows whose value is null or lies outside of a range, ends included."""
+    return df.where(~F.coalesce(F.col(column).between(least, most), F.lit(False)))
+
+
+def require_range(df: DataFrame, column: str, least: float, most: float) -> None:
+    """An error if there is such a row; the first one found ends the search."""
+    if not outside(df, column, least, most).isEmpty():
+        raise ValueError(f"{column} has a value outside of {least} to {most}")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import digests, ordinals, surfaces
 from tallyforge.functions.lineage import cut
 from tallyforge.functions.text import MASKS
-from tallyforge.operators import mining, rules, sketches
+from tallyforge.operators import graph, mining, prepare, profile, report, rules, sketches
 from tallyforge.plans import bank_queries as bank
 from tallyforge.plans import closed_queries, inspection
 from tallyforge.plans import comparison as sql
@@ -18,6 +20,7 @@ from tallyforge.plans.catalogue import register
 from tallyforge.plans.file_queries import folder
 from tallyforge.sources import artifacts, coordination, sink, unions
 from tallyforge.sources.canonical import cte, view
+from tallyforge.sources.contracts import CONTRACTS
 from tallyforge.streaming import stateful
 
 
@@ -273,3 +276,143 @@ def maximal_sets(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
 LISTED = f"{bank.MINED}, mx AS (SELECT a.items, a.n FROM sets a WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(list_transform(items, lambda x: list_filter(items, lambda y: y <> x))) AS part FROM sets WHERE k > 1) p WHERE p.part = a.items))"
 register("m9_maximal_search", lambda s, d: maximal_sets(s, d, "sets"), f"{LISTED} SELECT array_to_string(items, ',') AS items, n FROM mx")
 register("m9_overlap", lambda s, d: maximal_sets(s, d, "overlap"), f"{LISTED} SELECT count(*) AS maximal, count(*) AS overlap, count(*) AS equal_counts FROM mx")
+
+# report, suite, strict twin and checks
+STATS = {"min": 0.0, "p50": 0.5, "p90": 0.9, "max": 1.0}
+
+
+def _measures_sql(measures: tuple[str, ...]) -> str:
+    parts = ["SELECT 'rule_count' AS measure, CAST(count(*) AS DOUBLE) AS value"]
+    for m in measures:
+        parts += [f"SELECT '{m}_{s}', round(round(quantile_cont({m}, {p}), 9), 6)" for s, p in STATS.items()] + [f"SELECT '{m}_mean', round(round(avg({m}), 9), 6)"]
+    return "|".join(parts)
+
+
+def _section_sql(section: str, name: str, group: str, measures: tuple[str, ...]) -> str:
+    return " UNION ALL ".join(f"SELECT '{section}' AS section, {name} AS name, {x.removeprefix('SELECT ')} FROM en{group}" for x in _measures_sql(measures).split("|"))
+
+
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the complaints' rules and graph."""
+    found = bank.refined_rules(spark, sf_dir)
+    nodes, edges = bank.catalog_nodes(spark, sf_dir, 0), bank.catalog_nodes(spark, sf_dir, 1)
+    return report.association(found).unionAll(report.graph_section(nodes, edges))
+
+
+register(
+    "g7_report",
+    report_rows,
+    f"""{bank.MINED}, en AS (SELECT antecedents, consequent, support, confidence, lift, CASE WHEN confidence < 1 - 1e-12 THEN round((1 - confidence / lift) / (1 - confidence), 6) END AS conviction,
+round(support * (1 - 1 / lift), 6) AS leverage FROM refined), g AS (SELECT DISTINCT item, split_part(item, '=', 1) AS f FROM it)
+{_section_sql('association', "'all'", '', ('support', 'confidence', 'lift', 'conviction', 'leverage'))}
+UNION ALL {_section_sql('consequent', 'consequent', ' GROUP BY consequent', ('lift', 'confidence', 'support'))}
+UNION ALL SELECT 'antecedent_length', CAST(len(antecedents) AS VARCHAR), 'rules', count(*) FROM en GROUP BY 2
+UNION ALL SELECT 'feature', split_part(item, '=', 1), 'rules', count(*) FROM (SELECT unnest(antecedents) AS item FROM en) GROUP BY 2
+UNION ALL SELECT 'nodes', kind, 'count', count(*) FROM (SELECT 'population' AS kind UNION ALL SELECT 'feature' FROM (SELECT DISTINCT f FROM g WHERE f <> 'status') UNION ALL SELECT CASE f WHEN 'status' THEN 'target' ELSE 'feature_value' END FROM g) GROUP BY 2
+UNION ALL SELECT 'edges', relation, 'count', count(*) FROM (SELECT CASE f WHEN 'status' THEN 'has_target' ELSE 'has_value' END AS relation FROM g UNION ALL SELECT 'has_feature' FROM (SELECT DISTINCT f FROM g WHERE f <> 'status')) GROUP BY 2""",
+)
+#: A case's manifest, made of what its source holds.
+MANIFEST = """SELECT 'C' || CAST(n % 5 + 1 AS STRING) AS case_id, count(*) AS row_count, CAST(sum(n) AS BIGINT) AS total FROM {source} GROUP BY 1"""
+CONTENT = """'{"case":"' || case_id || '","publication":"not_requested","row_count":' || row_count || ',"run_id":"r' || total || '","schema_version":"v1"}'"""
+
+
+def suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS n")
+    made = spark.sql(MANIFEST, source=orders).selectExpr("case_id", f"{CONTENT} AS content")
+    return report.consolidated(made)
+
+
+register(
+    "n8_suite",
+    suite,
+    f"""WITH m AS ({MANIFEST.replace('{source}', '(SELECT o_orderkey AS n FROM orders)')}) SELECT case_id, 'consolidated' AS status, sha256({CONTENT}) AS sha256, 'r' || total AS run_id, 'v1' AS schema_version, NULL AS reason FROM m
+UNION ALL SELECT * FROM (VALUES {', '.join(f"('{c}', 'blocked', NULL, NULL, NULL, '{r}')" for c, r in report.BLOCKED.items())})""",
+)
+STRICT = "CAST(user_id AS STRING) AS interaction_id, CAST(event_id AS STRING) AS customer_id, date_trunc('day', ts) AS interaction_date, 'General' AS reason_category, event_type AS interaction_type, 'chat' AS channel, value > 50 AS requires_followup, value > 90 AS was_escalated, event_id AS source_row"
+
+
+def strict_twin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of one key and day, of which the strict preparation takes the last in source order."""
+    calls = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*[x.strip() for x in re.split(r", (?=[^()]*(?:\(|$))", STRICT)])
+    return prepare.strictly_staged(calls, CONTRACTS["call_center_interactions"], "source_row").select("interaction_id", "customer_id", "interaction_type", "was_escalated")
+
+
+register(
+    "i6_strict_twin",
+    strict_twin,
+    f"""SELECT interaction_id, customer_id, interaction_type, was_escalated FROM (SELECT *, row_number() OVER (PARTITION BY interaction_id ORDER BY interaction_date DESC, source_row DESC) AS rn
+FROM (SELECT {STRICT.replace('STRING', 'VARCHAR')} FROM events)) WHERE rn = 1""",
+)
+RANGES = ((1, 7), (1, 5), (3, 6))
+
+
+def score_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surveys with a score outside of each range; the contracted range, 1 to 7, has to hold for all."""
+    rows = view(spark, sf_dir, "satisfaction_surveys")
+    profile.require_range(rows, "main_score", *RANGES[0])
+    found = [profile.outside(rows, "main_score", *r).agg(F.count("*").alias("n")).select(F.lit(r[0]).alias("least"), F.lit(r[1]).alias("most"), "n") for r in RANGES]
+    return reduce(DataFrame.unionAll, found)
+
+
+register(
+    "f17_score_range",
+    score_ranges,
+    f"WITH {cte('satisfaction_surveys')} "
+    + " UNION ALL ".join(f"SELECT {a} AS least, {b} AS most, count_if(main_score IS NULL OR main_score NOT BETWEEN {a} AND {b}) AS n FROM satisfaction_surveys" for a, b in RANGES),
+)
+register(
+    "f7_is_false",
+    lambda s, d: view(s, d, "complaints").withColumn("late", F.expr("CASE WHEN claimed_amount IS NOT NULL THEN sla_breached END")).groupBy("priority").agg(
+        F.count_if(F.expr("late IS FALSE")).alias("is_false"), F.count_if(F.expr("late IS NOT FALSE")).alias("is_not_false"), F.count_if(F.expr("NOT late")).alias("not_late")
+    ),
+    f"""WITH {cte('complaints')}, c AS (SELECT priority, CASE WHEN claimed_amount IS NOT NULL THEN sla_breached END AS late FROM complaints)
+SELECT priority, count_if(late IS FALSE) AS is_false, count_if(late IS NOT FALSE) AS is_not_false, count_if(NOT late) AS not_late FROM c GROUP BY 1""",
+)
+
+# graphs of the tables' own rows
+TRADE = """SELECT DISTINCT c_nationkey AS source, s_nationkey AS target FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey
+WHERE c_nationkey <> s_nationkey"""
+RISING = {"all": "true", "rising": "source < target", "rising but one": "source < target OR (source = 24 AND target = 0)"}
+
+
+def trade_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether trade between nations has a cycle: among all pairs, only from smaller to larger keys, and with one edge back."""
+    names = re.findall(r"\{(\w+)\}", TRADE)
+    edges = cut(spark.sql(TRADE, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}), "trade")
+    return spark.createDataFrame([(k, graph.is_acyclic(edges.where(c))) for k, c in RISING.items()], "kind string, acyclic boolean")
+
+
+_CLOSED = ", ".join(
+    f"r{i}(a, b) AS (SELECT source, target FROM t WHERE {c} UNION SELECT r{i}.a, t.target FROM r{i} JOIN t ON r{i}.b = t.source WHERE {c})" for i, c in enumerate(RISING.values())
+)
+register(
+    "g3_trade_cycles",
+    trade_cycles,
+    f"WITH RECURSIVE t AS ({re.sub(r'[{](\w+)[}]', r'\1', TRADE)}), {_CLOSED} " + " UNION ALL ".join(f"SELECT '{k}' AS kind, count_if(a = b) = 0 AS acyclic FROM r{i}" for i, k in enumerate(RISING)),
+)
+RUNS = "SELECT CASE n_regionkey % 3 WHEN 0 THEN 'C1' WHEN 1 THEN 'C3' ELSE 'C5' END AS case_id, n_name AS run_id, sha2(n_comment, 256) AS sha256 FROM {nation}"
+
+
+def run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases with the runs that the tables hold for them; a run of a blocked case, or with another digest than its manifest's, is refused."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_regionkey", "n_name", "concat(n_name, '-', n_nationkey) AS n_comment")
+    runs = spark.sql(RUNS, nation=nation).withColumn("manifest_sha256", F.col("sha256"))
+    nodes, edges = bank.catalog_nodes(spark, sf_dir, 0), bank.catalog_nodes(spark, sf_dir, 1)
+    refused = 0
+    for bad in (runs.withColumn("manifest_sha256", F.sha2("run_id", 256)), runs.withColumn("case_id", F.lit("C6"))):
+        try:
+            graph.with_cases(nodes, edges, bad)
+        except ValueError:
+            refused += 1
+    made = graph.with_cases(nodes, edges, runs)
+    found = reduce(DataFrame.unionAll, [graph.case_summary(*made, c) for c in ("C1", "C2", "C3", "C5", "C8")])
+    return found.withColumn("refused", F.lit(refused))
+
+
+register(
+    "k1_run_summaries",
+    run_summaries,
+    f"""WITH n AS (SELECT n_regionkey, n_name, n_name || '-' || n_nationkey AS n_comment FROM nation), r AS ({RUNS.replace('{nation}', 'n').replace('sha2(n_comment, 256)', 'sha256(n_comment)')}),
+c(case_id, predicts, status) AS (VALUES ('C1', 'sla_breached', 'exploratory_not_promoted'), ('C2', 'resolution_days', 'exploratory_not_promoted'), ('C3', 'is_fraud', 'exploratory_not_promoted'), ('C5', 'main_score', 'exploratory_not_promoted'), ('C8', NULL, 'blocked'))
+SELECT 'case:' || c.case_id AS id, predicts, status, 'model_run:' || c.case_id || ':' || run_id AS run, sha256, 2 AS refused FROM c LEFT JOIN r ON c.case_id = r.case_id""",
+)

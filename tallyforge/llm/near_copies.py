@@ -1,41 +1,40 @@
 """Near copies by exact shingle similarity: covering SimHash proposes pairs, MinHash bands what it cannot reach.
 
 At a shingle similarity of 0.8 fingerprints of 64 bits differ in 10 bits on average and often in 17, for which
-covering needs 2^18 - 1 tables a row. Covering therefore finds the closest copies only, whose links stay linear
-in groups of any size; the bands find the rest. Each band is the hash of ROWS minima of the shingle set; a pair of
-similarity s misses all bands with probability (1 - s^ROWS)^BANDS, 0.0006 at 0.8 and 1e-6 at 0.85. Pairs whose
-minima agree in too few of their last two bits are not proposed; at a similarity of 0.8 that is 0.0014 of all.
-Every proposed pair is decided on its whole shingle sets.
+covering needs 2^18 - 1 tables a row. Covering therefore finds the closest copies only; the bands find the rest. Each band is
+the hash of ROWS minima of the shingle set; a pair of similarity s misses all bands with probability
+(1 - s^ROWS)^BANDS, 0.0006 at 0.8 and 1e-6 at 0.85. Pairs whose minima agree in too few of their last two bits are not compared;
+at a similarity of 0.8 that is 0.0001 of all. Every other pair that shares a bucket is decided on its whole shingle sets.
+
+Texts that share buckets, directly or through others, are a unit if comparing all of them is no more work than bucket by
+bucket, else each bucket is one. A unit's texts lie in blocks, and tasks compare pairs of blocks, with each text's set sent
+once for every block of its unit. A task hands on a tree of links for each group that it finds connected, never pairs. So there is one
+round of comparisons whatever the groups look like, and what moves grows with the texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import cut, drop_cut
+from tallyforge.llm.common import cut
 from tallyforge.llm.components import connected_components
-from tallyforge.llm.simhash import fingerprint_links, fingerprint_of, shingle_hashes
+from tallyforge.llm.simhash import fingerprint_classes, fingerprint_of, shingle_hashes
 
 SHINGLE, SEED, RADIUS = 5, 42, 2
 #: Least similarity as a fraction, so that the decision is one of whole numbers.
 LEAST = (4, 5)
 BANDS, ROWS = 40, 8
-#: Minima that must agree in their last two bits: three standard deviations below what 0.8 gives.
-AGREE = 252
+#: Minima that must agree in their last two bits: 3.7 standard deviations below what 0.8 gives.
+AGREE = 248
+#: Texts of a block; rows up to which texts are picked out by a broadcast list of their hashes, 24 bytes a row.
+BLOCK, LISTED = 512, 500_000
 #: Shingles permuted at a time, so that a very long text needs no more memory than this; shingles in a batch handed on.
 STEP, HANDED = 1 << 11, 1 << 17
-#: All pairs of a bucket that are still open are compared once they are no more than OPEN for each entry, and after a
-#: round of stars, in which groups of copies become connected, unless they are no more than the entries before. A bucket's
-#: stars are the nodes that are least after a flip of bits by each of these.
-OPEN, STARS = 4, (0, 0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F)
-
 _random = np.random.default_rng(SEED)
 FACTORS = _random.integers(0, 2**32, BANDS * ROWS, np.uint32) | np.uint32(1)
 FLIPS = _random.integers(0, 2**32, BANDS * ROWS, np.uint32)
@@ -74,13 +73,6 @@ def sketch_of(least: np.ndarray) -> np.ndarray:
 
 
 LONGS = BANDS * ROWS // 32
-SKETCH = [f"k{i}" for i in range(LONGS)]
-
-
-def _agree(left: str, right: str) -> Column:
-    """Minima of two nodes that agree in their last two bits."""
-    x = [f"({left}_{k} ^ {right}_{k})" for k in SKETCH]
-    return F.expr(f"{BANDS * ROWS} - (" + " + ".join(f"bit_count(({y} | shiftrightunsigned({y}, 1)) & 6148914691236517205L)" for y in x) + ")")
 
 
 MARKS = "id long, h1 long, h2 long, node long, size long, fp long, bands array<long>, sketch array<long>"
@@ -116,56 +108,119 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of()
 
 
-def _decided(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
-    """(a, b, na, nb) with repeats -> links (a, b) of nodes whose sets are similar; only texts of these nodes are read again."""
-    p, q = LEAST
-    pairs = cut(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(nodes.select("node", "first"), "node")
-    wanted = wanted.select("node", "first.h1", "first.h2")
+def _sets_of(nodes: DataFrame, source: DataFrame) -> DataFrame:
+    """(node, set) of the nodes (node, first) given; each text is read once more, and of equal sets one."""
+    wanted = cut(nodes.select("node", "first.h1", "first.h2"), "wanted")
+    if wanted.count() <= LISTED:
+        wanted = F.broadcast(wanted)
     texts = source.select("h1", "h2", "text").join(wanted, ["h1", "h2"]).select("node", "text").dropDuplicates(["node"])
-    sets = cut(texts.mapInArrow(_sets, "node long, set array<long>"), "sets")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    scored = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
-    links = cut(scored.where(both * q >= (F.col("na") + F.col("nb") - both) * p).select("a", "b"), "links")
-    drop_cut(sets)
-    return links
-
-
-def _pairs(entries: DataFrame, others: DataFrame, order: str = "l_node <> r_node") -> DataFrame:
-    """Pairs a < b of nodes of one bucket and different components that could be similar by their sizes and sketches."""
-    p, q = LEAST
-    sides = [
-        df.select("bucket", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "size", "component", *SKETCH)]) for df, side in ((others, "l"), (entries, "r"))
-    ]
-    possible = F.expr(f"l_component <> r_component AND {order} AND l_size * {q} >= r_size * {p} AND r_size * {q} >= l_size * {p}")
-    met = sides[0].join(sides[1], "bucket").where(possible & (_agree("l", "r") >= AGREE))
-    return met.selectExpr("least(l_node, r_node) AS a", "greatest(l_node, r_node) AS b", "IF(l_node < r_node, l_size, r_size) AS na", "IF(l_node < r_node, r_size, l_size) AS nb")
+    return cut(texts.mapInArrow(_sets, "node long, set array<long>"), "sets")
 
 
-def _links(entries: DataFrame, links: DataFrame, decided) -> DataFrame:
-    """(bucket, node, size, sketch) and known links -> links that connect what similar pairs within a bucket connect.
+def _units(entries: DataFrame) -> DataFrame:
+    """(bucket, node) of buckets with several nodes -> (unit, node) distinct, so that nodes of one bucket share a unit.
 
-    Pairs that links already connect need no decision. A round compares the stars of each bucket with all its nodes and
-    takes them out, until no more than OPEN pairs for each entry are open; then all that are left are compared. So the
-    pairs of a round are linear in the entries, and none is left out.
+    Nodes that buckets connect are one unit, unless comparing them bucket by bucket takes fewer pairs.
+    """
+    sizes = entries.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("n"))
+    edges = entries.join(sizes, "bucket").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    joined = cut(connected_components(edges), "joined")
+    per_bucket = sizes.join(joined, F.col("least") == F.col("node")).select("bucket", "component", F.col("n").cast("double").alias("n"))
+    by_bucket = per_bucket.groupBy("component").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    whole = joined.groupBy("component").agg(F.count("*").cast("double").alias("m")).join(by_bucket, "component")
+    whole = cut(whole.select("component", (F.col("m") * F.col("m") <= F.col("pairs")).alias("together")), "components")
+    together = joined.join(whole.where("together"), "component").select(F.col("component").alias("unit"), F.lit(0).alias("kind"), "node")
+    apart = entries.join(per_bucket.join(whole.where("NOT together"), "component").select("bucket"), "bucket")
+    return together.unionAll(apart.select(F.col("bucket").alias("unit"), F.lit(1).alias("kind"), "node"))
+
+
+CELL = ["kind", "unit", "i", "j"]
+
+
+def _links(entries: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
+    """Links (a, b) that connect exactly what similar pairs of nodes that share a bucket connect."""
+    units = cut(_units(entries), "units")
+    counts = units.groupBy("kind", "unit").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.expr("pmod(xxhash64(node), blocks)").cast("int")
+    dealt = units.join(counts, ["kind", "unit"]).select("kind", "unit", "node", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = dealt.select("kind", "unit", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block")
+    members = units.select("node").distinct()
+    sets = _sets_of(nodes.select("node", "first").join(members, "node"), source)
+    payload = nodes.select("node", "sketch").join(sets, "node")
+    full = cells.join(payload, "node").repartition(*CELL).sortWithinPartitions(*CELL)
+    return full.select(*CELL, "node", "block", "sketch", "set").mapInArrow(_compared, "a long, b long")
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by cell -> links of each cell's connected groups to their roots."""
+    key, held = None, []
+    for batch in batches:
+        marks = np.stack([batch.column(c).to_numpy() for c in CELL])
+        ends = [*(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        begin = 0
+        for end in ends:
+            if end > begin:
+                now = tuple(marks[:, begin].tolist())
+                if now != key and held:
+                    yield from _cell_links(held)
+                    held = []
+                key = now
+                held.append(batch.slice(begin, end - begin))
+                begin = end
+    if held:
+        yield from _cell_links(held)
+
+
+def _cell_links(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    node, block = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("node", "block"))
+    if len(node) < 2:
+        return
+    sketch = np.concatenate([p.column("sketch").flatten().to_numpy() for p in parts]).reshape(len(node), LONGS).view(np.uint64)
+    lengths = np.concatenate([p.column("set").value_lengths().to_numpy() for p in parts]).astype(np.int64)
+    values = np.concatenate([p.column("set").flatten().to_numpy() for p in parts]).view(np.uint64)
+    starts = np.concatenate(([0], np.cumsum(lengths)))
+    root = similar_groups(block, sketch, values, starts)
+    met = root != np.arange(len(node))
+    if met.any():
+        yield pa.RecordBatch.from_arrays([pa.array(node[met]), pa.array(node[root[met]])], ["a", "b"])
+
+
+PAIRED = np.uint64(0x5555555555555555)
+
+
+def similar_groups(block: np.ndarray, sketch: np.ndarray, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each text the first text of its group; groups are what pairs of similar sets connect, of different blocks if there are two.
+
+    A text is compared with those behind it that are not in its group yet, all at once.
     """
-    for number in count():
-        classes = connected_components(links).select("node", F.col("component").alias("joined"))
-        now = entries.join(classes, "node", "left").withColumn("component", F.coalesce("joined", "node")).drop("joined")
-        least = [F.min(F.col("node").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)).alias(f"s{i}") for i, x in enumerate(STARS)]
-        bounds = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *least)
-        stars = [f"s{i}" for i in range(len(STARS))]
-        now = now.join(bounds.where("lo < hi").select("bucket", *stars), "bucket")
-        now = cut(now.withColumn("star", F.col("node").isin(*map(F.col, stars))).drop(*stars), "entries")
-        per = now.groupBy("bucket", "component").agg(F.count("*").cast("double").alias("n")).groupBy("bucket")
-        sizes = per.agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        m, open_pairs = sizes.agg(F.sum("m"), F.sum(F.expr("m * m - own")) / 2).first()
-        if not open_pairs:
-            return links
-        if open_pairs <= (OPEN if number else 1) * m:
-            return links.unionAll(decided(_pairs(now, now, "l_node < r_node")))
-        links = cut(links.unionAll(decided(_pairs(now, now.where("star")))), "all-links")
-        entries = now.where("NOT star").drop("star", "component")
+    p, q = LEAST
+    n, two = len(block), block.min() != block.max()
+    sizes = np.diff(starts)
+    root = np.arange(n)
+    for i in range(n - 1):
+        behind = np.arange(i + 1, n)
+        behind = behind[(root[behind] != root[i]) & (sizes[behind] * q >= sizes[i] * p) & (sizes[i] * q >= sizes[behind] * p)]
+        if two:
+            behind = behind[block[behind] != block[i]]
+        if not len(behind):
+            continue
+        other = sketch[behind] ^ sketch[i]
+        differ = np.bitwise_count((other | (other >> np.uint64(1))) & PAIRED).sum(1, dtype=np.int64)
+        behind = behind[BANDS * ROWS - differ >= AGREE]
+        if not len(behind):
+            continue
+        own = values[starts[i] : starts[i + 1]]
+        spans = sizes[behind]
+        first = np.cumsum(spans) - spans
+        places = np.repeat(starts[behind] - first, spans) + np.arange(spans.sum())
+        at = np.searchsorted(own, values[places])
+        hits = own[np.minimum(at, len(own) - 1)] == values[places]
+        both = np.add.reduceat(hits, first, dtype=np.int64)
+        linked = behind[both * q >= (sizes[i] + spans - both) * p]
+        if len(linked):
+            groups = np.unique(root[np.append(linked, i)])
+            root[np.isin(root, groups)] = groups[0]
+    return root
 
 
 def _row_of_each(docs: DataFrame, first: DataFrame, marks: DataFrame, id_col: str, h1: Column, h2: Column) -> DataFrame:
@@ -201,23 +256,14 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     one = [F.first(c).alias(c) for c in ("bands", "sketch")]  # the same in all rows of a node
     nodes = cut(marks.groupBy("node").agg(least, F.max("size").alias("size"), F.min("fp").alias("fp"), *one), "nodes")
 
-    spread = nodes.select(F.explode("bands").alias("bucket"), "node")
+    # nodes of one class of fingerprints within the radius share a bucket, as those with a band in common do
+    prints = nodes.where("size > 0").select("node", "fp")
+    classes = fingerprint_classes(prints.select("fp"), RADIUS)
+    covered = prints.join(classes, "fp").select(F.xxhash64(F.lit("fingerprint"), "root").alias("bucket"), "node")
+    spread = nodes.select(F.explode("bands").alias("bucket"), "node").unionAll(covered)
     shared = spread.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     entries = cut(spread.join(shared.select("bucket"), "bucket"), "entries")
-    sketches = nodes.select("node", "size", *[F.col("sketch")[i].alias(k) for i, k in enumerate(SKETCH)])
-    entries = cut(entries.join(sketches, "node"), "entries")
-
-    # fingerprints within the radius, each by its smallest node, and the nodes of one fingerprint with that node
-    prints = nodes.where("size > 0").select("node", "size", "fp")
-    smallest = prints.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("x")).select("fp", F.col("x.node").alias("rep"), F.col("x.size").alias("n"))
-    close = fingerprint_links(cut(prints.select("fp").distinct(), "prints"), RADIUS)
-    close = close.join(smallest.toDF("a", "left", "na"), "a").join(smallest.toDF("b", "right", "nb"), "b").selectExpr("left AS a", "right AS b", "na", "nb")
-    equal = prints.join(smallest, "fp").where("node <> rep").selectExpr("rep AS a", "node AS b", "n AS na", "size AS nb")
-
-    def decided(pairs: DataFrame) -> DataFrame:
-        return _decided(pairs, nodes, source)
-
-    links = _links(entries, decided(close.unionAll(equal)), decided)
+    links = cut(_links(entries, nodes, source), "links")
 
     classes = connected_components(links).withColumnRenamed("component", "joined")
     roots = nodes.join(classes, "node", "left").select("first", F.coalesce("joined", "node").alias("root"))

@@ -79,3 +79,65 @@ def test_bands_recall_at_the_least_similarity():
             a, b = (near_copies.bands(near_copies.shingles(x)) for x in (base, other))
             missed += not (a == b).any()
     assert missed == 0
+
+
+def test_recall_of_the_whole_stage_at_the_least_similarity(spark, tmp_path):
+    rng = random.Random(3)
+    texts, pairs = [], []
+    while len(pairs) < 600:
+        base = random_text(rng, rng.randint(50, 600))
+        other = edited(rng, base, max(1, len(base.split()) // 46))
+        if 0.8 <= similarity(base, other) < 0.85:
+            pairs.append((len(texts), len(texts) + 1))
+            texts += [base, other]
+    found = set(kept(spark, tmp_path, texts))
+    missed = sum(b in found for _, b in pairs)
+    assert missed <= 3 and all(a in found for a, _ in pairs)
+
+
+def test_pages_of_one_template_that_do_not_link(spark, tmp_path):
+    """Two thousand texts share bands with one another, few pairs link: one round of comparisons, no list of pairs."""
+    rng = random.Random(4)
+    base = random_text(rng, 150)
+    texts = [edited_apart(rng, base, 6) for _ in range(2000)] + [base]
+    sets = [brute_set(t) for t in texts]
+    index = {}
+    for s in sets:
+        for x in s:
+            index.setdefault(x, len(index))
+    import numpy as np
+
+    member = np.zeros((len(texts), len(index)), np.float32)
+    for i, s in enumerate(sets):
+        member[i, [index[x] for x in s]] = 1
+    both = member @ member.T
+    sizes = member.sum(1)
+    linked = both * 5 >= (sizes[:, None] + sizes[None, :] - both) * 4
+    root = np.arange(len(texts))
+    while True:
+        new = np.array([root[linked[i]].min() for i in range(len(texts))])
+        if (new == root).all():
+            break
+        root = new
+    assert kept(spark, tmp_path, texts) == sorted(set(root.tolist()))
+
+
+def edited_apart(rng, text, edits):
+    words = text.split()
+    for at in rng.sample(range(len(words)), edits):
+        words[at] = "".join(rng.choices("mnopqrst", k=6))
+    return " ".join(words)
+
+
+def test_a_unit_of_many_blocks_and_buckets_apart(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    base = random_text(rng, 120)
+    texts = [edited_apart(rng, base, 3) for _ in range(70)]
+    for _ in range(20):
+        own = random_text(rng, 80)
+        texts += [own, edited(rng, own, 2)]
+    want = brute_kept(texts)
+    assert kept(spark, tmp_path, texts) == want
+    monkeypatch.setattr(near_copies, "BLOCK", 16)
+    monkeypatch.setattr(near_copies, "LISTED", 0)
+    assert kept(spark, tmp_path, texts) == want

@@ -3,16 +3,17 @@
 Words score positive and tags negative; the contiguous run of tokens with the largest sum is
 the content (Pasternack and Roth, 2009), found in one scan. Weights are log odds of being
 inside the content, counted over all pages that label it themselves with an article or main
-element, joined with a few pseudo-counts for tables without such pages. Label tags themselves
-score nothing, so on every page, labelled or not, the scan alone decides where content begins and
-ends. Elements that are no content by the standard, or whose class or id the labelled pages show
+element, joined with a few pseudo-counts for tables without such pages. That a token lies within a label is
+one more feature: labelled pages show only content there, so any tag costs no more than a content one and no
+word scores less than in a plain paragraph. Label tags themselves score nothing, and on every page, labelled or not,
+the scan alone decides where content begins and ends. Elements that are no content by the standard, or whose class or id the labelled pages show
 outside content, have no score and leave the run that was chosen.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -259,7 +260,8 @@ def learn_weights(pages: DataFrame, html_col: str = "html") -> Model:
 
 def weights_of(counts: dict[tuple[str, bool], int]) -> Model:
     """Clipped log odds: tags never score above SLIGHT, words never below 0.1."""
-    inside, outside = Counter(), Counter()
+    inside: dict[str, float] = defaultdict(float)
+    outside: dict[str, float] = defaultdict(float)
     for (name, within), n in counts.items():
         (inside if within else outside)[name] += n
     for name in CONTENT:
@@ -267,7 +269,7 @@ def weights_of(counts: dict[tuple[str, bool], int]) -> Model:
     for name in OTHERS:
         outside[name] += 5
     for name in LISTS:
-        outside[name] += 1
+        outside[name] += 0.3
     for name in PRIOR_NAMES:
         outside[f"name:{name}"] += PRIOR_WORDS
     features = inside.keys() | outside.keys()
@@ -287,12 +289,15 @@ def scored(page: Page, model: Model) -> tuple[list[float], list[bool]]:
         gone[i] = gone[e.parent] or e.out or (not e.held and any(x in model.outside for x in e.names))
     scores, block = [], "body"
     for kind, value, number in page.tokens:
+        within = page.elements[number].labelled
         if kind == "text":
-            scores.append(0.0 if gone[number] else len(value.split()) * model.scores.get(f"word:{block}", 1.0))
+            score = model.scores.get(f"word:{block}", 1.0)
+            scores.append(0.0 if gone[number] else len(value.split()) * (max(score, 1.0) if within else score))
             continue
         if value in BLOCKS or value == "a":
             block = value if kind == "open" else "body"
-        scores.append(0.0 if gone[number] or value in LABELS else model.scores.get(value, UNSEEN))
+        score = model.scores.get(value, UNSEEN)
+        scores.append(0.0 if gone[number] or value in LABELS else max(score, SLIGHT) if within else score)
     return scores, [gone[number] for _, _, number in page.tokens]
 
 

@@ -154,3 +154,49 @@ def test_attributes_of_any_length_belong_to_their_tag():
     for quote in "\"'":
         page = f"<body><div class=nav data-x={quote}{'menu > ' * 15_000}{quote}>Home About</div><article><p>All of the text</p></article></body>"
         assert html_text.main_text(page, PRIOR) == "All of the text"
+
+
+def sentences(rng, n, words=12):
+    return [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(words)) for _ in range(n)]
+
+
+def kinds_of_pages():
+    """(name, html of an article's inside, its words): structures that the test tables do not show."""
+    rng = random.Random(8)
+    long, short = sentences(rng, 10), sentences(rng, 20, 2)
+    p = lambda x: f"<p>{x}</p>"
+    plain = "".join(map(p, long[:3]))
+    made = {
+        "div paragraphs": "".join(f"<div>{x}</div>" for x in long),
+        "a table between": p(short[0]) + "<table>" + "".join(f"<tr><td>{x.split()[0]}</td><td>{x.split()[1]}</td></tr>" for x in short) + "</table>" + plain,
+        "a list of links between": p(short[0]) + "<ul>" + "".join(f"<li><a href=/x>{x}</a></li>" for x in short) + "</ul>" + plain,
+        "linked items alone": "<ol>" + "".join(f"<li><a href=/x>{x}</a></li>" for x in short) + "</ol>",
+        "a byline in a div": f"<h1>{short[1]}</h1><div class=zz-by>{short[2]}</div>" + plain,
+        "nested divs": f"<div><div><div>{long[0]}</div><div><span>{long[1]}</span></div></div></div>" + plain,
+        "sections and definitions": f"<section><h2>{short[3]}</h2><dl><dt>{short[4]}</dt><dd>{long[2]}</dd></dl></section>" + plain,
+        "details and figures": f"<details><summary>{short[5]}</summary>{p(long[3])}</details><figure><img src=x><figcaption>{short[6]}</figcaption></figure>" + plain,
+        "own elements": f"<x-note><x-line>{long[4]}</x-line></x-note>" + plain,
+        "headings only": "".join(f"<h2>{x}</h2>" for x in short),
+    }
+    return {name: (inner, re.sub(r"<[^>]*>", " ", inner).split()) for name, inner in made.items()}
+
+
+def test_ten_kinds_of_articles_come_whole(spark, sf_dir):
+    """By the weights of the given pages, in which an article holds paragraphs and a heading and nothing else."""
+    model = html_text.learn_weights(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    around = "<nav><ul><li><a href=/>Home page</a></li></ul></nav><div class='ad'>Buy all of this today</div>{}<div>Loose words after it</div><footer>All rights reserved</footer>"
+    for name, (inner, words) in kinds_of_pages().items():
+        for label in ("article", "main"):
+            got = html_text.main_text("<body>" + around.format(f"<{label}>{inner}</{label}>") + "</body>", model).split()
+            both = (Counter(got) & Counter(words)).total()
+            assert both >= 0.95 * len(words) and both >= 0.95 * len(got), (name, label)
+        two = html_text.main_text("<body>" + around.format(f"<article>{inner}</article><article>{inner}</article>") + "</body>", model).split()
+        assert (Counter(two) & Counter(words + words)).total() >= 0.95 * 2 * len(words), name
+
+
+def test_the_scan_is_what_leaves_things_out(spark, sf_dir, monkeypatch):
+    model = html_text.learn_weights(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    page = "<body><div>Home</div><div><a href=x>About</a></div><article><p>" + "word " * 40 + "</p></article><div>Imprint</div></body>"
+    assert html_text.main_text(page, model) == " ".join(["word"] * 40)
+    monkeypatch.setattr(html_text, "best_run", lambda scores: (0, len(scores)))
+    assert html_text.main_text(page, model) != " ".join(["word"] * 40)

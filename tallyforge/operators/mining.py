@@ -36,26 +36,35 @@ def _frequent_baskets(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame
     return single.select(F.array("item").alias("items"), "n"), slim
 
 
+def _coded(single: DataFrame, slim: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row of all frequent items in order, and (places, weight): baskets as rising places in it, which are smaller than names."""
+    known = cut(single.agg(F.array_sort(F.collect_list(F.get("items", F.lit(0)))).alias("known")), "frequent-items")  # at most 1 / support for each feature
+    places = F.array_sort(F.transform("items", lambda x: F.array_position("known", x).cast("int")))
+    return known, cut(slim.join(F.broadcast(known), F.lit(True)).select(places.alias("places"), "weight"), "coded-baskets")
+
+
 def apriori(rows: DataFrame, min_support: float, max_len: int) -> DataFrame:
-    """Level by level with joins: an itemset is extended by the later items of the baskets that hold it.
+    """Level by level: an itemset is extended by the later items of the baskets that hold it.
 
-    Infrequent items leave the baskets first, and equal baskets count as one; both are exact.
+    Infrequent items leave the baskets first, and equal baskets count as one; both are exact. A basket travels with its sets,
+    so a level needs no join but that with the frequent sets, which are few.
     """
     least = least_count(rows.count(), min_support)
-    found, slim = _frequent_baskets(rows, least)
-    slim = cut(slim.select(F.monotonically_increasing_id().alias("basket"), "items", "weight"))  # fixes the ids
-    found = cut(found)
-    held = slim.select("basket", "weight", F.explode("items").alias("item"))
-    level = held.select("basket", "weight", F.array("item").alias("set"))
-    single = held.select("basket", "item")
-    out = found
-    for size in range(2, max_len + 1):
-        longer = level.join(single, "basket").where(F.col("item") > F.element_at("set", -1))
-        longer = longer.select("basket", "weight", F.concat("set", F.array("item")).alias("set"))
-        counts = cut(longer.groupBy("set").agg(F.sum("weight").alias("n")).where(F.col("n") >= least))
-        level = cut(longer.join(counts.select("set"), "set", "left_semi")) if size < max_len else level
-        out = out.unionAll(counts.select(F.col("set").alias("items"), "n"))
-    return out
+    single, slim = _frequent_baskets(rows, least)
+    single = cut(single)
+    known, coded = _coded(single, slim)
+    level = coded.select("places", "weight", F.explode("places").alias("item")).select("places", "weight", F.array("item").alias("set"))
+    longer_sets = []
+    for _ in range(2, max_len + 1):
+        later = F.filter("places", lambda x: x > F.element_at("set", -1))
+        longer = level.select("places", "weight", "set", F.explode(later).alias("item")).select("places", "weight", F.array_append("set", F.col("item")).alias("set"))
+        counts = cut(longer.groupBy("set").agg(F.sum("weight").alias("n")).where(F.col("n") >= least), "frequent-sets")
+        level = longer.join(counts.select("set"), "set", "left_semi")
+        longer_sets.append(counts)
+    if not longer_sets:
+        return single
+    named = reduce(DataFrame.unionAll, longer_sets).join(F.broadcast(known), F.lit(True))
+    return single.unionAll(named.select(F.transform("set", lambda p: F.element_at("known", p)).alias("items"), "n"))
 
 
 def fpgrowth(rows: DataFrame, min_support: float, max_len: int) -> DataFrame:

@@ -108,6 +108,7 @@ def imputed(df: DataFrame, contract: Contract, rules: tuple[Rule, ...], mode: st
     if not rules:
         return out
     out = cut(out.withColumns({f"{r.column}_was_imputed": F.col(r.column).isNull() for r in rules}), "normalized")
+    size = out.count()  # from the written copy's footers
     plain = [r.column for r in rules if r.kind == "categorical" and not r.group_by]
     grouped = [r for r in rules if r.kind == "categorical" and r.group_by]
     counts = cut(_category_counts(out, plain, grouped), "category-counts")
@@ -126,7 +127,7 @@ def imputed(df: DataFrame, contract: Contract, rules: tuple[Rule, ...], mode: st
         best = F.min(F.struct((-F.col("n")).alias("n"), "v"))["v"].alias("mode_value")
         out = out.join(own.where("v IS NOT NULL").groupBy(*rule.group_by).agg(best), list(rule.group_by), "left")
         out = out.withColumn(rule.column, F.coalesce(rule.column, "mode_value", F.lit("UNKNOWN"))).drop("mode_value")
-    return _with_medians(out, [r for r in rules if r.kind == "numeric"], mode)
+    return _with_medians(out, [r for r in rules if r.kind == "numeric"], mode, size)
 
 
 def _category_counts(df: DataFrame, plain: list[str], grouped: list[Rule]) -> DataFrame:
@@ -145,7 +146,7 @@ def _whole_modes(counts: DataFrame, columns: list[str]) -> DataFrame:
     return best.agg(*[F.max(F.when(F.col("c") == c, F.col("v"))).alias(f"__{c}") for c in columns])
 
 
-def _with_medians(df: DataFrame, rules: list[Rule], mode: str) -> DataFrame:
+def _with_medians(df: DataFrame, rules: list[Rule], mode: str, size: int) -> DataFrame:
     """Numbers filled by the median of their group, rows without a group being one group, then by that of the table."""
     if not rules:
         return df
@@ -155,7 +156,7 @@ def _with_medians(df: DataFrame, rules: list[Rule], mode: str) -> DataFrame:
 
     def medians(rows: DataFrame, parts: list) -> DataFrame:
         long = rows.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
-        return quantiles(long, ["c", "g"], "v", (0.5,)).select("c", "g", F.col("q")[0].alias("m"))
+        return quantiles(long, ["c", "g"], "v", (0.5,), size=size * len(parts)).select("c", "g", F.col("q")[0].alias("m"))
 
     found = cut(medians(df, of_group + of_table), "medians") if of_group + of_table else None
     for rule in rules:

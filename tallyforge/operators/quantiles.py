@@ -14,15 +14,15 @@ ROWS, LEFT = 20_000_000, 1_000_000
 BINS = 64
 
 
-def quantiles(df: DataFrame, by: list[str], column: str, probabilities: tuple[float, ...], rows: int = ROWS, left: int = LEFT) -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], column: str, probabilities: tuple[float, ...], rows: int = ROWS, left: int = LEFT, size: int | None = None) -> DataFrame:
     """(by..., q array<double>): exact quantiles of a column of doubles in each group; null values are left out, and
     q is null in a group without others.
 
-    Small tables take one aggregate. Larger ones never bring a group's values together: each round bins the
+    Small tables take one aggregate; size is their number of rows, where it is known. Larger ones never bring a group's values together: each round bins the
     distinct values that could hold a wanted rank, counts the rows of the bins and keeps the bins around the rank,
     until so few values are left that running sums find it.
     """
-    if df.count() <= rows:
+    if (df.count() if size is None else size) <= rows:
         q = F.percentile(column, F.array(*map(F.lit, probabilities))).alias("q")
         return df.groupBy(*by).agg(q) if by else df.agg(q)
     group = F.to_json(F.struct(*by)) if by else F.lit("")

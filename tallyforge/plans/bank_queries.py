@@ -311,16 +311,17 @@ register(
 )
 
 
-def side_rows(spark, d, name, later):
-    rows = mining_rows(spark, d, name)
+def side_rows(spark, d, name, later, rows=None):
+    rows = mining_rows(spark, d, name) if rows is None else rows
     p = items.POPULATIONS[name]
     side = sampling.holdout_side(rows, p.time, START, END, sql.FRACTION)
     return basketed(rows.where(side if later else ~side), name)
 
 
 def holdout(spark, d):
-    found = refined_rules(spark, d, rows=side_rows(spark, d, "complaints", False))
-    return joined(rules.evaluated(found, side_rows(spark, d, "complaints", True), sql.LIFT, 0.1), "antecedents")
+    rows = cut(mining_rows(spark, d, "complaints"), "curated")
+    found = refined_rules(spark, d, rows=side_rows(spark, d, "complaints", False, rows))
+    return joined(rules.evaluated(found, side_rows(spark, d, "complaints", True, rows), sql.LIFT, 0.1), "antecedents")
 
 
 EARLY = f"rows_complaints AS (SELECT * FROM cur_complaints WHERE upper(category) = 'TRANSACTIONS' AND epoch_us(creation_date) / 1e6 < {CUT})"
@@ -569,7 +570,8 @@ register(
 
 
 def versions(spark, d):
-    return refined_rules(spark, d, rows=side_rows(spark, d, "complaints", False)), refined_rules(spark, d)
+    rows = cut(mining_rows(spark, d, "complaints"), "curated")  # once for both
+    return refined_rules(spark, d, rows=side_rows(spark, d, "complaints", False, rows)), refined_rules(spark, d, rows=basketed(rows, "complaints"))
 
 
 VERSIONS = f"""{sql.tables('complaints')}, {EARLY}, every AS (SELECT * FROM cur_complaints WHERE upper(category) = 'TRANSACTIONS'), {sql.item_rows('complaints', 'rows_complaints', 'io')}, {sql.itemsets('io', 'o')}, {sql.rules('complaints', 'o')},

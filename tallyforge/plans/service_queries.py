@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from tallyforge.functions import digests, ordinals, surfaces
 from tallyforge.functions.lineage import cut
 from tallyforge.functions.text import MASKS
-from tallyforge.operators import graph, mining, prepare, profile, report, rules, sketches
+from tallyforge.operators import evaluation, graph, mining, prepare, profile, report, rules, sketches
 from tallyforge.plans import bank_queries as bank
 from tallyforge.plans import closed_queries, inspection
 from tallyforge.plans import comparison as sql
 from tallyforge.plans.catalogue import register
 from tallyforge.plans.file_queries import folder
-from tallyforge.sources import artifacts, coordination, sink, unions
+from tallyforge.sources import artifacts, coordination, files, sink, unions
 from tallyforge.sources.canonical import cte, view
 from tallyforge.sources.contracts import CONTRACTS
 from tallyforge.streaming import stateful
@@ -416,3 +416,49 @@ register(
 c(case_id, predicts, status) AS (VALUES ('C1', 'sla_breached', 'exploratory_not_promoted'), ('C2', 'resolution_days', 'exploratory_not_promoted'), ('C3', 'is_fraud', 'exploratory_not_promoted'), ('C5', 'main_score', 'exploratory_not_promoted'), ('C8', NULL, 'blocked'))
 SELECT 'case:' || c.case_id AS id, predicts, status, 'model_run:' || c.case_id || ':' || run_id AS run, sha256, 2 AS refused FROM c LEFT JOIN r ON c.case_id = r.case_id""",
 )
+
+# files and manifests
+def copied_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file copied twice: the second time it is there already. The rows are the copy's."""
+    root = folder(spark, "copies")
+    said = [files.copy_once(spark, f"{sf_dir}/nation.parquet", f"{root}/nation.parquet") for _ in range(2)]
+    return spark.read.parquet(f"{root}/nation.parquet").select("n_nationkey", "n_name", F.lit(said[0]).alias("first"), F.lit(said[1]).alias("second"))
+
+
+register("s5_copied_once", copied_once, "SELECT n_nationkey, n_name, 'copied' AS first, 'present' AS second FROM nation")
+
+
+def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of evaluation results written as JSON lines and a summary; both read back."""
+    root = folder(spark, "report")
+    summary = artifacts.write_report(evaluation.evaluated(bank.contexts(spark, sf_dir)), root)
+    lines = spark.read.schema("run_id long, metric string, passed boolean, score double, reason string").json(f"{root}/results")
+    totals = lines.groupBy("metric").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"))
+    return totals.withColumns({f"all_{k}": F.lit(v).cast("long") for k, v in summary.items()})
+
+
+_RESULTS = " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, coalesce({'same' if m == 'trajectory_in_order' else condition}, false) AS ok FROM c" for m, (condition, _) in evaluation.BASE_METRICS.items()
+)
+register(
+    "s12_written_report",
+    written_report,
+    f"""WITH {bank.CONTEXTS}, r AS ({_RESULTS}), t AS (SELECT count(*) AS all_results, count_if(ok) AS all_passed, count_if(NOT ok) AS all_failed FROM r)
+SELECT metric, count(*) AS n, count_if(ok) AS passed, any_value(all_results) AS all_results, any_value(all_passed) AS all_passed, any_value(all_failed) AS all_failed FROM r, t GROUP BY 1""",
+)
+
+
+def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the preparation of complaints read and made, and that the same rows in another order have the same digests."""
+    source, contract = view(spark, sf_dir, "complaints"), CONTRACTS["complaints"]
+    out = bank.staged(spark, sf_dir, "complaints")
+    first, again = (artifacts.lineage_manifest(s, o, contract.freshness, ["latest"]) for s, o in ((source, out), (source.orderBy("priority"), out.repartition(3))))
+    row = (first["source"]["rows"], first["output"]["rows"], first["freshness_watermark"][:10], first == again)
+    return spark.createDataFrame([row], "source_rows long, output_rows long, watermark string, repeatable boolean")
+
+
+register(
+    "i9_lineage",
+    lineage,
+    f"WITH {cte('complaints')} SELECT count(*) AS source_rows, count(DISTINCT complaint_id) AS output_rows, strftime(max(creation_date), '%Y-%m-%d') AS watermark, true AS repeatable FROM complaints",
+)

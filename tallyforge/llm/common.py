@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.functions.lineage import cut, delete, drop_cut, release, scratch, shared_folder
+from tallyforge.functions.lineage import collect_garbage, cut, delete, drop_cut, release, scratch, shared_folder
 
-__all__ = ["cut", "delete", "drop_cut", "release", "scratch", "shared_folder", "table"]
+__all__ = ["collect_garbage", "cut", "delete", "drop_cut", "release", "scratch", "shared_folder", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

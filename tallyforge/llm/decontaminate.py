@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import cut, table
+from tallyforge.llm.common import collect_garbage, cut, table
 
 WORD = re.compile(r"\w+")
 #: Words whose hashes a Python worker remembers; rows of a batch handed on.
@@ -246,6 +246,7 @@ def text_leaks(source: DataFrame, benchmark: DataFrame, item_col: str, item_text
     size = F.size(F.split("words", " "))
     short = items.select(size.alias("n")).where(F.col("n") < least).distinct().collect()  # fewer than least
     lengths = sorted({settings.n, *(r.n for r in short)})
+    collect_garbage(source.sparkSession)
     raw = cut(_hits(source, lengths, _filter(seeds, settings.filter_bits)), "hits")
     total = raw.where("h1 IS NULL").agg(F.sum("n")).first()[0] or 0
     hits = raw.where("h1 IS NOT NULL").groupBy("h1", "h2", "code", "place").agg(F.sum("n").alias("n"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import cut
+from tallyforge.llm.common import collect_garbage, cut
 from tallyforge.llm.components import connected_components
 from tallyforge.llm.simhash import fingerprint_classes, fingerprint_of, shingle_hashes
 
@@ -140,6 +140,7 @@ CELL = ["kind", "unit", "i", "j"]
 def _links(entries: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
     """Links (a, b) that connect exactly what similar pairs of nodes that share a bucket connect."""
     units = cut(_units(entries), "units")
+    collect_garbage(entries.sparkSession)
     counts = units.groupBy("kind", "unit").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.expr("pmod(xxhash64(node), blocks)").cast("int")
     dealt = units.join(counts, ["kind", "unit"]).select("kind", "unit", "node", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -263,7 +264,9 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spread = nodes.select(F.explode("bands").alias("bucket"), "node").unionAll(covered)
     shared = spread.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     entries = cut(spread.join(shared.select("bucket"), "bucket"), "entries")
+    collect_garbage(docs.sparkSession)
     links = cut(_links(entries, nodes, source), "links")
+    collect_garbage(docs.sparkSession)
 
     classes = connected_components(links).withColumnRenamed("component", "joined")
     roots = nodes.join(classes, "node", "left").select("first", F.coalesce("joined", "node").alias("root"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,6 +60,13 @@ def release(spark: SparkSession) -> None:
         delete(spark, path)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the driver collect its garbage once lineage was cut: Spark removes shuffle files only when nothing refers to the
+    plans that wrote them, which a driver with room to spare would put off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Copies that cut() writes within go when it ends; what was read from them must be written elsewhere by then."""

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
 from math import ceil
 
 import numpy as np
@@ -80,61 +79,44 @@ def fpgrowth(rows: DataFrame, min_support: float, max_len: int) -> DataFrame:
     return cut(found.select(F.array_sort("items").alias("items"), F.col("freq").alias("n")))
 
 
-def eclat(rows: DataFrame, min_support: float, max_len: int) -> DataFrame:
-    """Vertical: each task keeps for each item which baskets of a batch hold it and counts intersections.
+def eclat(rows: DataFrame, min_support: float, max_len: int, base: int | None = None) -> DataFrame:
+    """Vertical and depth-first: each item's class of sets is searched by itself, by intersecting the baskets of its items.
 
-    Candidates of a level come from the frequent sets of the level before, at most a few for each
-    frequent set, and go to the tasks; the tasks' counts are summed.
+    A class is the baskets that hold its last item, cut down to the items before, equal ones as one with a weight. One of more
+    than `base` rows is dealt out again by its next item, so classes of any size stay spread; all sets stay in tasks and tables.
     """
-    spark = rows.sparkSession
-    total = rows.count()
-    least = least_count(total, min_support)
+    least = least_count(rows.count(), min_support)
     single, slim = _frequent_baskets(rows, least)
-    slim = cut(slim)
-    frequent = sorted((tuple(r["items"]), r["n"]) for r in single.collect())
-    found = list(frequent)
-    for size in range(2, max_len + 1):
-        known = {items for items, _ in frequent}
-        candidates = sorted(
-            a + b[-1:] for a, b in _pairs_by_prefix(known) if all(s in known for s in combinations(a + b[-1:], size - 1))
-        )
-        if not candidates:
+    known, coded = _coded(single, slim)
+    open_ = _bases(coded.select(F.array().cast("array<int>").alias("head"), F.col("places").alias("prefix"), "weight"), least)
+    found = []
+    while True:
+        large = _large(open_, base or BASE, max_len)
+        small = open_.join(large, "head", "left_anti")
+        found.append(small.groupBy("head").applyInArrow(_searched_base(_frequent, least, max_len), "places array<int>, n long"))
+        if large.isEmpty():
             break
-        handed = spark.sparkContext.broadcast(candidates)
-        counts = slim.mapInArrow(_intersections(handed), "candidate int, n long").groupBy("candidate").agg(F.sum("n").alias("n"))
-        frequent = sorted((candidates[r["candidate"]], r["n"]) for r in counts.where(F.col("n") >= least).collect())
-        found += frequent
-    return spark.createDataFrame([(list(i), n) for i, n in found], "items array<string>, n long")
-
-
-def _pairs_by_prefix(known: set[tuple[str, ...]]) -> Iterator[tuple[tuple[str, ...], tuple[str, ...]]]:
-    groups: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
-    for items in sorted(known):
-        groups.setdefault(items[:-1], []).append(items)
-    for group in groups.values():
-        yield from combinations(group, 2)
-
-
-def _intersections(handed):
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        candidates = handed.value
-        wanted = sorted({i for c in candidates for i in c})
-        place = {item: k for k, item in enumerate(wanted)}
-        sums = np.zeros(len(candidates), np.int64)
-        members = [[place[i] for i in c] for c in candidates]
-        for batch in batches:
-            weights = batch.column("weight").to_numpy()
-            bits = np.zeros((len(wanted), len(weights)), bool)
-            for row, items in enumerate(batch.column("items").to_pylist()):
-                bits[[place[i] for i in items if i in place], row] = True
-            for k, own in enumerate(members):
-                both = bits[own[0]]
-                for other in own[1:]:
-                    both = both & bits[other]
-                sums[k] += weights[both].sum()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums)], ["candidate", "n"])
-
-    return counted
+        found.append(large.select(F.col("head").alias("places"), "n"))
+        open_ = _bases(open_.join(large.select("head"), "head", "left_semi"), least)
+    named = reduce(DataFrame.unionAll, found).join(F.broadcast(known), F.lit(True))
+    return cut(named.select(F.transform(F.array_sort("places"), lambda p: F.element_at("known", p)).alias("items"), "n"), "frequent-sets")
+
+
+def _large(bases: DataFrame, most: int, max_len: int | None) -> DataFrame:
+    """(head, n) of bases of more than `most` rows whose head may still grow."""
+    sizes = bases.groupBy("head").agg(F.count("*").alias("rows"), F.sum("weight").alias("n"))
+    return cut(sizes.where((F.col("rows") > most) & (F.size("head") < (max_len or 1 << 20))).select("head", "n"), "large-bases")
+
+
+def _frequent(held: np.ndarray, weights: np.ndarray, least: int, most: int | None) -> Iterator[tuple[tuple[int, ...], int]]:
+    """(columns, weight) of all sets of up to `most` columns that are frequent, the empty set among them."""
+    todo = [((), np.arange(len(weights)), held.shape[1])]
+    while todo:
+        chosen, rows, below = todo.pop()
+        yield chosen, int(weights[rows].sum())
+        if most is None or len(chosen) < most:
+            sums = weights[rows] @ held[rows, :below]
+            todo += [((*chosen, t), rows[held[rows, t]], t) for t in np.flatnonzero(sums >= least).tolist()]
 
 
 #: Baskets of a chunk, whose numbers within it make the lists of a set.
@@ -217,10 +199,9 @@ def maximal_search(rows: DataFrame, min_support: float, max_len: int | None = No
     open_ = _bases(ranked.withColumn("head", F.array().cast("array<int>")), least)
     found = []
     while True:
-        sizes = open_.groupBy("head").agg(F.count("*").alias("rows"), F.sum("weight").alias("n"))
-        large = cut(sizes.where((F.col("rows") > base) & (F.size("head") < (max_len or 1 << 20))).select("head", "n"), "large-bases")
+        large = _large(open_, base, max_len)
         small = open_.join(large, "head", "left_anti")
-        found.append(small.groupBy("head").applyInArrow(_searched_base(least, max_len), "places array<int>, n long"))
+        found.append(small.groupBy("head").applyInArrow(_searched_base(_deepest, least, max_len), "places array<int>, n long"))
         if large.isEmpty():
             break
         open_ = _bases(open_.join(large.select("head"), "head", "left_semi"), least)
@@ -244,7 +225,9 @@ def _bases(rows: DataFrame, least: int) -> DataFrame:
     return longer.join(frequent, "head", "left_semi")
 
 
-def _searched_base(least: int, max_len: int | None):
+def _searched_base(search, least: int, max_len: int | None):
+    """search() over a base, its sets joined with the base's head."""
+
     def run(table: pa.Table) -> pa.Table:
         head = table.column("head")[0].as_py()
         weights = table.column("weight").to_numpy()
@@ -252,7 +235,7 @@ def _searched_base(least: int, max_len: int | None):
         items = np.unique(prefixes.flatten().to_numpy())
         held = np.zeros((len(weights), len(items)), bool)
         held[np.repeat(np.arange(len(weights)), prefixes.value_lengths().to_numpy()), np.searchsorted(items, prefixes.flatten().to_numpy())] = True
-        out = [(head + items[list(s)].tolist(), n) for s, n in _deepest(held, weights, least, max_len and max_len - len(head))]
+        out = [(head + items[list(s)].tolist(), n) for s, n in search(held, weights, least, max_len and max_len - len(head))]
         return pa.table({"places": pa.array([p for p, _ in out], pa.list_(pa.int32())), "n": pa.array([n for _, n in out], pa.int64())})
 
     return run

@@ -45,3 +45,14 @@ def test_frequent_sets_that_could_not_be_listed(spark):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "items array<string>")
     assert mining.maximal_search(df, 0.1).collect() == []
+
+
+@pytest.mark.parametrize("base", [20_000, 3])
+def test_eclat_lists_what_apriori_lists(spark, base):
+    rng = random.Random(5)
+    baskets = [sorted(rng.sample("abcdefgh", rng.randrange(0, 7))) for _ in range(60)]
+    df = spark.createDataFrame([(b,) for b in baskets], "items array<string>")
+    for most in (1, 2, 4):
+        one, other = (sorted((tuple(r["items"]), r.n) for r in x.collect()) for x in (mining.eclat(df, 0.1, most, base), mining.apriori(df, 0.1, most)))
+        assert one == other and len(one) > 3
+    assert mining.eclat(df.limit(0), 0.1, 3).collect() == []

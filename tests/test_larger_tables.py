@@ -31,3 +31,15 @@ def test_an_owner_beyond_the_cap_is_refused(spark, sf_dir):
     with pytest.raises(closed_queries.Rejected) as refused:
         closed_queries.execute(spark, entry, closed_queries.of_owner(entry, table, session), given, session, "client")
     assert refused.value.rule == "bytes_over_budget"
+
+
+def test_an_edge_digest_has_two_levels_whatever_the_size(spark, sf_dir, monkeypatch, tmp_path):
+    monkeypatch.setattr(ordinals, "FAN", 4)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    nulls = orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 5 > 0, F.col("o_custkey")))  # nulls come last, rising and falling
+    for name, rows in (("whole", orders), ("nulls", nulls), ("few", orders.limit(3)), ("none", orders.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{name}/orders.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW e AS SELECT {service_queries.EDGE} FROM '{tmp_path}/{name}/orders.parquet/*.parquet'")
+        want = con.execute(f"{service_queries._digest_sql('rising', 'ASC')} UNION ALL {service_queries._digest_sql('falling', 'DESC')}").fetchall()
+        assert sorted(map(tuple, service_queries.edge_digest(spark, f"{tmp_path}/{name}").collect()), key=str) == sorted(want, key=str)

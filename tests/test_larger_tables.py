@@ -43,3 +43,22 @@ def test_an_edge_digest_has_two_levels_whatever_the_size(spark, sf_dir, monkeypa
         con.execute(f"CREATE VIEW e AS SELECT {service_queries.EDGE} FROM '{tmp_path}/{name}/orders.parquet/*.parquet'")
         want = con.execute(f"{service_queries._digest_sql('rising', 'ASC')} UNION ALL {service_queries._digest_sql('falling', 'DESC')}").fetchall()
         assert sorted(map(tuple, service_queries.edge_digest(spark, f"{tmp_path}/{name}").collect()), key=str) == sorted(want, key=str)
+
+
+def test_lineage_is_checked_in_orders_that_spread(spark, sf_dir, monkeypatch):
+    """No task of a rearranged table may hold what one value of a column with few has."""
+    seen = []
+    real = service_queries.artifacts.lineage_manifest
+    monkeypatch.setattr(service_queries.artifacts, "lineage_manifest", lambda s, o, *more: seen.extend((s, o)) or real(s, o, *more))
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert service_queries.lineage(spark, sf_dir).first()["repeatable"]
+        for df in seen[2:]:
+            sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+            assert len(sizes) > 8 and max(sizes) < sum(sizes) / 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -39,19 +39,17 @@ ANCHOR, STEP = 64, 1 << 20
 _random = np.random.default_rng(20240229)
 _BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[np.ndarray] = []
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2^64."""
-    size = 1 << max(12, n.bit_length())
-    if size not in _powers:
+    """Powers of an odd base and of its inverse, modulo 2^64; the tables are made once and again only for more bytes."""
+    if not _powers or len(_powers[0]) < n:
+        size = 1 << max(17, n.bit_length())
         ups, downs = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 2**64), np.uint64)
         ups[0] = downs[0] = 1
-        _powers.clear()
-        _powers[size] = np.multiply.accumulate(ups), np.multiply.accumulate(downs)
-    ups, downs = _powers[size]
-    return ups[:n], downs[:n]
+        _powers[:] = np.multiply.accumulate(ups), np.multiply.accumulate(downs)
+    return _powers[0][:n], _powers[1][:n]
 
 
 def gram_names(data: np.ndarray, length: int) -> np.ndarray:
@@ -74,24 +72,61 @@ def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     The least name in a window wins, the first of equal ones; both depend on the window alone.
     """
     total = len(data) - length + 1
-    span = length - ANCHOR + 1
     found = []
     for at in range(0, total, STEP):
-        piece = data[at : at + STEP + length - 1]
-        windows = len(piece) - length + 1
-        names = gram_names(piece, ANCHOR)
-        keyed = (names & ~np.uint64(0x1FFFFF)) | np.arange(len(names), dtype=np.uint64)
-        blocks = np.concatenate([keyed, np.full(-len(keyed) % span, 2**64 - 1, np.uint64)]).reshape(-1, span)
-        ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-        behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        picked = (np.minimum(behind[:windows], ahead[span - 1 : span - 1 + windows]) & np.uint64(0x1FFFFF)).astype(np.int64)
+        names, picked = _picked(data[at : at + STEP + length - 1], length)
         starts = np.flatnonzero(np.r_[True, picked[1:] != picked[:-1]])
-        found.append((names[picked[starts]], starts + at, np.diff(np.r_[starts, windows]), picked[starts] - starts))
+        found.append((names[picked[starts]], starts + at, np.diff(np.r_[starts, len(picked)]), picked[starts] - starts))
     if not found:
         return tuple(np.empty(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _picked(piece: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The names of all grams, and the place of the one that each window picks."""
+    span, windows = length - ANCHOR + 1, len(piece) - length + 1
+    names = gram_names(piece, ANCHOR)
+    keyed = (names & ~np.uint64(0x1FFFFF)) | np.arange(len(names), dtype=np.uint64)
+    blocks = np.concatenate([keyed, np.full(-len(keyed) % span, 2**64 - 1, np.uint64)]).reshape(-1, span)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return names, (np.minimum(behind[:windows], ahead[span - 1 : span - 1 + windows]) & np.uint64(0x1FFFFF)).astype(np.int64)
+
+
+def anchors_of_several(data: np.ndarray, edges: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(text, anchors()...) of texts that lie end to end in data, cut at edges: the same rows as text by text.
+
+    Windows that reach into the next text are left out. What a window picks lies in its own text, so picks change with the text.
+    """
+    if len(data) > 1 << 21:
+        raise ValueError("more bytes than places have bits for")
+    if len(data) < length:
+        return tuple(np.empty(0, np.int64) for _ in range(5))
+    names, picked = _picked(data, length)
+    text = np.repeat(np.arange(len(edges) - 1), np.diff(edges))[: len(picked)]
+    whole = np.flatnonzero(np.arange(len(picked)) + length <= edges[1:][text])
+    picked = picked[whole]
+    starts = np.flatnonzero(np.r_[len(picked) > 0, picked[1:] != picked[:-1]])
+    first = whole[starts]
+    return text[first], names[picked[starts]], first - edges[text[first]], np.diff(np.r_[starts, len(picked)]), picked[starts] - first
+
+
+#: Bytes of texts that are handled together; a longer text is handled alone.
+TOGETHER = 1 << 17
+
+
+def _parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from row, to row, bytes end to end, edges of the rows in them) of a column of binaries without nulls."""
+    column = column.cast(pa.large_binary())
+    edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(edges, edges[a] + TOGETHER, "right")) - 1)
+        yield a, b, data[edges[a] : edges[b]], edges[a : b + 1] - edges[a]
+        a = b
+
+
 ROWS = "key long, seg long, t1 long, t2 long, s long, n int, o int"
 
 
@@ -106,15 +141,18 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t1, t2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if text.as_py() is None or len(text.as_py()) < length:
+            t1, t2 = (batch.column(i).to_numpy() for i in range(2))
+            for a, b, data, edges in _parts(batch.column(2).fill_null(b"")):
+                if b - a > 1:
+                    text, names, first, count, place = anchors_of_several(data, edges, length)
+                else:
+                    names, first, count, place = anchors(data, length)
+                    text = np.zeros(len(names), np.int64)
+                if not len(names):
                     continue
-                raw = text.as_py()
-                names, first, count, place = anchors(np.frombuffer(raw, np.uint8), length)
-                ends = (first + count + length - 1).tolist()
-                hulls = np.array([xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), ends)], np.uint64)
-                size = len(names)
-                yield _batch([names.view(np.int64), hulls.view(np.int64), np.full(size, t1), np.full(size, t2), first, count, place], ROWS)
+                raw, at = data.tobytes(), first + edges[text]
+                hulls = np.array([xxhash.xxh64_intdigest(raw[x:y]) for x, y in zip(at.tolist(), (at + count + length - 1).tolist())], np.uint64)
+                yield _batch([names.view(np.int64), hulls.view(np.int64), t1[a + text], t2[a + text], first, count, place], ROWS)
 
     return docs.select("t1", "t2", "data").mapInArrow(rows, ROWS)
 
@@ -226,22 +264,23 @@ def repeated_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _with_texts(docs: DataFrame, rows: DataFrame, schema: str, named) -> DataFrame:
-    """named(bytes, row) -> columns without the text's hashes, for each row (t1, t2, s, n, o, sample) next to its text."""
+    """Rows (t1, t2, s, n, o, sample) next to the bytes of their texts.
+
+    named(bytes of several texts, first byte of each row's text, {s, n, o}) yields (row, two names, further columns), rows by number.
+    """
     wanted = cut(rows.groupBy("t1", "t2").agg(F.collect_list(F.struct("s", "n", "o", "sample")).alias("wanted")), "wanted")
     texts = docs.join(wanted.select("t1", "t2"), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("data").alias("data"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t1, t2, data, wanted in zip(*[batch.column(c) for c in ("t1", "t2", "data", "wanted")]):
-                raw, parts = data.as_py(), []
-                for w in wanted.as_py():
-                    a, b, *others = named(raw, w)
-                    parts.append([a, b, np.full(len(a), t1.as_py()), np.full(len(a), t2.as_py()), *others, np.full(len(a), w["sample"])])
-                    if len(parts) == 1024:
-                        yield _batch([np.concatenate(c) for c in zip(*parts)], schema)
-                        parts = []
-                if parts:
-                    yield _batch([np.concatenate(c) for c in zip(*parts)], schema)
+            t1, t2 = (batch.column(c).to_numpy() for c in ("t1", "t2"))
+            for a, b, data, edges in _parts(batch.column("data")):
+                lists = batch.column("wanted").slice(a, b - a)
+                flat = lists.flatten()
+                w = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("s", "n", "o", "sample")}
+                text = np.repeat(np.arange(b - a), lists.value_lengths().to_numpy())
+                for row, first, second, *others in named(data, edges[text], w):
+                    yield _batch([first.view(np.int64), second.view(np.int64), t1[a + text[row]], t2[a + text[row]], *others, w["sample"][row]], schema)
 
     return texts.join(wanted, ["t1", "t2"]).mapInArrow(made, schema)
 
@@ -260,17 +299,19 @@ def _blocks(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     """
     size = block_size(length)
 
-    def named(raw: bytes, w: dict) -> list[np.ndarray]:
-        p = w["s"] + w["o"]
-        out = []
-        for block in range((w["o"] - w["n"] + 1) // size, w["o"] // size + 1):
-            low, high = block * size, min(block * size + size, length - ANCHOR + 1) - 1
-            first, last = p - min(high, w["o"]), p - max(low, w["o"] - w["n"] + 1)
-            core = xxhash.xxh64_intdigest(raw[p - low : p - high + length], block)
-            hull = xxhash.xxh64_intdigest(raw[first : last + length], p - first)
-            out.append((core, hull, first, last - first + 1, p - first))
-        cores, hulls, *others = zip(*out)
-        return [np.array(cores, np.uint64).view(np.int64), np.array(hulls, np.uint64).view(np.int64), *(np.array(x) for x in others)]
+    def named(data: np.ndarray, base: np.ndarray, w: dict) -> Iterator[tuple[np.ndarray, ...]]:
+        raw, out = data.tobytes(), []
+        for i, (at, s, n, o) in enumerate(zip(base.tolist(), w["s"].tolist(), w["n"].tolist(), w["o"].tolist())):
+            p = at + s + o
+            for block in range((o - n + 1) // size, o // size + 1):
+                low, high = block * size, min(block * size + size, length - ANCHOR + 1) - 1
+                first, last = p - min(high, o), p - max(low, o - n + 1)
+                core = xxhash.xxh64_intdigest(raw[p - low : p - high + length], block)
+                hull = xxhash.xxh64_intdigest(raw[first : last + length], p - first)
+                out.append((i, core, hull, first - at, last - first + 1, p - first))
+        if out:
+            row, cores, hulls, *others = zip(*out)
+            yield np.array(row), np.array(cores, np.uint64), np.array(hulls, np.uint64), *(np.array(x) for x in others)
 
     return _with_texts(docs, rows, f"{ROWS}, sample boolean", named)
 
@@ -279,10 +320,16 @@ def _windows(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     """(a, b, t1, t2, s, sample): names of both halves of each window."""
     half = length // 2
 
-    def named(raw: bytes, w: dict) -> list[np.ndarray]:
-        piece = np.frombuffer(raw[w["s"] : w["s"] + w["n"] + length - 1], np.uint8)
-        first, second = gram_names(piece, half)[: w["n"]], gram_names(piece, length - half)[half:]
-        return [first.view(np.int64), second.view(np.int64), np.arange(w["n"]) + w["s"]]
+    def named(data: np.ndarray, base: np.ndarray, w: dict) -> Iterator[tuple[np.ndarray, ...]]:
+        n = w["n"].astype(np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        s = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + w["s"][row]
+        at = base[row] + s
+        for begin in range(0, len(data), STEP):
+            own = np.flatnonzero((at >= begin) & (at < begin + STEP))
+            if len(own):
+                piece, place = data[begin : begin + STEP + length - 1], at[own] - begin
+                yield row[own], gram_names(piece, half)[place], gram_names(piece, length - half)[place + half], s[own]
 
     return _with_texts(docs, rows, "a long, b long, t1 long, t2 long, s long, sample boolean", named)
 
@@ -300,6 +347,22 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     return settled[0].unionAll(settled[1]).unionAll(windows)
 
 
+def merged(lists: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists of windows (lo, hi) -> the number of maximal spans of each list, and all their starts and ends, in order."""
+    counts = lists.value_lengths().fill_null(0).to_numpy()
+    flat = lists.flatten()
+    lo, hi = (flat.field(i).to_numpy() for i in range(2))
+    row = np.repeat(np.arange(len(lists), dtype=np.int64), counts)
+    order = np.lexsort((lo, row))
+    row, lo = row[order], lo[order]
+    # rows lie far apart on one line, so that one running maximum serves all of them
+    reached = np.maximum.accumulate((row << 40) + hi[order] + length)
+    opens = np.r_[len(lo) > 0, (row[1:] << 40) + lo[1:] > reached[:-1]] if len(lo) else np.zeros(0, bool)
+    firsts = np.flatnonzero(opens)
+    ends = reached[np.r_[firsts[1:], len(lo)] - 1] if len(lo) else lo
+    return np.bincount(row[firsts], minlength=len(lists)), lo[firsts], ends - (row[firsts] << 40)
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
     """(id, data, spans, kept) for every row: bytes of the text, removed spans and the bytes that stay.
 
@@ -318,20 +381,18 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = source.join(lists, ["t1", "t2"], "left").select("id", "data", "ranges")
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = pa.struct([("start", pa.int64()), ("end", pa.int64())])
         for batch in batches:
-            for k in range(batch.num_rows):
-                data, ranges = batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
-                spans: list[list[int]] = []
-                for lo, hi in sorted((r["lo"], r["hi"]) for r in ranges or ()):
-                    if spans and lo <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], hi + length)
-                    else:
-                        spans.append([lo, hi + length])
-                edges = [0, *[x for span in spans for x in span], len(data)]
-                kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                listed = [{"start": a, "end": b} for a, b in spans]
-                columns = [batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), pa.array([listed], pa.list_(fields)), pa.array([kept], pa.binary())]
+            for a, b, data, edges in _parts(batch.column(1)):
+                part = batch.slice(a, b - a)
+                counts, start, end = merged(part.column(2), length)
+                raw, offsets = data.tobytes(), np.r_[0, np.cumsum(counts)]
+                kept = []
+                for k, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+                    own = slice(offsets[k], offsets[k + 1])
+                    cuts = [lo, *(np.stack([start[own], end[own]], 1).ravel() + lo).tolist(), hi]
+                    kept.append(b"".join([raw[x:y] for x, y in zip(cuts[::2], cuts[1::2])]))
+                spans = pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"])
+                columns = [part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans), pa.array(kept, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "data", "spans", "kept"])
 
     return joined.mapInArrow(removed, "id long, data binary, spans array<struct<start: long, end: long>>, kept binary")

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyforge.llm import repeats
@@ -146,3 +147,26 @@ def test_runs_that_cross_partitions(spark, partitions):
     assert at[repeats.SETTLED] == [i for i, p in enumerate(pairs) if count[p] > 1]
     assert at[repeats.SINGLE] == [i for i, p in enumerate(pairs) if count[p] == 1 and kinds[p[0]] > 1]
     assert {pairs[i] for i in at[repeats.SAMPLE]} == {p for p in pairs if count[p] > 1 and kinds[p[0]] > 1}
+
+
+@pytest.mark.parametrize("together", [300, 1 << 17])
+def test_texts_together_have_the_rows_of_each(monkeypatch, together):
+    """Steps over texts that lie end to end give what each text gives alone."""
+    monkeypatch.setattr(repeats, "TOGETHER", together)
+    rng = np.random.default_rng(5)
+    texts = [b"", *[rng.integers(97, 100, n, np.uint8).tobytes() for n in (199, 200, 450, 3, 201, 0, 1000, 257)], b"a" * 500]
+    column = pa.array([b"x" * 50, *texts], pa.binary()).slice(1)
+    found, seen = [], 0
+    for a, b, data, edges in repeats._parts(column):
+        assert a == seen and data.tobytes() == b"".join(texts[a:b]) and (b - a == 1 or len(data) <= together)
+        seen = b
+        found += [(a + t, *x) for t, *x in zip(*[c.tolist() for c in repeats.anchors_of_several(data, edges, 200)])]
+    want = [(i, *x) for i, t in enumerate(texts) for x in zip(*[c.tolist() for c in repeats.anchors(np.frombuffer(t, np.uint8), 200)])]
+    assert seen == len(texts) and found == want and len({i for i, *_ in found}) == 6
+
+
+def test_windows_merge_into_maximal_spans():
+    kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+    lists = [[{"lo": 9, "hi": 9}], None, [{"lo": 500, "hi": 510}, {"lo": 0, "hi": 300}, {"lo": 20, "hi": 30}, {"lo": 711, "hi": 711}], [], [{"lo": 0, "hi": 0}]]
+    counts, start, end = repeats.merged(pa.array(lists, kind).slice(1), 200)
+    assert (counts.tolist(), start.tolist(), end.tolist()) == ([0, 2, 0, 1], [0, 711, 0], [710, 911, 200])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import cut, drop_cut
+from tallyforge.llm.common import collect_garbage, cut, drop_cut
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = current.unionAll(current.selectExpr("b AS a", "a AS b"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: neighbours above a node go to the smallest of its neighbourhood
-        large = both.where("b > a").join(least, "a").selectExpr("b AS a", "m AS b").where("a <> b").distinct()
+        large = both.where("b > a").join(least, "a").selectExpr("b AS a", "m AS b").where("a <> b")  # no more rows than edges; equal ones go below
         # small star: neighbours below a node, and the node itself, go to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
@@ -32,6 +32,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = following.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop_cut(current)
         current = following
+        collect_garbage(edges.sparkSession)  # the round's plans and shuffle files
         if now == before:
             break
         before = now

@@ -28,3 +28,15 @@ def test_summaries_of_cases_prepare_rows_once(spark, sf_dir, monkeypatch):
     assert release_queries.case_summaries(spark, sf_dir, "C1", "C9").count() == 2
     release_queries.rule_ids(spark, sf_dir)
     assert len(calls) == 2 and sql.MOST
+
+
+def test_fpgrowth_reads_no_more_rows_than_baskets_ask_for(spark, monkeypatch):
+    """Heavy baskets are scaled down for the search; sets and counts are those of all rows, at the threshold too."""
+    rows = [(["a", "b"], 700_000), (["a", "b", "c"], 9), (["b", "c"], 299_991), (["c", "d"], 10_000), (["d", "e"], 1), (["e"], 9_999), (["f"], 9_999)]
+    df = spark.createDataFrame(rows, "items array<string>, weight long")
+    read, real = [], mining._repeated
+    monkeypatch.setattr(mining, "_repeated", lambda x: read.append(real(x)) or read[-1])
+    plain = lambda x: sorted((tuple(r["items"]), r["n"]) for r in x.collect())
+    for support in (10_000 / 1_029_999, 10_001 / 1_029_999, 9_999 / 1_029_999, 0.3):
+        assert plain(mining.fpgrowth(df, support, 3)) == plain(mining.apriori(df, support, 3))
+    assert len(read) == 4 and all(x.count() <= (mining.COPIED + 2) * len(rows) + len(rows) for x in read)

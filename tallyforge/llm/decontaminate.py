@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import collect_garbage, cut, table
+from tallyforge.llm.common import collect_garbage, cut, small_batches, table
 
 WORD = re.compile(r"\w+")
 #: Words whose hashes a Python worker remembers; rows of a batch handed on.
@@ -238,6 +238,7 @@ def _aligner(settings: Settings):
 
 def text_leaks(source: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, settings: Settings) -> DataFrame:
     """(h1, h2, text) -> (h1, h2, item, n_items, n_words, score, first_word, end_word), once for each distinct text."""
+    small_batches(source.sparkSession)
     worded = _worded(benchmark, item_col, item_text_col)
     items = worded.groupBy("k1", "k2").agg(F.min("item").alias("item"), F.count("*").alias("n_items"), F.first("words").alias("words"))
     items = cut(items, "items")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import table
+from tallyforge.llm.common import small_batches, table
 
 #: Hashed n-gram features, and the n of the n-grams.
 FEATURES, ORDERS = 1 << 15, (1, 2, 3)
@@ -208,6 +208,7 @@ def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Model | None:
     """Fit on the labelled rows of docs; rows without text or label teach nothing. None if there are none."""
+    small_batches(docs.sparkSession)
     labelled = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     sample = training_sample(labelled, id_col, text_col, lang_col, settings)
     if not sample:
@@ -233,6 +234,7 @@ def with_language(docs: DataFrame, model: Model | None, text_col: str = "text",
     Null texts and texts without a letter are `und` with score 0; so is everything when there was
     no labelled row to learn from. Columns of docs with the new names are replaced.
     """
+    small_batches(docs.sparkSession)
     handed = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x languages, whatever the corpus
 
     @F.pandas_udf("lang string, score double")

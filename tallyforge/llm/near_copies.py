@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import collect_garbage, cut
+from tallyforge.llm.common import collect_garbage, cut, small_batches
 from tallyforge.llm.components import connected_components
 from tallyforge.llm.simhash import fingerprint_classes, fingerprint_of, shingle_hashes
 
@@ -252,6 +252,7 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     h1, h2 = F.xxhash64(text), F.xxhash64(F.lit(1), text)
     source = docs.select(F.col(id_col).cast("long").alias("id"), h1.alias("h1"), h2.alias("h2"), text.alias("text"))
+    small_batches(docs.sparkSession)
     marks = cut(source.mapInArrow(_marked, MARKS), "marks")
     least = F.min(F.struct("id", "node", "h1", "h2")).alias("first")
     one = [F.first(c).alias(c) for c in ("bands", "sketch")]  # the same in all rows of a node

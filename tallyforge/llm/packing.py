@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import cut, table
+from tallyforge.llm.common import cut, small_batches, table
 
-#: Words whose ids a Python worker remembers at a time; longer words are not remembered.
-REMEMBERED, LONGEST = 1_500_000, 64
+#: Words whose ids a Python worker remembers at a time, about; longer words are not remembered. Words of a text met at a time.
+REMEMBERED, LONGEST, MET = 700_000, 64, 1 << 14
+#: A token of its own between words that are encoded together; words that hold it are encoded alone.
+BETWEEN = b"~"
 #: Pieces that one task packs together, about.
 GROUP = 16_384
 
@@ -39,8 +41,9 @@ class WordIds:
     """Token ids of whole texts as little-endian 32-bit bytes, word by word.
 
     The tokenizer lower-cases and never joins characters across white space. So a text's ids
-    are the ids of its words in order, and a word met before is looked up. One of these lives
-    as long as a worker.
+    are the ids of its words in order, and a word met before is looked up. Words are remembered in two halves: once
+    the newer one is full it becomes the older one, and words met again move back. One of these lives
+    as long as a worker, which holds it through all that the worker does later.
     """
 
     _by_path: dict[str, WordIds] = {}
@@ -51,6 +54,8 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.between = self._each([BETWEEN])[0]
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -61,18 +66,44 @@ class WordIds:
     def bytes_of(self, text: bytes) -> bytes:
         # A-Z and ASCII white space; capitals keep a text apart from the name of a special token
         words = (text if b"<|" in text else text.lower()).split()
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list(set(words).difference(known))
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, encoded))
+        return b"".join(self._met(words[at : at + MET]) for at in range(0, len(words), MET))
+
+    def _met(self, words: list[bytes]) -> bytes:
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = []
+        for word in set(words).difference(known):
+            if word in older:
+                known[word] = older[word]
+            else:
+                new.append(word)
+        together = [w for w in new if BETWEEN not in w]
+        known.update(zip(together, self._together(together)))
+        alone = [w for w in new if BETWEEN in w]
+        known.update(zip(alone, self._each(alone)))
         out = b"".join(itemgetter(*words)(known) if len(words) > 1 else [known[w] for w in words])
         for word in new:
             if len(word) > LONGEST:
                 del known[word]
         return out
 
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+
+    def _together(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, from one text that holds them all, which costs less than a text each."""
+        if len(self.between) != 4 or len(words) < 2:
+            return self._each(words)
+        text = (b" " + BETWEEN + b" ").join(words).decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ids == np.frombuffer(self.between, "<u4")) * 4
+        if len(ends) != len(words) - 1:  # a word has that token in its ids
+            return self._each(words)
+        whole = ids.tobytes()
+        return [whole[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(whole)])]
+
 
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, tokens: int, end_id: int) -> DataFrame:
     """(id, piece, start, length, ids_crc32, at) for every row of docs.
@@ -98,6 +129,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: st
             names = ["id", "piece", "start", "length", "ids_crc32", "at"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     return source.mapInArrow(cut_up, "id long, piece int, start long, length long, ids_crc32 long, at long")
 

@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from hypothesis import given, settings
@@ -75,3 +76,31 @@ def test_every_capacity_holds():
 def test_best_fit_takes_the_smallest_residual():
     bins, _ = packing.best_fit(np.array([60, 50, 50, 40]), packing.Capacities(100, 10, 10**6, (1.0, 0.0, 0.0)))
     assert bins[0] == bins[3] and bins[1] == bins[2]
+
+
+def test_words_remembered_are_bounded_within_a_text_too(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 1000)
+    monkeypatch.setattr(packing, "MET", 100, raising=False)
+    words = packing.WordIds(PATH)
+    text = " ".join(f"w{i % 7000}x~" if i % 9 == 0 else f"{i % 7000}." for i in range(20_000))
+    got = np.frombuffer(words.bytes_of(text.encode()), "<u4").tolist()
+    assert got == TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert sum(len(x) for x in vars(words).values() if isinstance(x, dict)) <= 1000 + 2 * 100
+
+
+def test_texts_reach_workers_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(0, 60, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 100000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    spark.conf.unset(name)
+    packing.packed_documents(texts, PATH)
+    largest = texts.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0]
+    assert largest <= (4 << 20) + 600_000
+    spark.conf.set(name, "1m")
+    packing.token_pieces(texts, "doc_id", "text", PATH, 2048, 0)
+    assert spark.conf.get(name) == "1m"
+    spark.conf.unset(name)
